@@ -135,16 +135,19 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(tokens, redact_assignment_pattern(), "$1[REDACTED]")
 
 
-def overlap_words(text: Column) -> Column:
-    """Distinct words of the overlap ranking: alphanumeric runs joined by single ``-``, ``_``, ``.``.
+def raw_overlap_words(text: Column) -> Column:
+    """Words of the overlap ranking with repeats, empty strings and stop words still in.
 
-    A joiner counts only between two alphanumerics; all others are blanked first. That keeps the
-    JVM regex free of repeated groups, which overflow its stack on very long runs.
+    A word is alphanumeric runs joined by single ``-``, ``_``, ``.``; a joiner counts only between two
+    alphanumerics. Splitting at everything else avoids a repeated regex group, which overflows the
+    JVM's stack on very long runs.
     """
-    lowered = F.lower(text)
-    joined = F.regexp_replace(lowered, r"(?<![a-z0-9])[-_.]|[-_.](?![a-z0-9])", " ")
-    words = F.split(joined, r"[^a-z0-9._-]+")
-    return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in [""] + STOP_WORDS]))
+    return F.split(F.lower(text), r"[^a-z0-9._-]+|[-_.](?![a-z0-9])|(?<![a-z0-9])[-_.]")
+
+
+def overlap_words(text: Column) -> Column:
+    """Distinct words of the overlap ranking without stop words."""
+    return F.array_except(raw_overlap_words(text), F.array(*[F.lit(w) for w in [""] + STOP_WORDS]))
 
 
 def index_terms(text: Column) -> Column:

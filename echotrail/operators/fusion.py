@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from echotrail.operators.kernels import cosine_scores, to_ids, to_matrix
 from echotrail.operators.knn import knn, scan, take_top
 from echotrail.operators.lexical import bm25_scores, overlap_scores
-from echotrail.session import fits_broadcast, small_side
+from echotrail.session import cut_lineage, fits_broadcast, hint, small_side
 
 RRF = 60
 
@@ -22,10 +22,12 @@ def exact_ranks(scored: DataFrame, wanted: DataFrame) -> DataFrame:
     Each scored row finds, among the few wanted rows of its query sorted best first, the first one it
     beats. Only counts per such slot are shuffled, and running totals over the slots give the ranks.
     """
-    keys = scored.join(small_side(wanted.select("query_id", "doc_id"), 64), ["query_id", "doc_id"], "left_semi")
+    wanted = wanted.select("query_id", "doc_id")
+    small = fits_broadcast(wanted, 128)  # bounds every table below that is joined to the scored rows
+    keys = scored.join(hint(wanted, small), ["query_id", "doc_id"], "left_semi")
     marks = keys.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("cost"), F.col("doc_id").alias("doc_id")))).alias("marks"))
-    placed = scored.join(small_side(marks, 64 * 512), "query_id")
+    placed = scored.join(hint(marks, small), "query_id")
     cost = -F.col("score")
     beaten_by = F.filter("marks", lambda m: ~((cost < m["cost"]) | ((cost == m["cost"]) & (F.col("doc_id") < m["doc_id"]))))
     slots = placed.groupBy("query_id", F.size(beaten_by).alias("slot")).agg(F.count("*").alias("n"))
@@ -128,23 +130,28 @@ def fuse(dense: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     return take_top(fused, k).select("query_id", "rank", "doc_id", "score", "dense_rank", "lexical_rank")
 
 
-def rrf_hybrid_search(queries: DataFrame, docs: DataFrame, k: int = 10, tolerance: float | None = 0.5,
-                      allowed: DataFrame | None = None) -> DataFrame:
+def rrf_hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10,
+                      tolerance: float | None = 0.5, allowed: DataFrame | None = None) -> DataFrame:
     """Dense list of ``max(2k, 50)`` fused with the full term ranking.
 
+    ``queries(query_id, text, embedding)``, ``docs(doc_id, text)``, ``vectors(doc_id, embedding)``.
+
     A document outside the dense list can only reach the top ``k`` with a term rank up to ``k``, so
     exact term ranks are needed for the dense list and the first ``k`` of the term list alone.
     """
-    corpus = docs if allowed is None else docs.join(small_side(allowed.select("doc_id"), 64), "doc_id", "left_semi")
-    dense = knn(queries.select("query_id", "embedding"), corpus.select("doc_id", "embedding"), max(2 * k, 50), tolerance=tolerance)
+    corpus = vectors if allowed is None else vectors.join(small_side(allowed.select("doc_id"), 64), "doc_id", "left_semi")
+    dense = knn(queries.select("query_id", "embedding"), corpus, max(2 * k, 50), tolerance=tolerance)
     scored = bm25_scores(docs.select("doc_id", "text"), queries.select("query_id", "text"), allowed)
-    head = take_top(scored, k).select("query_id", "doc_id", "rank")
+    # Both lists are read several times below and hold few rows per query.
+    dense = cut_lineage(dense)
+    head = cut_lineage(take_top(scored, k).select("query_id", "doc_id", "rank"))
     rest = exact_ranks(scored, dense.join(head, ["query_id", "doc_id"], "left_anti"))
     return fuse(dense, head.unionByName(rest), k).withColumn("distance", 1.0 - F.col("score"))
 
 
-def scoped_fusion_search(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
-    """Fusion over all documents of a scope; ``docs`` is scoped before, so both ranks are scope-local.
+def scoped_fusion_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """Fusion over all documents of a scope; ``docs(doc_id, text)`` and ``vectors(doc_id, embedding)``
+    are scoped before, so both ranks are scope-local.
 
     A document outside the first ``60 + 2k`` of both lists scores below ``1 / (60 + k)``, which ``k``
     dense results already reach. So candidates are those two heads, and a counting pass gives each
@@ -153,11 +160,11 @@ def scoped_fusion_search(queries: DataFrame, docs: DataFrame, k: int = 10) -> Da
     if not 1 <= k <= 100:
         raise ValueError("limit must be between 1 and 100")
     depth = RRF + 2 * k
-    vectors = docs.select("doc_id", "embedding")
     probes = queries.select("query_id", "embedding")
-    dense_head = take_top(scan(probes, vectors, depth, tolerance=None), depth).select("query_id", "doc_id", "rank")
-    scored = overlap_scores(docs.select("doc_id", "text"), queries.select("query_id", "text"))
-    lexical_head = take_top(scored, depth).select("query_id", "doc_id", "rank")
+    # Both heads are read several times below and hold `depth` rows per query at most.
+    dense_head = cut_lineage(take_top(scan(probes, vectors, depth, tolerance=None), depth).select("query_id", "doc_id", "rank"))
+    scored = overlap_scores(docs, queries.select("query_id", "text"))
+    lexical_head = cut_lineage(take_top(scored, depth).select("query_id", "doc_id", "rank"))
     only_lexical = lexical_head.join(dense_head, ["query_id", "doc_id"], "left_anti")
     only_dense = dense_head.join(lexical_head, ["query_id", "doc_id"], "left_anti")
     dense = dense_head.unionByName(dense_ranks(probes, vectors, only_lexical).withColumn("rank", F.col("rank").cast("int")))

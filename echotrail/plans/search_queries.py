@@ -10,6 +10,7 @@ from echotrail.operators import fusion, knn as nn, lexical as lx
 from echotrail.operators.events import recent
 from echotrail.plans.inputs import ROWS_CTE, table, vault_rows
 from echotrail.plans.registry import query
+from echotrail.session import cut_lineage, spread
 
 DIM = 64
 
@@ -17,7 +18,7 @@ DIM = 64
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def texts(spark, sf):
@@ -29,6 +30,11 @@ def embedded(df, key: str):
         c for c in df.columns if c not in (key, "text", "embedding")])
 
 
+def text_vectors(df):
+    """The stored vector table of a set of texts: embedded once, then searched."""
+    return cut_lineage(df.select("doc_id", vx.hash_embedding(F.col("text"), DIM).alias("embedding")))
+
+
 def corpus(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
 
@@ -129,7 +135,7 @@ SCOPE_SQL = "source IN ('" + "','".join(SCOPE) + "')"
 
 
 def scoped(spark, sf):
-    return table(spark, sf, "documents").filter(F.col("source").isin(SCOPE)).select("doc_id", "text")
+    return spread(table(spark, sf, "documents").filter(F.col("source").isin(SCOPE)).select("doc_id", "text"), "doc_id")
 
 
 @query("idf_overlap_search", f"WITH {overlap_cte(SCOPE_SQL)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ovr WHERE rank <= 10")
@@ -190,7 +196,7 @@ UNIT_BALL = ("list_transform({v}, lambda x: x * least(tanh(sqrt(list_sum(list_tr
 @query("hyperbolic_knn", f"""WITH ball AS (SELECT vec_id, {UNIT_BALL.format(v='v')} AS b FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)),
    sized AS (SELECT vec_id, b, list_sum(list_transform(b, lambda x: x*x)) AS s FROM ball),
    zs AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, greatest(1 + 1e-15, 1 + 2 * pow(list_distance(q.b, c.b), 2) / greatest((1-q.s)*(1-c.s), 1e-15)) AS z FROM sized q, sized c),
-   ds AS (SELECT query_id, doc_id, round(ln(z + sqrt(z*z - 1)), 6) AS distance FROM zs),
+   ds AS (SELECT query_id, doc_id, round(ln(z + sqrt(z*z - 1)), 9) AS distance FROM zs),
    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM ds)
    SELECT query_id, rank, doc_id, round(1 / (1 + distance), 4) AS score, round(distance, 4) AS distance FROM ranked WHERE rank <= 10""")
 def _hyperbolic(spark, sf):
@@ -261,7 +267,8 @@ def fusion_cte(where: str) -> str:
    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)
    SELECT query_id, rank, doc_id, round(score, 9) AS score, round(1 - score, 9) AS distance FROM r WHERE rank <= 10""")
 def _rrf(spark, sf):
-    out = fusion.rrf_hybrid_search(embedded(texts(spark, sf), "query_id"), embedded(docs(spark, sf), "doc_id"), 10, tolerance=None)
+    out = fusion.rrf_hybrid_search(
+        embedded(texts(spark, sf), "query_id"), docs(spark, sf), text_vectors(docs(spark, sf)), 10, tolerance=None)
     return out.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"), F.round("distance", 9).alias("distance"))
 
 
@@ -273,7 +280,8 @@ L6_SQL = f"""WITH {overlap_cte(SCOPE_SQL)}, {fusion_cte(SCOPE_SQL)},
 
 
 def fused(spark, sf, k=10):
-    return fusion.scoped_fusion_search(embedded(texts(spark, sf), "query_id"), embedded(scoped(spark, sf), "doc_id"), k)
+    rows = scoped(spark, sf)
+    return fusion.scoped_fusion_search(embedded(texts(spark, sf), "query_id"), rows, text_vectors(rows), k)
 
 
 @query("scoped_fusion_search", f"{L6_SQL} SELECT query_id, rank, doc_id, round(score, 9) AS score, dense_rank, lexical_rank FROM fused WHERE rank <= 10")

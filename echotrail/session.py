@@ -44,3 +44,18 @@ def fits_broadcast(df: DataFrame, row_bytes: int, limit: int | None = None) -> b
 def small_side(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataFrame:
     """Hint a broadcast only when the size check passes; otherwise Spark picks a shuffle join."""
     return F.broadcast(df) if fits_broadcast(df, row_bytes, limit) else df
+
+
+def hint(df: DataFrame, small: bool) -> DataFrame:
+    """Broadcast hint for a side whose size a caller has already bounded by a checked table."""
+    return F.broadcast(df) if small else df
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy row work a full set of tasks when a scan has fewer splits than cores.
+
+    A file with one large row group cannot be split by the reader. Large inputs have more splits
+    than cores and pass through unchanged. ``scan`` must be a plain scan, ``key`` unique per row.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
