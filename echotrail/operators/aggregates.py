@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrail.functions import text as tx
-from echotrail.operators.ordered import ordered_positions
+from echotrail.operators.ordered import ordered_positions, running_total
 from echotrail.session import small_side
 
 # Commands that are never offered as a fix while others exist.
@@ -85,38 +85,33 @@ def repair_status_counts(queue: DataFrame) -> DataFrame:
     return queue.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def interval_pairs(errors: DataFrame, commands: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Commands from an error's time up to ``seconds`` later, per key.
+def recovery_commands(errors: DataFrame, commands: DataFrame, key: str, seconds: int = 300, top: int = 10,
+                      chunk_rows: int | None = None) -> DataFrame:
+    """Per key the commands run within ``seconds`` after its errors, by how often that happened.
 
-    Both sides fall into bins as long as the interval; an error meets its own bin and the next. That
-    makes an equality join on (key, bin) with a short range check left over, and it splits a busy key
-    by time.
+    A command at time u follows as many errors as lie in [u - seconds, u]. That is the running count of
+    errors at u minus the one just before u - seconds, so each command contributes two lookup points on
+    the key's time line and no (error, command) pair is ever formed. Trivial commands are offered only
+    if nothing else remains; ties go to the smaller text.
     """
-    left = errors.select(F.col(key).alias("_k"), "error_id", F.col("ts").alias("error_ts"),
-                         F.explode(F.array(F.floor(F.unix_micros("ts") / (seconds * 1_000_000)),
-                                           F.floor(F.unix_micros("ts") / (seconds * 1_000_000)) + 1)).alias("_bin"))
-    right = commands.select(key, "command", F.col("ts").alias("command_ts"),
-                            F.floor(F.unix_micros("ts") / (seconds * 1_000_000)).alias("_b"))
-    until = F.col("error_ts") + F.expr(f"INTERVAL {int(seconds)} SECONDS")
-    return left.join(right, (F.col("_k").eqNullSafe(F.col(key))) & (F.col("_bin") == F.col("_b"))
-                     & (F.col("command_ts") >= F.col("error_ts")) & (F.col("command_ts") <= until)).select(
-        key, "error_id", "error_ts", "command", "command_ts")
-
-
-def recovery_commands(errors: DataFrame, commands: DataFrame, key: str, seconds: int = 300) -> DataFrame:
-    """Per key the commands that followed its errors, most frequent first; trivial ones only if alone.
-
-    Ties go to the command seen first after an error.
-    """
-    # Equal commands of one bin are counted before they meet the errors of that bin.
-    pairs = interval_pairs(errors, commands, key, seconds)
-    counts = pairs.groupBy(key, "command").agg(F.count("*").alias("n"), F.min("command_ts").alias("first_ts"))
+    when = F.unix_micros(F.col("ts").cast("timestamp"))
+    none = F.lit(None).cast("string")
+    width = seconds * 1_000_000
+    line = errors.select(key, when.alias("_t"), F.lit(1).alias("_kind"), none.alias("command"), F.lit(1).alias("_error"))
+    for shift, kind in ((width, 0), (0, 2)):  # before the errors of its instant, and after them
+        line = line.unionByName(commands.select(
+            key, (when - shift).alias("_t"), F.lit(kind).alias("_kind"), "command", F.lit(0).alias("_error")))
+    line = line.groupBy(key, "_t", "_kind", "command").agg(F.count("*").alias("_n"), F.sum("_error").alias("_error"))
+    placed = ordered_positions(line, [key], ["_t", "_kind", "command"])
+    counted = running_total(placed, [key], "_error", "_errors", chunk_rows).filter("_kind <> 1")
+    signed = F.when(F.col("_kind") == 2, F.col("_errors")).otherwise(-F.col("_errors")) * F.col("_n")
+    counts = counted.groupBy(key, "command").agg(F.sum(signed).alias("n")).filter("n > 0")
     trivial = F.trim("command").isin(IGNORED_COMMANDS)
     useful = counts.filter(~trivial).groupBy(key).agg(F.lit(True).alias("_useful")).withColumnRenamed(key, "_k")
     kept = counts.join(useful, F.col(key).eqNullSafe(F.col("_k")), "left").filter(
         ~trivial | F.col("_useful").isNull()).drop("_useful", "_k")
-    order = Window.partitionBy(key).orderBy(F.desc("n"), "first_ts", "command")
-    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 10)
+    order = Window.partitionBy(key).orderBy(F.desc("n"), "command")
+    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
 
 def hydrate(hits: DataFrame, docs: DataFrame) -> DataFrame:

@@ -71,6 +71,23 @@ def halo_chunks(positioned: DataFrame, halo: int, rows: int | None = None, pos:
     )
 
 
+def running_total(positioned: DataFrame, keys: list[str], value: str, out: str, rows: int | None = None, pos: str = "pos") -> DataFrame:
+    """Exact running sum of ``value`` along each key: within chunks, plus the totals of earlier chunks."""
+    rows = CHUNK_ROWS if rows is None else rows
+    chunked = positioned.withColumn("_chunk", F.floor((F.col(pos) - 1) / rows))
+    inside = F.sum(value).over(Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    totals = chunked.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_total"))
+    totals = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"), "_total")
+    before = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_k_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).filter("_k_chunk > 0")
+    condition = F.col("_chunk") == F.col("_k_chunk")
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = chunked.withColumn("_inside", inside).join(totals, condition, "left")
+    return joined.withColumn(out, F.col("_inside") + F.coalesce("_before", F.lit(0))).drop(
+        "_chunk", "_inside", "_total", "_before", "_k_chunk", *[f"_k_{k}" for k in keys])
+
+
 def chunk_window(keys: list[str], pos: str = "pos") -> WindowSpec:
     return Window.partitionBy(*keys, "_chunk").orderBy(pos)
 
@@ -95,7 +112,8 @@ def fold_ordered(
     """
     positioned = cut_lineage(ordered_positions(df, keys, order))
     last = positioned.agg(F.max("pos")).first()[0] or 0
-    carry = T.StructType(list(schema.fields) + [T.StructField("_state", T.StringType())])
+    # The state row of a key leaves all other columns null.
+    carry = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields] + [T.StructField("_state", T.StringType())])
     names = [f.name for f in schema.fields]
     key_positions = [names.index(k) for k in keys]
 
