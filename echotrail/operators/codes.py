@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from echotrail.operators.kernels import to_matrix
 from echotrail.operators.knn import candidate_count, knn, rerank_knn
+from echotrail.session import cut_lineage
 
 FLY_BITS, FLY_SEED, FLY_LINKS, FLY_ACTIVE = 10_000, 42, 6, 0.05
 
@@ -69,11 +70,12 @@ def flyhash_index(df: DataFrame) -> DataFrame:
 
 
 def hamming_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, **options) -> DataFrame:
-    return knn(flyhash_index(queries), flyhash_index(corpus), k, metric="hamming", **options)
+    return knn(cut_lineage(flyhash_index(queries)), cut_lineage(flyhash_index(corpus)), k, metric="hamming", **options)
 
 
 def flyhash_rerank_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, candidates: int | None = None, **options) -> DataFrame:
-    return rerank_knn(flyhash_index(queries), flyhash_index(corpus), k, "hamming", candidates or candidate_count(k), **options)
+    coded_queries, coded_corpus = cut_lineage(flyhash_index(queries)), cut_lineage(flyhash_index(corpus))
+    return rerank_knn(coded_queries, coded_corpus, k, "hamming", candidates or candidate_count(k), **options)
 
 
 # --- lattice ------------------------------------------------------------------------------
@@ -113,7 +115,7 @@ def _word_tables():
     return six, parity
 
 
-def nearest_lattice(y: np.ndarray, step: int = 64) -> np.ndarray:
+def nearest_lattice(y: np.ndarray, step: int = 16) -> np.ndarray:
     """Nearest point of the scaled lattice for each row of 24 coordinates.
 
     Points are ``4z + 2g`` (coordinate sum divisible by 8) or ``4z + 2g + 1`` (sum 4 mod 8) for a code
@@ -140,17 +142,18 @@ def nearest_lattice(y: np.ndarray, step: int = 64) -> np.ndarray:
                     at = slice(12 * half + 6 * group, 12 * half + 6 * group + 6)
                     e = np.where(six[None], gap[1][:, None, at], gap[0][:, None, at])
                     v = np.where(six[None], near[1][:, None, at], near[0][:, None, at])
-                    tables.append(((e * e).sum(axis=2), v.sum(axis=2), np.abs(e).max(axis=2)))
+                    # Costs rank candidates in single precision; sums only matter modulo 8.
+                    tables.append(((e * e).sum(axis=2).astype(np.float32), np.mod(np.rint(v.sum(axis=2)), 8).astype(np.int8),
+                                   np.abs(e).max(axis=2).astype(np.float32)))
                 low, high = tables
                 halves.append([
                     (high[0][:, :, None] + low[0][:, None, :]).reshape(n, 4096),
                     (high[1][:, :, None] + low[1][:, None, :]).reshape(n, 4096),
                     np.maximum(high[2][:, :, None], low[2][:, None, :]).reshape(n, 4096)])
             first, second = halves
-            total = first[1] + second[1][:, parity]
-            off = np.mod(np.rint(total), 8) == (4 if odd == 0.0 else 0)
-            largest = np.maximum(first[2], second[2][:, parity])
-            cost = first[0] + second[0][:, parity] + np.where(off, 16.0 - 8.0 * largest, 0.0)
+            off = ((first[1] + np.take(second[1], parity, axis=1)) & 7) == (4 if odd == 0.0 else 0)
+            extra = np.float32(16.0) - np.float32(8.0) * np.maximum(first[2], np.take(second[2], parity, axis=1))
+            cost = first[0] + np.take(second[0], parity, axis=1) + extra * off
             word = cost.argmin(axis=1)
             rows = np.arange(n)
             better = cost[rows, word] < best
@@ -203,7 +206,9 @@ def lattice_coarse_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, toler
     from echotrail.operators.knn import scan, take_top
     from echotrail.session import small_side
 
-    coarse = scan(lattice_index(queries), lattice_index(corpus), 3 * k, "l2", True, tolerance=None, **options)
+    # The code tables are written once; each would otherwise be decoded at every read.
+    coded_queries, coded_corpus = cut_lineage(lattice_index(queries)), cut_lineage(lattice_index(corpus))
+    coarse = scan(coded_queries, coded_corpus, 3 * k, "l2", True, tolerance=None, **options)
     chosen = take_top(coarse, 3 * k, "score", "coarse_rank")
     if tolerance is not None:
         left = queries.select("query_id", vector_entropy(F.col("embedding")).alias("_q"))

@@ -8,31 +8,38 @@ from echotrail.functions import vectors as vx
 from echotrail.operators import cache as ca, codes, holographic as ho, ivf
 from echotrail.plans.inputs import table
 from echotrail.plans.registry import query
-from echotrail.plans.search_queries import COSINE, ENTROPY_SQL, all_vectors, corpus, pairs_sql, shown
+from echotrail.session import spread
+from echotrail.plans.search_queries import ENTROPY_SQL, all_vectors, corpus, shown
 
 DIM = 64
 
 
+def wide(spark, sf):
+    """Queries and corpus over enough tasks for CPU-heavy encoding."""
+    e = spread(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
+    return e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "doc_id")
+
+
 @query("flyhash_index")
 def _fly(spark, sf):
     """Winner codes; the random projection has no SQL form. Shows each code's bit count and digest."""
-    coded = codes.flyhash_index(corpus(spark, sf))
+    coded = codes.flyhash_index(wide(spark, sf)[1])
     return coded.select("doc_id", F.octet_length("code").alias("bytes"), F.sha2("code", 256).alias("digest"))
 
 
 @query("hamming_knn")
 def _hamming(spark, sf):
-    return shown(codes.hamming_knn(all_vectors(spark, sf), corpus(spark, sf), 10))
+    return shown(codes.hamming_knn(*wide(spark, sf), 10))
 
 
 @query("flyhash_rerank_knn")
 def _fly_rerank(spark, sf):
-    return shown(codes.flyhash_rerank_knn(all_vectors(spark, sf), corpus(spark, sf), 10))
+    return shown(codes.flyhash_rerank_knn(*wide(spark, sf), 10))
 
 
 @query("lattice_coarse_knn")
 def _lattice(spark, sf):
-    return shown(codes.lattice_coarse_knn(all_vectors(spark, sf), corpus(spark, sf), 10))
+    return shown(codes.lattice_coarse_knn(*wide(spark, sf), 10))
 
 
 # One assignment pass from evenly spaced seeds is plain SQL; so is probing with the updated means.
