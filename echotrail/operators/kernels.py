@@ -80,7 +80,7 @@ def hamming_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Negative Hamming distance between packed codes (uint8 matrices)."""
     out = np.empty((len(x), len(q)))
     for j in range(len(q)):
-        out[:, j] = -np.bitwise_count(np.bitwise_xor(x, q[j])).sum(axis=1)
+        out[:, j] = -np.bitwise_count(np.bitwise_xor(x, q[j])).sum(axis=1, dtype=np.int64)
     return out
 
 

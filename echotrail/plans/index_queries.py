@@ -92,7 +92,7 @@ def _holographic(spark, sf):
 def _days(spark, sf):
     """Vectors filed under days; each is looked up in its own day's memory. Seeds are ours: rows only."""
     e = table(spark, sf, "embeddings")
-    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("label"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("vec_id") / 8).cast("int"))  # eight rows a day
     rows = e.select(day.alias("day"), F.col("vec_id").alias("doc_id"), vx.doubles(F.col("embedding")).alias("embedding"))
     memory, placed = ho.compile_days(rows, DIM, ["doc_id"])
     asked = rows.select(F.col("doc_id").alias("query_id"), "day", "embedding")
