@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from echotrail.functions import text as tx
 from echotrail.operators import events as ev
-from echotrail.session import small_side
+from echotrail.session import small_side, written
 from echotrail.sources.files import parse_history
 from echotrail.sources.vault import Vault, first_per_key
 from echotrail.streaming import processors as ps
@@ -41,8 +41,8 @@ def shell_history_stream(lines: DataFrame, key: str, order: list[str]) -> DataFr
 
 
 def dedupe_stream(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    hashed = rows.withColumn("_hash", tx.content_hash(F.col("text")))
-    return ps.run_stateful(hashed, key, ps.ConsecutiveRepeats(), order, _with(hashed.schema)).drop("_hash")
+    hashed = rows.withColumn("content_digest", tx.content_hash(F.col("text")))
+    return ps.run_stateful(hashed, key, ps.ConsecutiveRepeats(), order, _with(hashed.schema)).drop("content_digest")
 
 
 def daily_cap_stream(requests: DataFrame, key: str, ts: str, order: list[str], cap: int = 50) -> DataFrame:
@@ -159,12 +159,10 @@ def capture_sink(vault: Vault, embed: Callable, collection: str = "main", mirror
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        from echotrail.session import cut_lineage
-
-        batch = cut_lineage(batch)
+        batch = written(batch)
         stored = ev.normalize_events(vault.rows(collection))
         parts = add_events(batch, stored)
-        rows = cut_lineage(vault_batch(parts["accepted"], embed, collection))
+        rows = written(vault_batch(parts["accepted"], embed, collection))
         vault.ingest(rows)
         if quarantine is not None:
             refused = parts["conflict"].withColumn("why", F.lit("conflict")).unionByName(parts["invalid"].withColumn("why", F.lit("invalid")))
@@ -263,10 +261,9 @@ def traceback_triggers(captured: DataFrame, key: str, order: list[str]) -> DataF
 def traceback_sink(docs: DataFrame, path: str, k: int = 1) -> Callable[[DataFrame, int], None]:
     """Look each trigger up in memory by its terms and append the best hit. ``docs(doc_id, text)``."""
     from echotrail.operators.lexical import bm25_search
-    from echotrail.session import cut_lineage
 
     def search(batch: DataFrame, _batch_id: int) -> None:
-        queries = cut_lineage(batch.select(F.col("event_id").alias("query_id"), F.col("query").alias("text")))
+        queries = written(batch.select(F.col("event_id").alias("query_id"), F.col("query").alias("text")))
         if queries.limit(1).count():
             bm25_search(docs, queries, k).write.mode("append").parquet(path)
 
