@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echotrail.operators.ordered import chunk_window, halo_chunks, ordered_positions, own_rows
+from echotrail.operators.ordered import chunk_window, ordered_chunks, own_rows
 
 ZERO_HASH = "0" * 64
 
@@ -26,7 +26,7 @@ def audit_event_hash() -> Column:
 
 
 def _with_previous(log: DataFrame, chain: str, column: str, chunk_rows: int | None) -> DataFrame:
-    chunks = halo_chunks(ordered_positions(log, [chain], ["position"]), 1, chunk_rows)
+    chunks = ordered_chunks(log, [chain], ["position"], 1, chunk_rows)
     return own_rows(chunks.withColumn("_before", F.lag(column).over(chunk_window([chain]))))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotrail.functions import text as tx
-from echotrail.operators.ordered import chunk_window, halo_chunks, ordered_positions, own_rows
+from echotrail.operators.ordered import chunk_window, ordered_chunks, own_rows
 
 SHARE_CHARS = 4096  # the share view is bounded by definition
 SHARED_KEYS = ["title", "url", "path", "application", "timestamp_inferred", "provenance"]
@@ -137,7 +137,7 @@ def apply_enrichment(queue: DataFrame, responses: DataFrame) -> DataFrame:
 def content_dedupe(rows: DataFrame, keys: list[str], order: list[str], chunk_rows: int | None = None) -> DataFrame:
     """Drop a row whose trimmed text equals that of the row before it in its key."""
     hashed = rows.withColumn("_hash", tx.content_hash(F.col("text")))
-    chunks = halo_chunks(ordered_positions(hashed, keys, order), 1, chunk_rows)
+    chunks = ordered_chunks(hashed, keys, order, 1, chunk_rows)
     previous = F.lag("_hash").over(chunk_window(keys))
     return own_rows(chunks.withColumn("_previous", previous)).filter(
         F.col("_previous").isNull() | (F.col("_previous") != F.col("_hash"))

@@ -71,6 +71,24 @@ def halo_chunks(positioned: DataFrame, halo: int, rows: int | None = None, pos:
     )
 
 
+def groups_within(df: DataFrame, keys: list[str], rows: int) -> bool:
+    """True when no key has more than ``rows`` rows. Reads the key columns only, with partial counts."""
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows).limit(1).count() == 0
+
+
+def ordered_chunks(df: DataFrame, keys: list[str], order: list[str | Column], halo: int, rows: int | None = None) -> DataFrame:
+    """Rows with ``pos``, ``_chunk`` and ``_own``, ready for ``chunk_window`` and ``own_rows``.
+
+    If every key is proven to fit one chunk, one shuffle by key is enough. Only a table with a larger
+    key pays for exact positions and halos.
+    """
+    limit = CHUNK_ROWS if rows is None else rows
+    if groups_within(df, keys, limit):
+        numbered = df.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*_columns(order))).cast("long"))
+        return numbered.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_own", F.lit(True))
+    return halo_chunks(ordered_positions(df, keys, order), halo, limit)
+
+
 def running_total(positioned: DataFrame, keys: list[str], value: str, out: str, rows: int | None = None, pos: str = "pos") -> DataFrame:
     """Exact running sum of ``value`` along each key: within chunks, plus the totals of earlier chunks."""
     rows = CHUNK_ROWS if rows is None else rows
@@ -99,7 +117,7 @@ def own_rows(df: DataFrame) -> DataFrame:
 def fold_ordered(
     df: DataFrame,
     keys: list[str],
-    order: list[str | Column],
+    order: list[str],
     step: Callable[[pd.DataFrame, str | None], tuple[pd.DataFrame, str]],
     schema: T.StructType,
     slice_rows: int = CHUNK_ROWS,
@@ -110,8 +128,6 @@ def fold_ordered(
     one slice; the state of each key travels between slices as a short string. ``step`` takes the
     ordered rows of one slice and the previous state and returns output rows and the new state.
     """
-    positioned = cut_lineage(ordered_positions(df, keys, order))
-    last = positioned.agg(F.max("pos")).first()[0] or 0
     # The state row of a key leaves all other columns null.
     carry = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields] + [T.StructField("_state", T.StringType())])
     names = [f.name for f in schema.fields]
@@ -133,6 +149,14 @@ def fold_ordered(
     def first_slice(key, rows):
         return run(key, rows, None)
 
+    if groups_within(df, keys, slice_rows):
+        # No key is longer than a slice: one pass, no positions to write down.
+        def whole(rows: pd.DataFrame) -> pd.DataFrame:
+            return step(rows.sort_values(order), None)[0][names]
+
+        return df.groupBy(*keys).applyInPandas(whole, schema)
+    positioned = cut_lineage(ordered_positions(df, keys, order))
+    last = positioned.agg(F.max("pos")).first()[0] or 0
     done: DataFrame | None = None
     state: DataFrame | None = None
     for start in range(0, last, slice_rows):

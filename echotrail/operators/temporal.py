@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echotrail.operators.ordered import chunk_window, fold_ordered, halo_chunks, ordered_positions, own_rows
+from echotrail.operators.ordered import chunk_window, fold_ordered, ordered_chunks, own_rows
 
 WINDOW = 16
 SKIPPED_ROUTES = ["local", "speculative", "distilled", "cache"]
@@ -57,7 +57,7 @@ def rolling_trend(df: DataFrame, key: str, order: list[str], chunk_rows: int | N
     The x of an aligned row is its running number among aligned rows; a slope ignores where x starts,
     so numbering within the chunk is enough.
     """
-    chunks = halo_chunks(ordered_positions(df, [key], order), WINDOW - 1, chunk_rows)
+    chunks = ordered_chunks(df, [key], order, WINDOW - 1, chunk_rows)
     base = chunk_window([key])
     running = base.rowsBetween(-(10**9), 0)
     frame = base.rowsBetween(-(WINDOW - 1), 0)
@@ -94,7 +94,7 @@ def similarity_baseline_alert(df: DataFrame, key: str, order: list[str], rows: i
     ``df`` has ``similarity``. The first full window is the row at position 20, one per key, so the
     baseline joins back by key instead of travelling through an unbounded frame.
     """
-    chunks = halo_chunks(ordered_positions(df, [key], order), rows - 1, chunk_rows)
+    chunks = ordered_chunks(df, [key], order, rows - 1, chunk_rows)
     mean = F.avg("similarity").over(chunk_window([key]).rowsBetween(-(rows - 1), 0))
     rolled = own_rows(chunks.withColumn("mean", mean)).withColumn("mean", F.when(F.col("pos") >= rows, F.col("mean")))
     baseline = rolled.filter(F.col("pos") == rows).select(F.col(key).alias("_key"), F.col("mean").alias("baseline"))
@@ -137,7 +137,7 @@ def momentum(df: DataFrame, key: str, order: list[str], beta_max: float = 0.3, c
     Each row sees the 16 rows up to itself; stability compares with the momentum one row earlier.
     That is a look-back of 16 rows, so a chunk with its halo is all a task needs.
     """
-    chunks = halo_chunks(ordered_positions(df, [key], order), WINDOW, 8192 if chunk_rows is None else chunk_rows)
+    chunks = ordered_chunks(df, [key], order, WINDOW, 8192 if chunk_rows is None else chunk_rows)
     schema = T.StructType(list(df.schema.fields) + [
         T.StructField("pos", T.LongType()), T.StructField("momentum", T.ArrayType(T.DoubleType())),
         T.StructField("stability", T.DoubleType()), T.StructField("corrected", T.ArrayType(T.DoubleType()))])

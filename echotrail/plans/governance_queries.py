@@ -9,6 +9,7 @@ from echotrail.operators import governance as gov
 from echotrail.operators.events import iso, select_pending
 from echotrail.plans.inputs import events_sql, iso_sql, table, vault_events
 from echotrail.plans.registry import query
+from echotrail.session import spread
 
 # One string per secret pattern and personal-data label, then an opaque string and an empty text.
 PLANTED = [
@@ -35,7 +36,7 @@ OPAQUE = "Ab9_" * 12
 
 
 def planted(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     slot = F.pmod("doc_id", F.lit(20)).cast("int")
     extra = F.element_at(F.array(*[F.lit(p) for p in PLANTED]), F.least(slot, F.lit(17)) + 1)
     text = F.when(slot == 18, OPAQUE).when(slot == 19, "").otherwise(F.concat("text", F.lit("\n"), extra))

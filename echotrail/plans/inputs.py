@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echotrail.operators.events import normalize_events
+from echotrail.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def vault_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored event rows made from ``events``: JSON metadata with and without each optional key."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"), "event_id")
     kind = F.col("event_type")
     stamp = F.col("ts")
     shifted = F.date_format(stamp + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'")

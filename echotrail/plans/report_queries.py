@@ -194,16 +194,15 @@ CHAIN_CTE = """base AS (SELECT user_id, event_id, row_number() OVER w - 1 AS seq
 
 def chain_rows(spark, sf):
     """Fingerprint blocks made from events: each block is linked by a digest of its predecessor's core."""
-    from echotrail.operators.ordered import chunk_window, halo_chunks, ordered_positions, own_rows
+    from echotrail.operators.ordered import chunk_window, ordered_chunks, own_rows
 
     e = table(spark, sf, "events").select(
         F.col("user_id").alias("chain"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("string").alias("timestamp"), "ts",
         "event_type", F.sha2(F.concat(F.lit("s"), F.col("event_id").cast("string")), 256).alias("content_fingerprint"))
-    placed = ordered_positions(e, ["chain"], ["ts", "event_id"]).withColumn("seq", F.col("pos") - 1).withColumnRenamed("pos", "position")
+    placed = ordered_chunks(e, ["chain"], ["ts", "event_id"], 1).withColumn("seq", F.col("pos") - 1).withColumnRenamed("pos", "position")
     # A block's stored link is the previous row's fingerprint; its digest covers that link.
-    chunks = halo_chunks(placed, 1, pos="position")
     link = F.lag("content_fingerprint").over(chunk_window(["chain"], "position"))
-    return own_rows(chunks.withColumn("_link", link)).withColumn("prev_hash", F.coalesce("_link", F.lit(ch.ZERO_HASH))).drop("_link", "ts")
+    return own_rows(placed.withColumn("_link", link)).withColumn("prev_hash", F.coalesce("_link", F.lit(ch.ZERO_HASH))).drop("_link", "ts")
 
 
 @query("chain_verify", """WITH base AS (SELECT user_id, event_id, row_number() OVER w - 1 AS seq, epoch_us(ts)::VARCHAR AS stamp, event_type,
