@@ -20,7 +20,7 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, threshold: float = 0.95,
     left = queries.select("query_id", vx.vector_entropy(F.col("embedding")).alias("_q"))
     right = cache.select("doc_id", "value", vx.vector_entropy(F.col("embedding")).alias("_d"))
     hits = right.join(small_side(best, 64), "doc_id").join(left, "query_id")
-    return hits.filter(F.abs(F.col("_q") - F.col("_d")) <= tolerance).select("query_id", "doc_id", "score", "value")
+    return hits.filter(F.round(F.abs(F.col("_q") - F.col("_d")), 9) <= tolerance).select("query_id", "doc_id", "score", "value")
 
 
 def hopfield_readout(queries: DataFrame, cache: DataFrame, beta: float = 8.0, top_k: int = 64, min_confidence: float = 0.70,

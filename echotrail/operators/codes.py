@@ -214,6 +214,6 @@ def lattice_coarse_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, toler
         left = queries.select("query_id", vector_entropy(F.col("embedding")).alias("_q"))
         right = corpus.select("doc_id", vector_entropy(F.col("embedding")).alias("_d"))
         chosen = right.join(small_side(chosen, 64), "doc_id").join(small_side(left, 32), "query_id").filter(
-            F.abs(F.col("_q") - F.col("_d")) <= tolerance)
+            F.round(F.abs(F.col("_q") - F.col("_d")), 9) <= tolerance)
     return take_top(chosen, k, "exact").select(
         "query_id", "rank", "doc_id", F.col("exact").alias("score"), (1.0 - F.col("exact")).alias("distance"))

@@ -182,7 +182,8 @@ class QueryBlock:
         exact = cosine_scores(q, x) if self.rerank else score
         gate = None
         if self.tolerance is not None:
-            gate = np.abs(entropies[:, None] - self.entropies[queries][None, :]) <= self.tolerance
+            # Entropies are sums of few distinct terms, so gaps of exactly the tolerance are common.
+            gate = np.round(np.abs(entropies[:, None] - self.entropies[queries][None, :]), ROUND) <= self.tolerance
         for j, query in enumerate(queries):
             ok = np.ones(len(ids), dtype=bool) if gate is None else gate[:, j]
             if exclude_self:

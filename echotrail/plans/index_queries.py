@@ -63,9 +63,9 @@ def _ivf(spark, sf):
    cents AS (SELECT part, c FROM means UNION ALL SELECT part, v FROM seeds WHERE part NOT IN (SELECT part FROM means)),
    probed AS (SELECT vec_id, part FROM (SELECT p.vec_id, c.part, row_number() OVER (PARTITION BY p.vec_id ORDER BY round(list_cosine_similarity(p.v, c.c), 9) DESC, c.part DESC) AS rn FROM placed p, cents c) WHERE rn <= 8),
    pairs AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.v, d.v), 9) AS score
-     FROM probed b JOIN placed q ON q.vec_id = b.vec_id JOIN units d ON d.part = b.part WHERE abs(q.entropy - d.entropy) <= 0.5),
+     FROM probed b JOIN placed q ON q.vec_id = b.vec_id JOIN units d ON d.part = b.part WHERE round(abs(q.entropy - d.entropy), 9) <= 0.5),
    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pairs)
-   SELECT query_id, rank, doc_id, round(score, 6) AS score, round(1 - score, 6) AS distance FROM ranked WHERE rank <= 10""")
+   SELECT query_id, rank, doc_id, round(score, 9) AS score, round(1 - score, 9) AS distance FROM ranked WHERE rank <= 10""")
 def _ivf_knn(spark, sf):
     assigned, centroids = ivf.ivf_build(corpus(spark, sf))
     # Probing is forced, since a table of a few thousand rows would be scanned whole.
@@ -81,9 +81,9 @@ KEYS_SQL = f"""ks AS (SELECT vec_id, list_transform(range({DIM}), lambda j: ('0x
 
 
 @query("holographic_knn", f"""WITH {ENTROPY_SQL}, {KEYS_SQL},
-   pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_cosine_similarity(q.v, c.r), 9) AS score FROM keyed q, recalled c WHERE abs(q.entropy - c.entropy) <= 0.5),
+   pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_cosine_similarity(q.v, c.r), 9) AS score FROM keyed q, recalled c WHERE round(abs(q.entropy - c.entropy), 9) <= 0.5),
    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pairs)
-   SELECT query_id, rank, doc_id, round(score, 6) AS score, round(1 - score, 6) AS distance FROM ranked WHERE rank <= 10""")
+   SELECT query_id, rank, doc_id, round(score, 9) AS score, round(1 - score, 9) AS distance FROM ranked WHERE rank <= 10""")
 def _holographic(spark, sf):
     return shown(ho.holographic_knn(all_vectors(spark, sf), corpus(spark, sf), 10))
 
@@ -119,16 +119,16 @@ CACHE_CTE = f"""changed AS (SELECT vec_id, {LOOKUP_SQL} AS embedding FROM embedd
 
 
 @query("cache_lookup", f"""WITH {CACHE_CTE},
-   s AS (SELECT query_id, doc_id, round(list_cosine_similarity(qs.v, cs.v), 9) AS score, abs(qs.entropy - cs.entropy) AS gap, value FROM qs, cs),
+   s AS (SELECT query_id, doc_id, round(list_cosine_similarity(qs.v, cs.v), 9) AS score, round(abs(qs.entropy - cs.entropy), 9) AS gap, value FROM qs, cs),
    b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM s)
-   SELECT query_id, doc_id, round(score, 6) AS score, round(value[1], 6) AS first FROM b WHERE rn = 1 AND score >= 0.95 AND gap <= 0.5""")
+   SELECT query_id, doc_id, round(score, 9) AS score, round(value[1], 6) AS first FROM b WHERE rn = 1 AND score >= 0.95 AND gap <= 0.5""")
 def _lookup(spark, sf):
     hits = ca.cache_lookup(lookups(spark, sf), cached(spark, sf))
-    return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.round(F.col("value")[0].cast("double"), 6).alias("first"))
+    return hits.select("query_id", "doc_id", F.round("score", 9).alias("score"), F.round(F.col("value")[0].cast("double"), 6).alias("first"))
 
 
 @query("hopfield_readout", f"""WITH {CACHE_CTE},
-   s AS (SELECT query_id, doc_id, round(list_cosine_similarity(qs.v, cs.v), 9) AS score, value FROM qs, cs WHERE abs(qs.entropy - cs.entropy) <= 0.5),
+   s AS (SELECT query_id, doc_id, round(list_cosine_similarity(qs.v, cs.v), 9) AS score, value FROM qs, cs WHERE round(abs(qs.entropy - cs.entropy), 9) <= 0.5),
    t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM s) WHERE rn <= 64),
    w AS (SELECT *, exp(12 * score) / sum(exp(12 * score)) OVER (PARTITION BY query_id) AS weight, count(*) OVER (PARTITION BY query_id) AS k FROM t),
    g AS (SELECT query_id, any_value(k) AS k, max(weight) AS p, CASE WHEN any_value(k) <= 1 THEN 0.0 ELSE -sum(weight * ln(greatest(weight, 1e-12))) / ln(any_value(k)::DOUBLE) END AS er,

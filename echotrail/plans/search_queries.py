@@ -68,21 +68,21 @@ ENTROPY_SQL = """entropies AS (SELECT vec_id, CASE WHEN any_value(abs(hi-lo) <=
 def pairs_sql(score: str, gate: bool, self_pairs: bool = True) -> str:
     return f"""{ENTROPY_SQL}, vecs AS (SELECT vec_id, embedding::DOUBLE[] AS v, entropy FROM embeddings JOIN entropies USING (vec_id)),
     pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, {score} AS score FROM vecs q, vecs c
-      WHERE {'abs(q.entropy - c.entropy) <= 0.5' if gate else 'true'} {'' if self_pairs else 'AND q.vec_id <> c.vec_id'})"""
+      WHERE {'round(abs(q.entropy - c.entropy), 9) <= 0.5' if gate else 'true'} {'' if self_pairs else 'AND q.vec_id <> c.vec_id'})"""
 
 
 COSINE = "round(list_cosine_similarity(q.v, c.v), 9)"
 
 
 def knn_sql(score: str = COSINE, k: int = 10, gate: bool = True, self_pairs: bool = True,
-            out: str = "round(score, 6) AS score, round(1 - score, 6) AS distance") -> str:
+            out: str = "round(score, 9) AS score, round(1 - score, 9) AS distance") -> str:
     return f"""WITH {pairs_sql(score, gate, self_pairs)},
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pairs)
     SELECT query_id, rank, doc_id, {out} FROM ranked WHERE rank <= {k}"""
 
 
 def shown(df):
-    return df.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
+    return df.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"), F.round("distance", 9).alias("distance"))
 
 
 # --- lexical ------------------------------------------------------------------------------
@@ -115,10 +115,10 @@ BM25_CTE = f"""dt AS (SELECT doc_id, {TERMS} AS t FROM documents WHERE text <> '
    bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm)"""
 
 
-@query("bm25_search", f"WITH {BM25_CTE} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM bmr WHERE rank <= 10")
+@query("bm25_search", f"WITH {BM25_CTE} SELECT query_id, rank, doc_id, round(score, 9) AS score FROM bmr WHERE rank <= 10")
 def _bm25(spark, sf):
     hits = lx.bm25_search(docs(spark, sf), texts(spark, sf), 10)
-    return hits.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return hits.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
 
 
 def overlap_cte(where: str) -> str:
@@ -138,16 +138,16 @@ def scoped(spark, sf):
     return spread(table(spark, sf, "documents").filter(F.col("source").isin(SCOPE)).select("doc_id", "text"), "doc_id")
 
 
-@query("idf_overlap_search", f"WITH {overlap_cte(SCOPE_SQL)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ovr WHERE rank <= 10")
+@query("idf_overlap_search", f"WITH {overlap_cte(SCOPE_SQL)} SELECT query_id, rank, doc_id, round(score, 9) AS score FROM ovr WHERE rank <= 10")
 def _overlap(spark, sf):
     hits = lx.overlap_search(scoped(spark, sf), texts(spark, sf), 10)
-    return hits.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return hits.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
 
 
-@query("keyword_ranking", f"WITH {overlap_cte('true')} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ovr WHERE rank <= 10")
+@query("keyword_ranking", f"WITH {overlap_cte('true')} SELECT query_id, rank, doc_id, round(score, 9) AS score FROM ovr WHERE rank <= 10")
 def _keyword(spark, sf):
     hits = lx.overlap_search(docs(spark, sf), texts(spark, sf), 10)
-    return hits.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return hits.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
 
 
 # --- vectors ------------------------------------------------------------------------------
@@ -176,12 +176,12 @@ def _route(spark, sf):
 
 
 @query("entropy_gate", f"""WITH {ENTROPY_SQL}, centre AS (SELECT avg(entropy) + 0.35 AS mid FROM entropies)
-   SELECT vec_id FROM entropies, centre WHERE abs(mid - entropy) <= 0.5 AND abs(abs(mid - entropy) - 0.5) > 1e-9""")
+   SELECT vec_id FROM entropies, centre WHERE round(abs(mid - entropy), 9) <= 0.5""")
 def _gate(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", vx.vector_entropy(F.col("embedding")).alias("entropy"))
     centre = e.agg((F.avg("entropy") + 0.35).alias("mid"))
-    gap = F.abs(F.col("mid") - F.col("entropy"))
-    return e.crossJoin(F.broadcast(centre)).filter((gap <= 0.5) & (F.abs(gap - 0.5) > 1e-9)).select("vec_id")
+    gap = F.round(F.abs(F.col("mid") - F.col("entropy")), 9)
+    return e.crossJoin(F.broadcast(centre)).filter(gap <= 0.5).select("vec_id")
 
 
 @query("exact_knn", knn_sql())
@@ -198,10 +198,10 @@ UNIT_BALL = ("list_transform({v}, lambda x: x * least(tanh(sqrt(list_sum(list_tr
    zs AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, greatest(1 + 1e-15, 1 + 2 * pow(list_distance(q.b, c.b), 2) / greatest((1-q.s)*(1-c.s), 1e-15)) AS z FROM sized q, sized c),
    ds AS (SELECT query_id, doc_id, round(ln(z + sqrt(z*z - 1)), 9) AS distance FROM zs),
    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM ds)
-   SELECT query_id, rank, doc_id, round(1 / (1 + distance), 4) AS score, round(distance, 4) AS distance FROM ranked WHERE rank <= 10""")
+   SELECT query_id, rank, doc_id, round(1 / (1 + distance), 9) AS score, round(distance, 9) AS distance FROM ranked WHERE rank <= 10""")
 def _hyperbolic(spark, sf):
     out = nn.knn(all_vectors(spark, sf), corpus(spark, sf), 10, metric="hyperbolic")
-    return out.withColumn("score", F.round("score", 4)).withColumn("distance", F.round("distance", 4))
+    return out.withColumn("score", F.round("score", 9)).withColumn("distance", F.round("distance", 9))
 
 
 @query("int8_rerank_knn", f"""WITH {ENTROPY_SQL},
@@ -210,9 +210,9 @@ def _hyperbolic(spark, sf):
        (SELECT vec_id, embedding::DOUBLE[] AS v, entropy FROM embeddings JOIN entropies USING (vec_id)))),
    coarse AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_cosine_similarity(q.v, c.v), 9) AS score,
       row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.code, c.code) DESC, c.vec_id) AS cr
-      FROM codes q, codes c WHERE abs(q.entropy - c.entropy) <= 0.5),
+      FROM codes q, codes c WHERE round(abs(q.entropy - c.entropy), 9) <= 0.5),
    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM coarse WHERE cr <= 200)
-   SELECT query_id, rank, doc_id, round(score, 6) AS score, round(1 - score, 6) AS distance FROM ranked WHERE rank <= 10""")
+   SELECT query_id, rank, doc_id, round(score, 9) AS score, round(1 - score, 9) AS distance FROM ranked WHERE rank <= 10""")
 def _int8(spark, sf):
     return shown(nn.int8_rerank_knn(all_vectors(spark, sf), corpus(spark, sf), 10))
 
@@ -244,11 +244,11 @@ def prototypes(spark, sf):
      (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) GROUP BY label),
    s AS (SELECT vec_id, m.label, round(list_cosine_similarity(embedding::DOUBLE[], c), 9) AS similarity,
      row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], c), 9) DESC, m.label) AS rn FROM embeddings, means m)
-   SELECT vec_id, label, round(similarity, 6) AS similarity FROM s WHERE rn = 1 AND similarity >= 0.3""")
+   SELECT vec_id, label, round(similarity, 9) AS similarity FROM s WHERE rn = 1 AND similarity >= 0.3""")
 def _codebook(spark, sf):
     words = prototypes(spark, sf).select(F.col("label").alias("doc_id"), "embedding")
     snapped = nn.codebook_cleanup(all_vectors(spark, sf), words, 0.3)
-    return snapped.select(F.col("query_id").alias("vec_id"), "label", F.round("similarity", 6).alias("similarity"))
+    return snapped.select(F.col("query_id").alias("vec_id"), "label", F.round("similarity", 9).alias("similarity"))
 
 
 # --- fusion -------------------------------------------------------------------------------

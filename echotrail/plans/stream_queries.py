@@ -212,4 +212,4 @@ def _lookup(spark, sf):
     out = scratch_path(spark, "hits")
     docs = table(spark, sf, "documents").select("doc_id", "text")
     run_batches(stream, jobs.traceback_sink(docs, out))
-    return spark.read.parquet(out).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return spark.read.parquet(out).select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
