@@ -258,3 +258,21 @@ class Vault:
         if count:
             gone.write.mode("append").parquet(f"{self.path}/tombstones")
         return count
+
+    def rebuild(self, collection: str, embed, target: str) -> "Vault":
+        """Re-embed a collection into a new vault folder; refuse if the source changed meanwhile.
+
+        Readers move to the returned vault only after this succeeds, so a failed run changes nothing.
+        """
+        def version() -> tuple:
+            rows = self.rows(collection).agg(F.count("*"), F.max("row_id"), F.max("created_at"), F.sum(F.xxhash64("doc_id", "metadata").cast("decimal(38,0)")))
+            return tuple(rows.first())
+
+        before = version()
+        rebuilt = Vault(self.spark, target)
+        out = rebuild_embeddings(self.rows(collection), embed)
+        out.select(*[F.col(f.name).cast(f.dataType) for f in self.SCHEMA]).write.partitionBy("collection").parquet(f"{target}/documents")
+        self.tombstones().write.parquet(f"{target}/tombstones")
+        if version() != before:
+            raise RuntimeError("the source changed during the rebuild; keep using it and try again")
+        return rebuilt

@@ -217,3 +217,41 @@ def test_day_memory_recalls_few_rows(spark):
     memory, placed = ho.compile_days(rows, 128, ["doc_id"])
     got = ho.day_recall(rows.withColumnRenamed("doc_id", "query_id"), memory, placed, 128).collect()
     assert len(got) == 6 and all(r["doc_id"] == r["query_id"] for r in got)
+
+
+def test_knob_search_promotes_passing_settings(data):
+    from echotrail.operators.tuning import ivf_knob_search
+
+    _, _, docs, queries = data
+    grid = [{"parts": 8, "probes": 8}, {"parts": 8, "probes": 1}]
+    report = ivf_knob_search(queries, [("small", docs.filter("doc_id < 100")), ("all", docs)], grid, 5, 0.99, 1).collect()
+    small = {r["setting"]: r for r in report if r["stage"] == "small"}
+    assert small[0]["recall_at_k"] == 1.0 and small[0]["promoted"] and small[1]["recall_at_k"] < 0.99 and not small[1]["promoted"]
+    assert [r["setting"] for r in report if r["stage"] == "all"] == [0]
+
+
+def test_refresh_embeds_only_changes(spark):
+    from echotrail.operators.embed import embed_corpus, record_pairs, refresh_embeddings
+    from echotrail.functions.vectors import hash_embedding
+
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, text string")
+    stored = embed_corpus(old).select("doc_id", "embedding", "entropy", "text_digest")
+    marked = stored.withColumn("entropy", F.lit(-1.0))
+    now = spark.createDataFrame([(1, "a"), (2, "B"), (3, "c")], "doc_id int, text string")
+    got = {r["doc_id"]: r["entropy"] for r in refresh_embeddings(now, marked).collect()}
+    assert got[1] == -1.0 and got[2] > 0 and got[3] > 0
+    pairs = record_pairs(now, hash_embedding, lambda t: F.when(t != "c", hash_embedding(t, 32)))
+    assert {r["doc_id"] for r in pairs.collect()} == {1, 2}
+
+
+def test_vault_rebuild_keeps_ids_and_times(spark, folder):
+    from echotrail.functions.vectors import hash_embedding
+    from echotrail.sources.vault import Vault
+
+    vault = Vault(spark, f"{folder}/a")
+    vault.ingest(spark.createDataFrame([(1, "main", "x", "one", [1.0]), (2, "main", "y", "two", [2.0])],
+                                       "pos int, collection string, doc_id string, document string, embedding array<double>"))
+    new = vault.rebuild("main", lambda t: hash_embedding(t, 16), f"{folder}/b")
+    pick = ["doc_id", "document", "metadata", "created_at"]
+    assert new.rows().select(*pick).exceptAll(vault.rows().select(*pick)).count() == 0
+    assert all(len(r["embedding"]) == 16 and r["entropy"] > 0 for r in new.rows().collect())
