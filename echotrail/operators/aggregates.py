@@ -36,26 +36,42 @@ def extractive_summary(events: DataFrame, group: str) -> DataFrame:
         F.col("event_count").cast("string"), F.lit(" event(s): "), names, F.lit(". Most recent: "), line).alias("summary"))
 
 
-def latency_summary(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Interpolated percentiles per group: counts per distinct value are combined first, so a hot
-    group reaches its final task as a histogram, not as rows."""
-    histogram = df.groupBy(group, value).agg(F.count("*").alias("_n"))
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("_n"))
-    return histogram.groupBy(group).agg(p.alias("p"), F.max(value).alias("max_ms"), F.sum("_n").alias("n")).select(
-        group, "n", F.col("p")[0].alias("p50_ms"), F.col("p")[1].alias("p95_ms"), F.col("p")[2].alias("p99_ms"), "max_ms")
-
-
-def latency_summary_nearest(df: DataFrame, group: str, value: str, percents=(50, 95)) -> DataFrame:
-    """Nearest-rank percentiles, the rank rounded half to even, by exact position in the sorted group."""
-    tagged = df.withColumn("_tie", F.monotonically_increasing_id())
-    placed = ordered_positions(tagged.select(group, value, "_tie"), [group], [value, "_tie"])
-    sizes = placed.groupBy(group).agg(F.count("*").alias("_n")).withColumnRenamed(group, "_g")
+def _values_at(df: DataFrame, group: str, value: str, indexes: dict, chunk_rows: int | None = None) -> DataFrame:
+    """Per group the sorted values at given 0-based indexes, without sorting a group in one task.
+
+    Rows collapse to counts per distinct value first; an index falls on the first value whose running
+    count exceeds it. ``indexes`` maps names to expressions over the group's size ``n``.
+    """
+    counts = df.groupBy(group, value).agg(F.count("*").alias("_c"))
+    placed = running_total(ordered_positions(counts, [group], [value]), [group], "_c", "_upto", chunk_rows)
+    sizes = counts.groupBy(group).agg(F.sum("_c").alias("n"), F.max(value).alias("max_ms")).withColumnRenamed(group, "_g")
     joined = placed.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
-    picks = []
-    for p in percents:
-        index = F.least(F.col("_n") - 1, F.greatest(F.lit(0), F.bround(F.lit(p / 100.0) * (F.col("_n") - 1)).cast("bigint")))
-        picks.append(F.max(F.when(F.col("pos") - 1 == index, F.col(value))).alias(f"p{p}"))
-    return joined.groupBy(group).agg(F.max("_n").alias("n"), *picks)
+    picks = [F.min(F.when(F.col("_upto") > index, F.col(value))).alias(name) for name, index in indexes.items()]
+    return joined.groupBy(group).agg(F.max("n").alias("n"), F.max("max_ms").alias("max_ms"), *picks)
+
+
+def latency_summary(df: DataFrame, group: str, value: str, chunk_rows: int | None = None) -> DataFrame:
+    """Linearly interpolated p50, p95, p99 and the maximum per group."""
+    points = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
+    rank = {name: (F.col("n") - 1) * F.lit(p) for name, p in points.items()}
+    indexes = {}
+    for name, r in rank.items():
+        indexes[f"_{name}_lo"] = F.floor(r)
+        indexes[f"_{name}_hi"] = F.least(F.floor(r) + 1, F.col("n") - 1)
+    found = _values_at(df, group, value, indexes, chunk_rows)
+    out = []
+    for name, r in rank.items():
+        weight = r - F.floor(r)
+        out.append((F.col(f"_{name}_lo") * (1.0 - weight) + F.col(f"_{name}_hi") * weight).alias(name))
+    return found.select(group, "n", *out, "max_ms")
+
+
+def latency_summary_nearest(df: DataFrame, group: str, value: str, percents=(50, 95), chunk_rows: int | None = None) -> DataFrame:
+    """Nearest-rank percentiles, the rank rounded half to even."""
+    indexes = {
+        f"p{p}": F.least(F.col("n") - 1, F.greatest(F.lit(0), F.bround(F.lit(p / 100.0) * (F.col("n") - 1)).cast("bigint")))
+        for p in percents}
+    return _values_at(df, group, value, indexes, chunk_rows).drop("max_ms")
 
 
 def daily_request_cap(requests: DataFrame, key: str, ts: str, order: list[str], cap: int = 50) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,24 @@ from echotrail.session import cut_lineage, fits_broadcast, hint, small_side
 RRF = 60
 
 
+def _first_beaten(cost: Column, doc_id: Column, marks: Column) -> Column:
+    """Index of the first mark that comes after the row in (cost, id) order, by binary search.
+
+    Marks per query are at most a few hundred, so ten halvings settle it.
+    """
+    span = F.struct(F.lit(0).alias("lo"), F.size(marks).alias("hi"))
+
+    def halve(s: Column, _step: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        mark = F.get(marks, middle)
+        before = (cost < mark["cost"]) | ((cost == mark["cost"]) & (doc_id < mark["doc_id"]))
+        return F.when(s["lo"] >= s["hi"], s).when(before, F.struct(s["lo"].alias("lo"), middle.alias("hi"))).otherwise(
+            F.struct((middle + 1).alias("lo"), s["hi"].alias("hi")))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(marks).cast("double") + 1)).cast("int") + 1)
+    return F.aggregate(steps, span, halve, lambda s: s["lo"])
+
+
 def exact_ranks(scored: DataFrame, wanted: DataFrame) -> DataFrame:
     """Exact rank of the ``wanted(query_id, doc_id)`` rows within ``scored(query_id, doc_id, score)``.
 
@@ -25,12 +43,10 @@ def exact_ranks(scored: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted = wanted.select("query_id", "doc_id")
     small = fits_broadcast(wanted, 128)  # bounds every table below that is joined to the scored rows
     keys = scored.join(hint(wanted, small), ["query_id", "doc_id"], "left_semi")
-    marks = keys.groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("cost"), F.col("doc_id").alias("doc_id")))).alias("marks"))
+    marks = cut_lineage(keys.groupBy("query_id").agg(  # a few rows per query, joined twice below
+        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("cost"), F.col("doc_id").alias("doc_id")))).alias("marks")))
     placed = scored.join(hint(marks, small), "query_id")
-    cost = -F.col("score")
-    beaten_by = F.filter("marks", lambda m: ~((cost < m["cost"]) | ((cost == m["cost"]) & (F.col("doc_id") < m["doc_id"]))))
-    slots = placed.groupBy("query_id", F.size(beaten_by).alias("slot")).agg(F.count("*").alias("n"))
+    slots = placed.groupBy("query_id", _first_beaten(-F.col("score"), F.col("doc_id"), F.col("marks")).alias("slot")).agg(F.count("*").alias("n"))
     counts = slots.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("counts"))
     each = marks.join(counts, "query_id").select(
         "query_id", "counts", F.posexplode("marks").alias("i", "mark"))
@@ -48,8 +64,9 @@ def dense_ranks(queries: DataFrame, corpus: DataFrame, wanted: DataFrame) -> Dat
     """
     spark = corpus.sparkSession
     score_rows = _pair_scores(queries, corpus, wanted)
-    marks = score_rows.groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("cost"), F.col("doc_id").alias("doc_id")))).alias("marks"))
+    # A few rows per query, read several times below.
+    marks = cut_lineage(score_rows.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("cost"), F.col("doc_id").alias("doc_id")))).alias("marks")))
     packed = queries.select("query_id", "embedding").join(marks, "query_id")
     if not fits_broadcast(packed, 64 * 1024):
         raise ValueError("pass the queries in smaller batches: their candidates exceed the broadcast bound")

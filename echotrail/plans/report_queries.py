@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from echotrail.functions import vectors as vx
 from echotrail.operators import aggregates as ag, chain as ch, evaluation as q, temporal as tp
-from echotrail.operators.knn import int8_rerank_knn, knn, truncated
+from echotrail.operators.knn import knn, truncated
 from echotrail.plans.inputs import events_sql, table, vault_events
 from echotrail.plans.registry import query
-from echotrail.plans.search_queries import COSINE, all_vectors, corpus, knn_sql, pairs_sql, scoped, texts
+from echotrail.plans.search_queries import COSINE, all_vectors, corpus, knn_sql, pairs_sql
 
 # --- telemetry ----------------------------------------------------------------------------
 
@@ -186,12 +186,6 @@ def _correction(spark, sf):
 
 # --- chains -------------------------------------------------------------------------------
 
-# One chain per user. Digests cover the row alone here, and links repeat the previous digest; the
-# rows of some users are then damaged in three ways.
-CHAIN_CTE = """base AS (SELECT user_id, event_id, row_number() OVER w - 1 AS seq, epoch_us(ts)::VARCHAR AS stamp, event_type,
-     sha256('s' || event_id) AS fp FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),"""
-
-
 def chain_rows(spark, sf):
     """Fingerprint blocks made from events: each block is linked by a digest of its predecessor's core."""
     from echotrail.operators.ordered import chunk_window, ordered_chunks, own_rows
@@ -364,29 +358,26 @@ def _auc(spark, sf):
     return out.withColumn("auc", F.round("auc", 6))
 
 
-# Relevance cases from labels: vectors of the query's label, without an answer for label 9.
+# Relevance cases: a query's third and seventh exact neighbours; no answer for label 9.
 CASES_CTE = """cases AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 3 = 0 THEN 'heldout' ELSE 'development' END AS split, label FROM embeddings)"""
 
 
 @query("hit_report", f"""WITH {EVAL_CTE}, {CASES_CTE},
    ranks AS (SELECT 'exact' AS method, * FROM exact UNION ALL SELECT 'prefix', * FROM short),
-   firsts AS (SELECT method, r.query_id, min(rank) FILTER (d.label = (c.label + 1) % 10 AND c.label <> 9) AS first
-     FROM ranks r JOIN cases c USING (query_id) JOIN embeddings d ON d.vec_id = r.doc_id GROUP BY 1, 2)
+   answers AS (SELECT query_id, doc_id FROM exact JOIN cases USING (query_id) WHERE rank IN (3, 7) AND label <> 9),
+   firsts AS (SELECT method, r.query_id, min(rank) FILTER (a.doc_id IS NOT NULL) AS first FROM ranks r LEFT JOIN answers a USING (query_id, doc_id) GROUP BY 1, 2)
    SELECT method, split, count(*) FILTER (label <> 9) AS answerable_queries, count(*) FILTER (label = 9) AS no_answer_queries,
      round(avg(CASE WHEN label <> 9 THEN coalesce((first <= 5)::INT, 0) END), 6) AS hit_at_5,
      round(avg(CASE WHEN label <> 9 THEN coalesce(1.0::DOUBLE / first, 0) END), 6) AS mrr_at_10,
      count(*) FILTER (label = 9) AS no_answer_top5_nonempty, count(*) FILTER (label <> 9 AND (first IS NULL OR first > 5)) AS failures
    FROM firsts JOIN cases USING (query_id) GROUP BY ALL""")
 def _hits(spark, sf):
-    e = table(spark, sf, "embeddings")
-    # A query's relevant vectors are those of the next label; they are few per label here.
-    answers = e.groupBy(((F.col("label") + 9) % 10).alias("label")).agg(F.collect_list("vec_id").alias("relevant"))
-    split = F.when(F.col("vec_id") % 3 == 0, "heldout").otherwise("development")
-    none = F.array().cast("array<bigint>")
-    cases = e.join(answers, "label", "left").select(
-        F.col("vec_id").alias("query_id"), split.alias("split"),
-        F.when(F.col("label") == 9, none).otherwise(F.coalesce("relevant", none)).alias("relevant"))
     exact = knn(all_vectors(spark, sf), corpus(spark, sf), 10, tolerance=None).withColumn("method", F.lit("exact"))
     short = knn(truncated(all_vectors(spark, sf), 16), truncated(corpus(spark, sf), 16), 10, tolerance=None).withColumn("method", F.lit("prefix"))
+    answers = exact.filter("rank IN (3, 7)").groupBy("query_id").agg(F.collect_list("doc_id").alias("relevant"))  # two ids each
+    split = F.when(F.col("vec_id") % 3 == 0, "heldout").otherwise("development")
+    none = F.array().cast("array<bigint>")
+    cases = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), split.alias("split"), "label").join(answers, "query_id", "left").select(
+        "query_id", "split", F.when(F.col("label") == 9, none).otherwise(F.coalesce("relevant", none)).alias("relevant"))
     out = q.hit_report(cases, exact.unionByName(short))
     return out.withColumn("hit_at_5", F.round("hit_at_5", 6)).withColumn("mrr_at_10", F.round("mrr_at_10", 6))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from echotrail.functions import vectors as vx
-from echotrail.operators import consolidate as co, embedding_space as es, evaluation as q, topology as tda
+from echotrail.operators import aggregates as ag, consolidate as co, embedding_space as es, evaluation as q, topology as tda
 from echotrail.operators.moments import map_vectors
 from echotrail.plans.inputs import table
 from echotrail.plans.registry import query
@@ -146,9 +146,13 @@ MODES_SQL = """modes AS (SELECT event_type AS mode, quantile_cont(value, 0.5) AS
 def modes(spark, sf):
     """Events as measured runs: one mode per event type, the value as latency."""
     e = table(spark, sf, "events")
-    return e.groupBy(F.col("event_type").alias("mode")).agg(
-        F.percentile("value", 0.5).alias("p50_ms"), F.percentile("value", 0.95).alias("p95_ms"),
-        F.round(1 - F.avg("value") / 400, 6).alias("recall_at_k"), (F.count("*") * 100).alias("storage_bytes"))
+    return measured(e.select(F.col("event_type").alias("mode"), "value"), "mode").withColumn("storage_bytes", F.col("n") * 100)
+
+
+def measured(runs, group):
+    """Latency percentiles and a recall stand-in per group of runs."""
+    quality = runs.groupBy(group).agg(F.round(1 - F.avg("value") / 400, 6).alias("recall_at_k"))
+    return ag.latency_summary(runs, group, "value").join(quality, group)
 
 
 @query("mode_leaderboard", f"""WITH {MODES_SQL}, b AS (SELECT p50_ms AS b50, p95_ms AS b95 FROM modes WHERE mode = 'view'),
@@ -169,9 +173,10 @@ def _leaderboard(spark, sf):
 def _configs(spark, sf):
     e = table(spark, sf, "events")
     stage = F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string"))
-    r = e.groupBy(stage.alias("stage"), F.col("event_type").alias("config")).agg(
-        F.percentile("value", 0.95).alias("p95_ms"), (1000 / F.percentile("value", 0.5)).alias("p95_speedup"),
-        F.round(1 - F.avg("value") / 400, 6).alias("recall_at_k"), F.count("*").alias("storage_bytes"))
+    runs = e.select(F.concat_ws("|", stage, "event_type").alias("run"), "value")
+    r = measured(runs, "run").select(
+        F.split("run", r"\|")[0].alias("stage"), F.split("run", r"\|")[1].alias("config"), "p95_ms", (1000 / F.col("p50_ms")).alias("p95_speedup"),
+        "recall_at_k", F.col("n").alias("storage_bytes"))
     return q.rank_configurations(r, 0.87, 2).select("stage", "config", "pass_recall", "place", "promoted")
 
 

@@ -15,11 +15,26 @@ from echotrail.sources.vault import Vault
 from echotrail.streaming import jobs
 
 
-def as_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Write rows to files and read those files as a stream."""
+FILE_ROWS, FILES_PER_BATCH = 500_000, 2
+
+
+def as_stream(spark: SparkSession, rows: DataFrame, *order: str) -> DataFrame:
+    """Write rows to files in arrival order and read those files as a stream, two per micro-batch.
+
+    Files are ranges of ``order`` and get modification times in that order, which is how the file
+    source sorts them. So a micro-batch, and with it any key's share of it, is bounded.
+    """
     path = scratch_path(spark, "stream-in")
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    files = max(4, -(-rows.count() // FILE_ROWS))
+    rows.repartitionByRange(files, *order).write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted(s.getPath().toString() for s in fs.listStatus(place) if s.getPath().getName().startswith("part-"))
+    for i, name in enumerate(parts):
+        stamp = 1_700_000_000_000 + 1000 * i
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(name), stamp, stamp)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
 
 
 def finish(stream: DataFrame) -> DataFrame:
@@ -38,7 +53,7 @@ def run_batches(stream: DataFrame, sink) -> None:
 
 @query("drift_guard_stream", SQL["residual_drift_guard"])
 def _drift(spark, sf):
-    s = as_stream(spark, states(spark, sf).drop("aligned"))
+    s = as_stream(spark, states(spark, sf).drop("aligned"), "ts", "event_id")
     out = finish(jobs.drift_guard_stream(s, "user_id", ["ts", "event_id"]))
     baseline = F.when(F.isnan("drift_baseline"), None).otherwise(F.round("drift_baseline", 6))
     return out.select("event_id", "user_id", "drift_active", "drift_reason", baseline.alias("drift_baseline"))
@@ -46,13 +61,13 @@ def _drift(spark, sf):
 
 @query("shell_history_stream", SQL["shell_history"])
 def _history(spark, sf):
-    s = as_stream(spark, history_lines(spark, sf))
+    s = as_stream(spark, history_lines(spark, sf), "ts", "event_id")
     return finish(jobs.shell_history_stream(s, "user_id", ["ts", "event_id"])).select("user_id", "event_id", "text")
 
 
 @query("daily_cap_stream", SQL["daily_request_cap"])
 def _cap(spark, sf):
-    s = as_stream(spark, table(spark, sf, "events").select("event_id", "user_id", "ts"))
+    s = as_stream(spark, table(spark, sf, "events").select("event_id", "user_id", "ts"), "ts", "event_id")
     return finish(jobs.daily_cap_stream(s, "user_id", "ts", ["ts", "event_id"], 3)).select("event_id", "user_id", "allowed")
 
 
@@ -72,7 +87,7 @@ def captured(spark, sf):
    SELECT event_id, text, source FROM marked WHERE previous IS NULL OR previous <> text""")
 def _capture(spark, sf):
     """Source to vault: exclusions, consecutive repeats, event contract, idempotent append, mirror."""
-    stream = jobs.capture_stream(as_stream(spark, captured(spark, sf)), "user_id", ["ts", "event_id"], ["signup"], ["VIEW 2"])
+    stream = jobs.capture_stream(as_stream(spark, captured(spark, sf), "ts", "event_id"), "user_id", ["ts", "event_id"], ["signup"], ["VIEW 2"])
     rows = stream.select(
         F.col("event_id").alias("pos"), F.concat(F.lit("clip_"), F.col("event_id").cast("string")).alias("id"), F.lit("clipboard").alias("type"), "source",
         F.lit(None).cast("string").alias("project"), "text", F.lit("{}").alias("metadata"), F.col("ts").cast("timestamp").alias("timestamp"))
@@ -133,13 +148,13 @@ def devices(spark, sf):
 
 @query("replay_guard", f"WITH {PAYLOAD_SQL} SELECT event_id, node_id, verdict FROM v")
 def _replay(spark, sf):
-    s = as_stream(spark, payloads(spark, sf))
+    s = as_stream(spark, payloads(spark, sf), "ts", "event_id")
     return finish(jobs.replay_guard(s, devices(spark, sf), ["ts", "event_id"])).select("event_id", "node_id", "verdict")
 
 
 @query("knowledge_inbox", f"WITH {PAYLOAD_SQL} SELECT event_id, node_id, fix_script, 'pending' AS status, sha256(target_error) AS target_error_hash FROM v WHERE verdict = 'verified'")
 def _inbox(spark, sf):
-    s = as_stream(spark, payloads(spark, sf))
+    s = as_stream(spark, payloads(spark, sf), "ts", "event_id")
     return finish(jobs.knowledge_inbox(s, devices(spark, sf), ["ts", "event_id"])).select("event_id", "node_id", "fix_script", "status", "target_error_hash")
 
 
@@ -208,7 +223,7 @@ def _lookup(spark, sf):
     """Turns that show an exception, searched by their last ten lines; hits follow the term ranking."""
     c = table(spark, sf, "conversations")
     shown = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), "conv_id", F.concat(F.col("text"), F.lit("\nException: "), F.col("role")).alias("text"))
-    stream = jobs.traceback_triggers(as_stream(spark, shown), "conv_id", ["event_id"])
+    stream = jobs.traceback_triggers(as_stream(spark, shown, "event_id"), "conv_id", ["event_id"])
     out = scratch_path(spark, "hits")
     docs = table(spark, sf, "documents").select("doc_id", "text")
     run_batches(stream, jobs.traceback_sink(docs, out))
