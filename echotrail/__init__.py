@@ -1,8 +1 @@
 """Spark jobs for searching and governing timestamped text events and their vectors."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Ship this package's functions by value, so that executors need no installed copy of it.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -12,12 +14,29 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that tasks can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(home):  # already inside an archive otherwise
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "echotrail"), "zip", os.path.dirname(home), os.path.basename(home))
+        context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on: UTC time and a folder for cutting lineage.
+    """Pin what results depend on: UTC time, the package on executors, a folder for cutting lineage.
 
     The checkpoint folder is the one the cluster names in ``spark.checkpoint.dir``.
     Only where that is unset (local tests) a temporary folder is used.
     """
+    ship_package(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     jvm_context = spark.sparkContext._jsc.sc()
