@@ -222,7 +222,7 @@ def retention_stream(spark: SparkSession, vault: Vault, days: int, checkpoint: s
     """Run retention on a timer."""
     from datetime import datetime, timezone
 
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load().select("timestamp").limit(1_000_000_000)
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load().select("timestamp")
 
     def sweep(_batch: DataFrame, _batch_id: int) -> None:
         apply_retention(vault, days, datetime.now(timezone.utc))
