@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -34,7 +35,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin what results depend on: UTC time, the package on executors, a folder for cutting lineage.
 
     The checkpoint folder is the one the cluster names in ``spark.checkpoint.dir``.
-    Only where that is unset (local tests) a temporary folder is used.
+    Only in local mode, where one machine holds everything, a temporary folder may stand in for it.
     """
     ship_package(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -42,6 +43,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     jvm_context = spark.sparkContext._jsc.sc()
     if jvm_context.getCheckpointDir().isEmpty():
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return spark
 
