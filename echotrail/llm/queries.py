@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from echotrail.llm.exact_copies import exact_copies
+from echotrail.llm.rules import quality_report
 from echotrail.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +42,9 @@ FROM n WINDOW g AS (PARTITION BY text_sha256 ORDER BY len DESC, doc_id)
 def _op8(docs: DataFrame) -> DataFrame:
     """Exact dedup with heavy-hitter split."""
     return exact_copies(docs)
+
+
+@_query("op7_quality_rules", "documents")
+def _op7(docs: DataFrame) -> DataFrame:
+    """Weak supervision over quality rules."""
+    return quality_report(docs)
