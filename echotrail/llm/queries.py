@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from echotrail.llm.exact_copies import exact_copies
+from echotrail.llm.mixing import mix_plan
 from echotrail.llm.rules import quality_report
 from echotrail.session import prepare
 
@@ -48,3 +49,9 @@ def _op8(docs: DataFrame) -> DataFrame:
 def _op7(docs: DataFrame) -> DataFrame:
     """Weak supervision over quality rules."""
     return quality_report(docs)
+
+
+@_query("op3_mixing", "documents")
+def _op3(docs: DataFrame) -> DataFrame:
+    """Mix of all sources to target weights."""
+    return mix_plan(docs)
