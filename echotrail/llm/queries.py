@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from echotrail.llm.archives import convert_pages
 from echotrail.llm.exact_copies import exact_copies
 from echotrail.llm.mixing import mix_plan
 from echotrail.llm.rules import quality_report
@@ -55,3 +56,22 @@ def _op7(docs: DataFrame) -> DataFrame:
 def _op3(docs: DataFrame) -> DataFrame:
     """Mix of all sources to target weights."""
     return mix_plan(docs)
+
+
+@_query("op10_warc", "pages", """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM p),
+b AS (
+  SELECT *, list_transform(range(0, 40), lambda i: strpos('0123456789abcdef', substr(hex, (i + 1)::INT, 1)) - 1) AS nib FROM g)
+SELECT page_id, octet_length(body) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda j:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + list_sum(list_transform(range(0, 5), lambda k:
+           ((nib[((j * 5 + k) // 4 + 1)::INT] >> (3 - (j * 5 + k) % 4)::INT) & 1) << (4 - k)::INT)))::INT, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM b
+""")
+def _op10(pages: DataFrame) -> DataFrame:
+    """Pages through ARC archives into WARC archives and back."""
+    return convert_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
