@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from echotrail.llm.archives import convert_pages
+from echotrail.llm.credentials import find_secrets
 from echotrail.llm.exact_copies import exact_copies
 from echotrail.llm.mixing import mix_plan
 from echotrail.llm.rules import quality_report
@@ -75,3 +76,9 @@ FROM b
 def _op10(pages: DataFrame) -> DataFrame:
     """Pages through ARC archives into WARC archives and back."""
     return convert_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op6_secrets", "documents")
+def _op6(docs: DataFrame) -> DataFrame:
+    """Secrets in all texts, with linked credentials."""
+    return find_secrets(docs)
