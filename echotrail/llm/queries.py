@@ -10,6 +10,7 @@ from echotrail.llm.archives import convert_pages
 from echotrail.llm.credentials import find_secrets
 from echotrail.llm.exact_copies import exact_copies
 from echotrail.llm.mixing import mix_plan
+from echotrail.llm.near_copies import near_copies
 from echotrail.llm.rules import quality_report
 from echotrail.session import prepare
 
@@ -82,3 +83,9 @@ def _op10(pages: DataFrame) -> DataFrame:
 def _op6(docs: DataFrame) -> DataFrame:
     """Secrets in all texts, with linked credentials."""
     return find_secrets(docs)
+
+
+@_query("op4_near_dedup", "documents")
+def _op4(docs: DataFrame) -> DataFrame:
+    """Near-duplicate documents on four-word shingles."""
+    return near_copies(docs, size=4)
