@@ -11,6 +11,7 @@ from echotrail.llm.credentials import find_secrets
 from echotrail.llm.exact_copies import exact_copies
 from echotrail.llm.mixing import mix_plan
 from echotrail.llm.near_copies import near_copies
+from echotrail.llm.packing import pack
 from echotrail.llm.rules import quality_report
 from echotrail.session import prepare
 
@@ -89,3 +90,9 @@ def _op6(docs: DataFrame) -> DataFrame:
 def _op4(docs: DataFrame) -> DataFrame:
     """Near-duplicate documents on four-word shingles."""
     return near_copies(docs, size=4)
+
+
+@_query("op9_packing", "documents")
+def _op9(docs: DataFrame) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return pack(docs)
