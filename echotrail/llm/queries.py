@@ -12,6 +12,7 @@ from echotrail.llm.exact_copies import exact_copies
 from echotrail.llm.mixing import mix_plan
 from echotrail.llm.near_copies import near_copies
 from echotrail.llm.packing import pack
+from echotrail.llm.recompression import remove_repeats
 from echotrail.llm.rules import quality_report
 from echotrail.session import prepare
 
@@ -96,3 +97,21 @@ def _op4(docs: DataFrame) -> DataFrame:
 def _op9(docs: DataFrame) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return pack(docs)
+
+
+@_query("op5_substring_dedup", "documents", """
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS gram FROM w, unnest(range(1, len(words) - 11)) AS t(i)),
+f AS (SELECT gram, min(doc_id) AS first_id FROM g GROUP BY gram),
+h AS (SELECT doc_id, list(i) AS hits FROM g JOIN f USING (gram) WHERE first_id < doc_id GROUP BY doc_id),
+c AS (SELECT doc_id, list_distinct(flatten(list_transform(hits, lambda i: range(i, i + 13)))) AS gone FROM h),
+k AS (
+  SELECT w.doc_id, w.words, coalesce(len(c.gone), 0) AS n_removed,
+         CASE WHEN c.gone IS NULL THEN w.words ELSE list_where(w.words, list_transform(range(1, len(w.words) + 1), lambda i: NOT list_contains(c.gone, i))) END AS kept
+  FROM w LEFT JOIN c USING (doc_id))
+SELECT doc_id, len(words) AS n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+""")
+def _op5(docs: DataFrame) -> DataFrame:
+    """Long repeated passages removed from all texts."""
+    return remove_repeats(docs)
