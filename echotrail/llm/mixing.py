@@ -14,6 +14,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
 SEED = 20_113
+# Rows whose prefix sums one task makes; a hot source spreads over many such chunks.
+CHUNK = 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_epochs: int = MOST_EPOCHS) -> DataFrame:
@@ -67,7 +69,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     narrow = stored.drop("row") if keep_row else stored
     goals = source_targets(narrow, weights, share, most_epochs)
     placed = ordered_positions(narrow, ["source"], ["_key", "doc_id", "size", "_text", "_row_id"], "_pos")
-    summed = running_total(placed, ["source"], "size", "_end", pos="_pos")
+    summed = running_total(placed, ["source"], "size", "_end", CHUNK, pos="_pos")
     goals = goals.withColumnRenamed("source", "_source")
     joined = summed.join(small_side(goals, 256), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     budget = F.round("target").cast("long")
