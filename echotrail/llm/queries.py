@@ -12,10 +12,14 @@ from echotrail.llm.exact_copies import exact_copies
 from echotrail.llm.mixing import mix_plan
 from echotrail.llm.near_copies import near_copies
 from echotrail.llm.packing import pack
+from echotrail.llm.pseudonyms import pseudonymise
 from echotrail.llm.recompression import remove_repeats
 from echotrail.llm.rules import quality_report
 from echotrail.session import prepare
 
+# A deployment passes its own secret; the registered query needs one that is the same in every run.
+QUERY_KEY = "registered query"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -115,3 +119,9 @@ SELECT doc_id, len(words) AS n_words, n_removed, sha256(array_to_string(kept, '
 def _op5(docs: DataFrame) -> DataFrame:
     """Long repeated passages removed from all texts."""
     return remove_repeats(docs)
+
+
+@_query("op1_pii_feistel", "documents")
+def _op1(docs: DataFrame) -> DataFrame:
+    """All texts with keyed pseudonyms for personal values."""
+    return pseudonymise(docs, QUERY_KEY)
