@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from echotrail.llm.archives import convert_pages
 from echotrail.llm.credentials import find_secrets
 from echotrail.llm.exact_copies import exact_copies
+from echotrail.llm.main_text import main_text
 from echotrail.llm.mixing import mix_plan
 from echotrail.llm.near_copies import near_copies
 from echotrail.llm.packing import pack
@@ -125,3 +126,9 @@ def _op5(docs: DataFrame) -> DataFrame:
 def _op1(docs: DataFrame) -> DataFrame:
     """All texts with keyed pseudonyms for personal values."""
     return pseudonymise(docs, QUERY_KEY)
+
+
+@_query("op2_main_text", "pages")
+def _op2(pages: DataFrame) -> DataFrame:
+    """Article text of all pages at the paths their hosts agree on."""
+    return main_text(pages)
