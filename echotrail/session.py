@@ -63,9 +63,27 @@ def written(df: DataFrame) -> DataFrame:
     spark = prepare(df.sparkSession)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Tables that ``written`` has made and nobody has dropped yet, oldest first.
+_TABLES: list[str] = []
+
+
+def drop_written(spark: SparkSession, used_by: DataFrame | None = None) -> None:
+    """Delete the tables that ``written`` has made so far, for callers whose results are stored elsewhere.
+
+    Tables that ``used_by`` still reads stay, and stay known.
+    """
+    files = used_by.inputFiles() if used_by is not None and _TABLES else []
+    kept = [t for t in _TABLES if any(os.path.basename(t) in f for f in files)]
+    for table in set(_TABLES) - set(kept):
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
+    _TABLES[:] = kept
+
+
 def fits_broadcast(df: DataFrame, row_bytes: int, limit: int | None = None) -> bool:
     """True when ``df`` is proven to hold at most ``limit`` bytes at ``row_bytes`` per row.
 
