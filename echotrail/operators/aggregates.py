@@ -101,14 +101,14 @@ def repair_status_counts(queue: DataFrame) -> DataFrame:
     return queue.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def recovery_commands(errors: DataFrame, commands: DataFrame, key: str, seconds: int = 300, top: int = 10,
+def recovery_commands(errors: DataFrame, commands: DataFrame, key: str, seconds: int = 300, top: int | None = None,
                       chunk_rows: int | None = None) -> DataFrame:
     """Per key the commands run within ``seconds`` after its errors, by how often that happened.
 
     A command at time u follows as many errors as lie in [u - seconds, u]. That is the running count of
     errors at u minus the one just before u - seconds, so each command contributes two lookup points on
     the key's time line and no (error, command) pair is ever formed. Trivial commands are offered only
-    if nothing else remains; ties go to the smaller text.
+    if nothing else remains; ties go to the smaller text. All commands are ranked; ``top`` keeps the first ones.
     """
     when = F.unix_micros(F.col("ts").cast("timestamp"))
     none = F.lit(None).cast("string")
@@ -127,7 +127,8 @@ def recovery_commands(errors: DataFrame, commands: DataFrame, key: str, seconds:
     kept = counts.join(useful, F.col(key).eqNullSafe(F.col("_k")), "left").filter(
         ~trivial | F.col("_useful").isNull()).drop("_useful", "_k")
     order = Window.partitionBy(key).orderBy(F.desc("n"), "command")
-    return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(order))
+    return ranked if top is None else ranked.filter(F.col("rank") <= top)
 
 
 def hydrate(hits: DataFrame, docs: DataFrame) -> DataFrame:

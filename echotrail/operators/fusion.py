@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,9 +13,11 @@ from pyspark.sql import types as T
 from echotrail.operators.kernels import cosine_scores, to_ids, to_matrix
 from echotrail.operators.knn import knn, scan, take_top
 from echotrail.operators.lexical import bm25_scores, overlap_scores
-from echotrail.session import cut_lineage, fits_broadcast, hint, small_side
+from echotrail.session import BROADCAST_BYTES, cut_lineage, fits_broadcast, hint, small_side
 
 RRF = 60
+# Bound of a query with its vector and its sorted candidates.
+QUERY_BYTES = 64 * 1024
 
 
 def _first_beaten(cost: Column, doc_id: Column, marks: Column) -> Column:
@@ -68,8 +72,13 @@ def dense_ranks(queries: DataFrame, corpus: DataFrame, wanted: DataFrame) -> Dat
     marks = cut_lineage(score_rows.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("cost"), F.col("doc_id").alias("doc_id")))).alias("marks")))
     packed = queries.select("query_id", "embedding").join(marks, "query_id")
-    if not fits_broadcast(packed, 64 * 1024):
-        raise ValueError("pass the queries in smaller batches: their candidates exceed the broadcast bound")
+    if not fits_broadcast(packed, QUERY_BYTES):
+        # One counting pass over the corpus for each batch of queries that fits a broadcast.
+        size = max(1, BROADCAST_BYTES // (2 * QUERY_BYTES))
+        batches = -(-packed.count() // size)
+        bucket = F.pmod(F.xxhash64("query_id"), F.lit(batches))
+        parts = [dense_ranks(queries.filter(bucket == b), corpus, wanted.filter(bucket == b)) for b in range(batches)]
+        return reduce(DataFrame.unionByName, parts)
     table = packed.toArrow()
     id_type = corpus.schema["doc_id"].dataType
     out = T.StructType([

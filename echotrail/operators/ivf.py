@@ -14,17 +14,17 @@ from echotrail.operators.kernels import ROUND, to_matrix, unit_rows
 from echotrail.operators.knn import candidate_count, rerank_knn
 from echotrail.operators.ordered import ordered_positions
 
-FULL_SCAN_ROWS = 4096
 PROBES = 8
 CANDIDATE_CAP = 2000
 
 
 def target_parts(count: int) -> int:
-    return 0 if count <= 0 else min(256, max(16, math.ceil(math.sqrt(count) / 4.0)))
+    """Parts of an index of ``count`` rows: a quarter of the root, so that a probe reads an ever smaller share."""
+    return 0 if count <= 0 else max(16, math.ceil(math.sqrt(count) / 4.0))
 
 
 def seed_centroids(corpus: DataFrame, parts: int | None = None) -> np.ndarray:
-    """Unit vectors of rows spaced evenly over id order; at most 256 rows reach the driver."""
+    """Unit vectors of rows spaced evenly over id order; ``parts`` rows reach the driver."""
     placed = ordered_positions(corpus.select("doc_id", "embedding"), [], ["doc_id"])
     count = placed.count()
     parts = min(parts or target_parts(count), count)
@@ -116,17 +116,16 @@ def probe_lists(queries: DataFrame, centroids: np.ndarray, probes: int = PROBES)
 
 
 def ivf_rerank_knn(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray, k: int = 10, probes: int = PROBES,
-                   tolerance: float | None = 0.5, full_scan_rows: int = FULL_SCAN_ROWS, limit: int | None = None) -> DataFrame:
-    """Search the probed parts only; a corpus of few rows is scanned whole.
+                   tolerance: float | None = 0.5, full_scan: bool = False, limit: int | None = None) -> DataFrame:
+    """Search the probed parts only, or the whole corpus if the caller says ``full_scan``.
 
     The filter on probed parts prunes folders of a stored index; inside a task each part meets only
     the queries that probe it.
     """
     candidates = candidate_count(k, 20, 100, CANDIDATE_CAP)
-    small = assigned.select(F.lit(1)).limit(full_scan_rows + 1).count() <= full_scan_rows
-    if small or probes >= len(centroids):
+    if full_scan or probes >= len(centroids):
         return rerank_knn(queries, assigned.drop("part"), k, "cosine", candidates, tolerance, limit=limit)
     tagged = probe_lists(queries, centroids, probes)
-    wanted = [r["p"] for r in tagged.select(F.explode("probes").alias("p")).distinct().collect()]  # at most 256
+    wanted = [r["p"] for r in tagged.select(F.explode("probes").alias("p")).distinct().collect()]  # at most as many as there are parts
     return rerank_knn(tagged, assigned.filter(F.col("part").isin(wanted)), k, "cosine", candidates, tolerance,
                       parts=len(centroids), limit=limit)

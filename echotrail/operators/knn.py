@@ -24,8 +24,8 @@ CELL_BYTES = 128 * 1024 * 1024
 
 
 def candidate_count(k: int, multiplier: int = 20, least: int = 100, cap: int = 1000) -> int:
-    """How many coarse candidates an approximate mode hands to exact reranking."""
-    return min(max(k * multiplier, least), cap)
+    """How many coarse candidates an approximate mode hands to exact reranking; never fewer than ``k``."""
+    return max(k, min(max(k * multiplier, least), cap))
 
 
 def _narrow(df: DataFrame, names: list[str]) -> DataFrame:

@@ -44,7 +44,7 @@ def ivf_knob_search(queries: DataFrame, stages: list[tuple[str, DataFrame]], gri
             assigned, centroids = ivf_build(corpus, knobs.get("parts"), knobs.get("iterations", 1))
             assigned = cut_lineage(assigned)
             found, ms = _timed(lambda: ivf_rerank_knn(
-                queries, assigned, centroids, k, knobs.get("probes", 8), tolerance, full_scan_rows=knobs.get("full_scan_rows", 0)))
+                queries, assigned, centroids, k, knobs.get("probes", 8), tolerance, full_scan=bool(knobs.get("full_scan", False))))
             q = quality(expected, found, k)
             rows.append((name, i, str(knobs), q["recall_at_k"], q["mrr_at_k"], q["ndcg_at_k"], ms, base_ms / ms, size * 4 + centroids.size * 8))
         results = spark.createDataFrame(

@@ -69,7 +69,7 @@ def _ivf(spark, sf):
 def _ivf_knn(spark, sf):
     assigned, centroids = ivf.ivf_build(corpus(spark, sf))
     # Probing is forced, since a table of a few thousand rows would be scanned whole.
-    return shown(ivf.ivf_rerank_knn(all_vectors(spark, sf), assigned, centroids, 10, full_scan_rows=0))
+    return shown(ivf.ivf_rerank_knn(all_vectors(spark, sf), assigned, centroids, 10))
 
 
 KEYS_SQL = f"""ks AS (SELECT vec_id, list_transform(range({DIM}), lambda j: ('0x' || substr(d, 8*j+3, 2) || substr(d, 8*j+1, 2))::INT / 65535.0::DOUBLE * 2.0 - 1.0) AS k FROM

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from echotrail.functions import vectors as vx
+from echotrail.functions.text import STOP_WORDS
 from echotrail.operators import fusion, knn as nn, lexical as lx
 from echotrail.operators.events import recent
 from echotrail.plans.inputs import ROWS_CTE, table, vault_rows
@@ -46,7 +47,7 @@ def all_vectors(spark, sf):
 # --- SQL building blocks ------------------------------------------------------------------
 
 TERMS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z0-9]+'))"
-STOP = "['" + "','".join(__import__("echotrail.functions.text", fromlist=["STOP_WORDS"]).STOP_WORDS) + "']"
+STOP = "['" + "','".join(STOP_WORDS) + "']"
 WORDS = rf"list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-_.][a-z0-9]+)*')), lambda w: NOT list_contains({STOP}, w))"
 
 

@@ -24,7 +24,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """``(document, metadata)`` from JSON files (an array or one object) or from text lines.
 
     Array items that are objects give their ``document`` and ``metadata`` keys; other items become
-    text. Other files give one document per non-blank line. One JSON file is one array, so it is
+    text. All other files, whatever their suffix, give one document per non-blank line. One JSON file is one array, so it is
     parsed by one task; a collection is read in parallel over its files.
     """
     whole = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(path, wholetext=True)
@@ -39,7 +39,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     from_json = whole.select(F.explode(items).alias("item")).select(
         F.when(is_object, F.coalesce(F.try_variant_get(item, "$.document", "string"), F.lit(""))).otherwise(scalar).alias("document"),
         F.when(is_object, F.coalesce(F.to_json(F.try_variant_get(item, "$.metadata", "variant")), F.lit("{}"))).otherwise("{}").alias("metadata"))
-    lines = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").text(path)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).filter(~F.lower("_metadata.file_name").endswith(".json"))
     from_text = lines.select(tx.strip(F.col("value")).alias("document"), F.lit("{}").alias("metadata")).filter("document <> ''")
     return from_json.unionByName(from_text)
 

@@ -125,17 +125,21 @@ def export_increment(rows: DataFrame, cursor: int) -> tuple[DataFrame, int]:
 
 
 def forget(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that remain, and the tombstones to append: one per removed (collection, doc_id)."""
-    chosen = small_side(ids.select("doc_id").distinct(), 64)
-    remaining = rows.join(chosen, "doc_id", "left_anti")
-    return remaining, rows.join(chosen, "doc_id", "left_semi").select(*KEY).distinct()
+    """Rows that remain, and the tombstones to append: one per removed (collection, doc_id).
+
+    ``ids(collection, doc_id)`` removes inside the named collections only. A plain ``doc_id`` list is
+    for rows that are one collection already.
+    """
+    keys = KEY if "collection" in ids.columns else ["doc_id"]
+    chosen = small_side(ids.select(*keys).distinct(), 128)
+    remaining = rows.join(chosen, keys, "left_anti")
+    return remaining, rows.join(chosen, keys, "left_semi").select(*KEY).distinct()
 
 
 def evict_lru(rows: DataFrame, max_entries: int) -> tuple[DataFrame, DataFrame]:
     """Keep at most ``max_entries`` rows; the least recently used go, and are remembered as deleted."""
     over = max(0, rows.count() - max_entries) if max_entries > 0 else 0
-    victims = oldest(rows, over)
-    return forget(rows, victims)
+    return forget(rows, oldest(rows, over))
 
 
 def oldest(rows: DataFrame, n: int) -> DataFrame:
@@ -143,9 +147,9 @@ def oldest(rows: DataFrame, n: int) -> DataFrame:
     from echotrail.operators.ordered import ordered_positions
 
     if n == 0:
-        return rows.select("doc_id").limit(0)
-    narrow = rows.select("doc_id", "last_accessed", "row_id")
-    return ordered_positions(narrow, [], ["last_accessed", "row_id"]).filter(F.col("pos") <= n).select("doc_id")
+        return rows.select(*KEY).limit(0)
+    narrow = rows.select(*KEY, "last_accessed", "row_id")
+    return ordered_positions(narrow, [], ["last_accessed", "row_id"]).filter(F.col("pos") <= n).select(*KEY)
 
 
 def touch(rows: DataFrame, access_log: DataFrame) -> DataFrame:
@@ -208,6 +212,9 @@ class Vault:
         T.StructField("entropy", T.DoubleType()), T.StructField("created_at", T.TimestampType()),
         T.StructField("last_accessed", T.TimestampType()), T.StructField("row_id", T.LongType()),
         T.StructField("collection", T.StringType())])
+    COLLECTION = T.StructType([
+        T.StructField("collection", T.StringType()), T.StructField("embedding_model", T.StringType()),
+        T.StructField("embedding_dim", T.IntegerType()), T.StructField("pinned_at", T.TimestampType())])
     TOMBSTONE = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("collection", T.StringType())])
 
     def __init__(self, spark: SparkSession, path: str):
@@ -231,36 +238,70 @@ class Vault:
             rows = rows.filter(F.col("collection") == collection)
         return rows.join(self.tombstones(), KEY, "left_anti")
 
-    def ingest(self, batch: DataFrame) -> int:
-        """Append the new rows of a batch; running it again appends nothing."""
+    def collections(self) -> DataFrame:
+        """The model and dimension that each collection is pinned to; the first pin of a collection holds."""
+        pins = self._read("collections", self.COLLECTION)
+        return pins.groupBy("collection").agg(
+            F.min_by("embedding_model", "pinned_at").alias("embedding_model"), F.min_by("embedding_dim", "pinned_at").alias("embedding_dim"))
+
+    def pin(self, collection: str, model: str, dim: int) -> None:
+        """Pin a collection to a model. The same pin again changes nothing, another one is refused."""
+        held = self.collections().filter(F.col("collection") == collection).first()
+        if held is not None:
+            if (held["embedding_model"], held["embedding_dim"]) != (model, dim):
+                raise ValueError(f"{collection} holds vectors of {held['embedding_model']} with {held['embedding_dim']} values")
+            return
+        row = self.spark.createDataFrame([(collection, model, dim)], "collection string, embedding_model string, embedding_dim int")
+        row.withColumn("pinned_at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/collections")
+
+    def ingest(self, batch: DataFrame, model: str | None = None) -> dict[str, int]:
+        """Append the new rows of a batch and say what became of all others.
+
+        Returns counts of ``accepted``, ``known``, ``forgotten`` and ``invalid`` rows. Running a batch
+        again accepts nothing. Row ids grow over all batches: the accepted rows are numbered in batch
+        order after the largest stored id. One writer at a time. With ``model`` the batch must match the
+        pin of each collection it names, else nothing is written.
+        """
+        from echotrail.operators.ordered import ordered_positions
         from echotrail.session import cut_lineage
 
+        if model is not None:
+            wrong = check_model_pin(batch.withColumn("model", F.lit(model)), self.collections()).filter("violation").limit(1).count()
+            if wrong:
+                raise ValueError("the batch has vectors of another model or dimension than its collection")
         stored = self._read("documents", self.SCHEMA)
-        parts = ingest_documents(batch, stored, self.tombstones())
-        accepted = cut_lineage(parts["accepted"].drop("pos"))
-        defaults = {"entropy": F.lit(None).cast("double"), "metadata": F.lit("{}"), "created_at": F.current_timestamp(),
-                    "last_accessed": F.current_timestamp(), "row_id": F.monotonically_increasing_id()}
+        parts = {k: cut_lineage(v) for k, v in ingest_documents(batch, stored, self.tombstones()).items()}
+        counts = {k: v.count() for k, v in parts.items()}
+        if not counts["accepted"]:
+            return counts
+        last = stored.agg(F.max("row_id")).first()[0] or 0
+        accepted = ordered_positions(parts["accepted"].drop("row_id"), [], ["pos", *KEY], "_nth")
+        accepted = accepted.withColumn("row_id", F.col("_nth") + last).drop("pos", "_nth")
+        defaults = {"entropy": F.lit(None).cast("double"), "metadata": F.lit("{}"), "created_at": F.current_timestamp(), "last_accessed": F.current_timestamp()}
         for name, value in defaults.items():
             if name not in accepted.columns:
                 accepted = accepted.withColumn(name, value)
         typed = accepted.select(*[F.col(f.name).cast(f.dataType) for f in self.SCHEMA])
-        count = typed.count()
-        if count:
-            typed.write.mode("append").partitionBy("collection").parquet(f"{self.path}/documents")
-        return count
+        typed.write.mode("append").partitionBy("collection").parquet(f"{self.path}/documents")
+        return counts
 
-    def forget(self, ids: DataFrame) -> int:
+    def forget(self, ids: DataFrame, collection: str | None = None) -> int:
+        """Remember ids as deleted, inside one collection or in those that ``ids(collection, doc_id)`` names."""
         from echotrail.session import cut_lineage
 
-        _, gone = forget(self.rows(), ids)
+        if collection is not None:
+            ids = ids.select(F.lit(collection).alias("collection"), "doc_id")
+        elif "collection" not in ids.columns:
+            raise ValueError("say in which collection the ids are to be forgotten")
+        _, gone = forget(self.rows(collection), ids)
         gone = cut_lineage(gone.select(*[f.name for f in self.TOMBSTONE]))
         count = gone.count()
         if count:
             gone.write.mode("append").parquet(f"{self.path}/tombstones")
         return count
 
-    def rebuild(self, collection: str, embed, target: str) -> "Vault":
-        """Re-embed a collection into a new vault folder; refuse if the source changed meanwhile.
+    def rebuild(self, collection: str, embed, target: str, model: str | None = None) -> "Vault":
+        """Re-embed a collection into a new vault folder, pinned to ``model``; refuse if the source changed meanwhile.
 
         Readers move to the returned vault only after this succeeds, so a failed run changes nothing.
         """
@@ -272,7 +313,13 @@ class Vault:
         rebuilt = Vault(self.spark, target)
         out = rebuild_embeddings(self.rows(collection), embed)
         out.select(*[F.col(f.name).cast(f.dataType) for f in self.SCHEMA]).write.partitionBy("collection").parquet(f"{target}/documents")
-        self.tombstones().write.parquet(f"{target}/tombstones")
+        self.tombstones().filter(F.col("collection") == collection).write.parquet(f"{target}/tombstones")
+        if model is not None:
+            dims = [r[0] for r in rebuilt.rows(collection).select(F.size("embedding")).distinct().limit(2).collect()]
+            if len(dims) > 1:
+                raise ValueError("the new model gives vectors of different lengths")
+            if dims:
+                rebuilt.pin(collection, model, dims[0])
         if version() != before:
             raise RuntimeError("the source changed during the rebuild; keep using it and try again")
         return rebuilt

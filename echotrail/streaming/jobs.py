@@ -46,8 +46,11 @@ def dedupe_stream(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def daily_cap_stream(requests: DataFrame, key: str, ts: str, order: list[str], cap: int = 50) -> DataFrame:
+    """Mark requests within the cap of their key and day. Late rows count for their own day."""
     dated = requests.withColumn("day", F.date_format(ts, "yyyy-MM-dd"))
-    return ps.run_stateful(dated, key, ps.DailyBudget(cap), order, _with(dated.schema, ("allowed", T.BooleanType())))
+    schema = _with(dated.schema, ("allowed", T.BooleanType()))
+    dated = dated.withColumn("_budget", F.to_json(F.struct(key, "day")))
+    return ps.run_stateful(dated, "_budget", ps.DailyBudget(cap), order, schema)
 
 
 def replay_guard(payloads: DataFrame, devices: DataFrame, order: list[str]) -> DataFrame:
@@ -154,8 +157,9 @@ def capture_sink(vault: Vault, embed: Callable, collection: str = "main", mirror
                  quarantine: str | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: contract, idempotent append, then the mirror.
 
-    A batch that runs twice appends nothing new. If the mirror fails, the stored events stand and the
-    ids go to the repair table, to be mirrored later.
+    A batch that runs twice appends nothing new and writes its refusals over the first ones. Events
+    whose id was forgotten are refused as well. If the mirror fails, the stored events stand and the ids
+    go to the repair table, to be mirrored later.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -165,8 +169,10 @@ def capture_sink(vault: Vault, embed: Callable, collection: str = "main", mirror
         rows = written(vault_batch(parts["accepted"], embed, collection))
         vault.ingest(rows)
         if quarantine is not None:
+            deleted = vault.tombstones().filter(F.col("collection") == collection).select(F.col("doc_id").alias("id"))
             refused = parts["conflict"].withColumn("why", F.lit("conflict")).unionByName(parts["invalid"].withColumn("why", F.lit("invalid")))
-            refused.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(quarantine)
+            refused = refused.unionByName(parts["accepted"].join(deleted, "id", "left_semi").withColumn("why", F.lit("forgotten")), allowMissingColumns=True)
+            refused.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
         if mirror is not None:
             try:
                 mirror.ingest(rows.withColumn("collection", F.lit("hot")))
@@ -201,21 +207,25 @@ def import_sink(vault: Vault, embed: Callable, collection: str = "main") -> Call
         rows = batch.withColumn("_order", F.struct("packet", "id", "document"))
         first = rows.groupBy("id").agg(F.min_by(F.struct("document", "metadata"), "_order").alias("e"))
         vault.ingest(first.select(
-            F.monotonically_increasing_id().alias("pos"), F.lit(collection).alias("collection"), F.col("id").alias("doc_id"),
+            F.xxhash64("id").alias("pos"), F.lit(collection).alias("collection"), F.col("id").alias("doc_id"),
             F.col("e.document").alias("document"), F.coalesce("e.metadata", F.lit("{}")).alias("metadata"),
             embed(F.col("e.document")).cast("array<float>").alias("embedding")))
 
     return write
 
 
-def apply_retention(vault: Vault, days: int, now, collection: str = "main") -> int:
-    """Delete events that occurred before ``now - days`` with tombstones; zero days do nothing."""
+def apply_retention(vault: Vault, days: int, now, collection: str = "main", mirror: Vault | None = None) -> int:
+    """Delete a collection's events that occurred before ``now - days`` with tombstones; zero days do nothing.
+
+    The hot mirror forgets what is older there, too.
+    """
     if not 0 <= days <= 36500:
         raise ValueError("retention days must be between 0 and 36500")
     if days == 0:
         return 0
     aged = ev.retention_select(ev.normalize_events(vault.rows(collection)), days, F.lit(now).cast("timestamp"))
-    return vault.forget(aged.select(F.col("id").alias("doc_id")))
+    gone = vault.forget(aged.select(F.col("id").alias("doc_id")), collection)
+    return gone + (apply_retention(mirror, days, now, "hot") if mirror is not None else 0)
 
 
 def retention_stream(spark: SparkSession, vault: Vault, days: int, checkpoint: str, every: str = "1 hour"):
@@ -230,8 +240,10 @@ def retention_stream(spark: SparkSession, vault: Vault, days: int, checkpoint: s
     return ticks.writeStream.foreachBatch(sweep).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
-def consolidation_trigger(vault: Vault, action: Callable[[], None], every: int = 500) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that runs ``action`` once per ``every`` new events.
+def consolidation_trigger(vault: Vault, action: Callable[[int], None], every: int = 500) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that runs ``action`` when ``every`` new events have come.
+
+    ``action`` is told how many multiples of ``every`` the batch has passed.
 
     Counts are written per batch id, so a repeated batch is not counted twice and a restart goes on
     where the last run stopped. One row per batch is stored.
@@ -245,8 +257,9 @@ def consolidation_trigger(vault: Vault, action: Callable[[], None], every: int =
         if known.filter(F.col("batch_id") == batch_id).count() == 0:
             n = batch.count()
             spark.createDataFrame([(batch_id, n)], schema).write.mode("append").parquet(f"{vault.path}/counters")
-            if (before + n) // every > before // every:
-                action()
+            passed = (before + n) // every - before // every
+            if passed:
+                action(passed)
 
     return count
 
@@ -259,12 +272,15 @@ def traceback_triggers(captured: DataFrame, key: str, order: list[str]) -> DataF
 
 
 def traceback_sink(docs: DataFrame, path: str, k: int = 1) -> Callable[[DataFrame, int], None]:
-    """Look each trigger up in memory by its terms and append the best hit. ``docs(doc_id, text)``."""
+    """Look each trigger up in memory by its terms and store the best hit. ``docs(doc_id, text)``.
+
+    Hits lie in a folder per batch, which a repeated batch writes anew.
+    """
     from echotrail.operators.lexical import bm25_search
 
-    def search(batch: DataFrame, _batch_id: int) -> None:
+    def search(batch: DataFrame, batch_id: int) -> None:
         queries = written(batch.select(F.col("event_id").alias("query_id"), F.col("query").alias("text")))
         if queries.limit(1).count():
-            bm25_search(docs, queries, k).write.mode("append").parquet(path)
+            bm25_search(docs, queries, k).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return search

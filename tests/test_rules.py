@@ -117,11 +117,60 @@ def test_vault_ingest_is_idempotent_and_forgets(spark, folder):
     batch = spark.createDataFrame(
         [(1, "main", "a", "first", [1.0]), (2, "main", "a", "second", [1.0]), (3, "other", "a", "third", [2.0]), (4, "main", None, "no id", [3.0]), (5, "main", "n", "nan", [float("nan")])],
         "pos int, collection string, doc_id string, document string, embedding array<double>")
-    assert vault.ingest(batch) == 3 and vault.ingest(batch) == 0
+    assert vault.ingest(batch) == {"accepted": 3, "known": 1, "forgotten": 0, "invalid": 1}
+    assert vault.ingest(batch)["accepted"] == 0
     assert {r["document"] for r in vault.rows().collect()} == {"first", "third", "no id"}
-    assert vault.forget(spark.createDataFrame([("a",), ("a",), ("zzz",)], "doc_id string")) == 2
-    assert {r["document"] for r in vault.rows().collect()} == {"no id"}
-    assert vault.ingest(batch) == 0 and vault.rows("main").count() == 1
+    ids = spark.createDataFrame([("a",), ("a",), ("zzz",)], "doc_id string")
+    with pytest.raises(ValueError):
+        vault.forget(ids)
+    assert vault.forget(ids, "main") == 1
+    assert {r["document"] for r in vault.rows().collect()} == {"third", "no id"}
+    again = vault.ingest(batch)
+    assert again["accepted"] == 0 and again["forgotten"] == 2 and vault.rows("main").count() == 1
+
+
+def test_row_ids_grow_over_ingests(spark, folder):
+    from echotrail.sources import vault as vt
+
+    vault = vt.Vault(spark, folder)
+    rows = lambda names: spark.createDataFrame([(i, "main", n, n, [1.0, 2.0]) for i, n in enumerate(names)],
+                                               "pos int, collection string, doc_id string, document string, embedding array<double>").repartition(3)
+    vault.ingest(rows("abc"))
+    first, cursor = vt.export_increment(vault.rows(), 0)
+    assert {r["id"] for r in first.collect()} == set("abc") and cursor == 3
+    vault.ingest(rows("cde"))
+    later, cursor = vt.export_increment(vault.rows(), cursor)
+    assert {r["id"]: r["row_id"] for r in later.collect()} == {"d": 4, "e": 5} and cursor == 5
+
+
+def test_collections_are_pinned_to_a_model(spark, folder):
+    from echotrail.sources.vault import Vault
+
+    vault = Vault(spark, folder)
+    vault.pin("main", "m1", 2)
+    vault.pin("main", "m1", 2)
+    with pytest.raises(ValueError):
+        vault.pin("main", "m2", 2)
+    batch = spark.createDataFrame([(1, "main", "a", "x", [1.0, 2.0])], "pos int, collection string, doc_id string, document string, embedding array<double>")
+    with pytest.raises(ValueError):
+        vault.ingest(batch, model="m2")
+    assert vault.ingest(batch, model="m1")["accepted"] == 1
+
+
+def test_bounds_are_instants(spark):
+    e = ev.normalize_events(stored(spark))
+    ev.filter_scope(e, since="2024-01-01T12:00:00+02:00", until="2024-01-01T11:00:00Z")
+    with pytest.raises(ValueError):
+        ev.filter_scope(e, since="2024-01-01T12:00:00Z", until="2024-01-01T13:00:00+02:00")
+
+
+def test_all_recovery_commands_are_ranked(spark):
+    from echotrail.operators import aggregates as ag
+
+    errors = spark.createDataFrame([("k", "2024-01-01 00:00:00")], "key string, ts string")
+    commands = spark.createDataFrame([("k", "2024-01-01 00:01:00", f"run {i}") for i in range(25)], "key string, ts string, command string")
+    assert ag.recovery_commands(errors, commands, "key").count() == 25
+    assert ag.recovery_commands(errors, commands, "key", top=10).count() == 10
 
 
 def test_snapshot_round_trip_and_refusal(spark, folder):

@@ -106,9 +106,9 @@ def test_ivf_probing_everything_is_exact(data, limit):
     x, q, docs, queries = data
     assigned, centroids = ivf.ivf_build(docs, parts=8)
     assert assigned.count() == len(x)
-    all_parts = ivf.ivf_rerank_knn(queries, assigned, centroids, 5, probes=8, tolerance=None, full_scan_rows=0)
+    all_parts = ivf.ivf_rerank_knn(queries, assigned, centroids, 5, probes=8, tolerance=None)
     assert ranked(all_parts) == brute(x, q, 5)
-    some = ranked(ivf.ivf_rerank_knn(queries, assigned, centroids, 5, probes=4, tolerance=None, full_scan_rows=0, limit=limit))
+    some = ranked(ivf.ivf_rerank_knn(queries, assigned, centroids, 5, probes=4, tolerance=None, limit=limit))
     part = {r["doc_id"]: r["part"] for r in assigned.collect()}
     uq = q / np.linalg.norm(q, axis=1, keepdims=True)
     full = brute(x, q, len(x))

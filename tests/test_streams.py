@@ -68,7 +68,7 @@ def test_history_window_crosses_batches(spark):
 
 def test_counting_trigger_ignores_repeats(spark):
     vault, fired = Vault(spark, scratch_path(spark, "v")), []
-    sink = jobs.consolidation_trigger(vault, lambda: fired.append(1), every=10)
+    sink = jobs.consolidation_trigger(vault, fired.append, every=10)
     batch = spark.range(7)
     for batch_id in (0, 1, 1, 2):
         sink(batch, batch_id)
