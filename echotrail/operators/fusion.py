@@ -6,60 +6,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echotrail.operators.kernels import cosine_scores, to_ids, to_matrix
 from echotrail.operators.knn import knn, scan, take_top
-from echotrail.operators.lexical import bm25_scores, overlap_scores
-from echotrail.session import BROADCAST_BYTES, cut_lineage, fits_broadcast, hint, small_side
+from echotrail.operators.lexical import best_of, bm25_rankings, overlap_rankings, ranks_from_slots, ranks_of, slots_before
+from echotrail.session import BROADCAST_BYTES, cut_lineage, fits_broadcast, small_side
 
 RRF = 60
 # Bound of a query with its vector and its sorted candidates.
 QUERY_BYTES = 64 * 1024
 
 
-def _first_beaten(cost: Column, doc_id: Column, marks: Column) -> Column:
-    """Index of the first mark that comes after the row in (cost, id) order, by binary search.
-
-    Marks per query are at most a few hundred, so ten halvings settle it.
-    """
-    span = F.struct(F.lit(0).alias("lo"), F.size(marks).alias("hi"))
-
-    def halve(s: Column, _step: Column) -> Column:
-        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        mark = F.get(marks, middle)
-        before = (cost < mark["cost"]) | ((cost == mark["cost"]) & (doc_id < mark["doc_id"]))
-        return F.when(s["lo"] >= s["hi"], s).when(before, F.struct(s["lo"].alias("lo"), middle.alias("hi"))).otherwise(
-            F.struct((middle + 1).alias("lo"), s["hi"].alias("hi")))
-
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(marks).cast("double") + 1)).cast("int") + 1)
-    return F.aggregate(steps, span, halve, lambda s: s["lo"])
-
-
-def exact_ranks(scored: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Exact rank of the ``wanted(query_id, doc_id)`` rows within ``scored(query_id, doc_id, score)``.
-
-    Each scored row finds, among the few wanted rows of its query sorted best first, the first one it
-    beats. Only counts per such slot are shuffled, and running totals over the slots give the ranks.
-    """
-    wanted = wanted.select("query_id", "doc_id")
-    small = fits_broadcast(wanted, 128)  # bounds every table below that is joined to the scored rows
-    keys = scored.join(hint(wanted, small), ["query_id", "doc_id"], "left_semi")
-    marks = cut_lineage(keys.groupBy("query_id").agg(  # a few rows per query, joined twice below
-        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("cost"), F.col("doc_id").alias("doc_id")))).alias("marks")))
-    placed = scored.join(hint(marks, small), "query_id")
-    slots = placed.groupBy("query_id", _first_beaten(-F.col("score"), F.col("doc_id"), F.col("marks")).alias("slot")).agg(F.count("*").alias("n"))
-    counts = slots.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("counts"))
-    each = marks.join(counts, "query_id").select(
-        "query_id", "counts", F.posexplode("marks").alias("i", "mark"))
-    better = F.aggregate(
-        F.sequence(F.lit(0), F.col("i")), F.lit(0).cast("bigint"),
-        lambda acc, s: acc + F.coalesce(F.element_at("counts", s), F.lit(0)))
-    return each.select("query_id", F.col("mark.doc_id").alias("doc_id"), (better + 1).alias("rank"))
-
-
 def dense_ranks(queries: DataFrame, corpus: DataFrame, wanted: DataFrame) -> DataFrame:
     """Exact cosine rank of ``wanted(query_id, doc_id)`` over the whole corpus, counted batch by batch.
 
@@ -104,14 +64,7 @@ def dense_ranks(queries: DataFrame, corpus: DataFrame, wanted: DataFrame) -> Dat
             doc_ids = to_ids(batch.column("doc_id"))
             scores = -cosine_scores(q, to_matrix(batch.column("embedding")))
             for j in range(len(query_ids)):
-                # First slot whose mark is worse than the row; equal costs are settled by id.
-                slot = np.searchsorted(cost_marks[j], scores[:, j], side="left")
-                tied = np.nonzero(slot < len(cost_marks[j]))[0]
-                tied = tied[cost_marks[j][slot[tied]] == scores[tied, j]]
-                for r in tied:
-                    end = np.searchsorted(cost_marks[j], scores[r, j], side="right")
-                    slot[r] += np.searchsorted(id_marks[j][slot[r]:end], doc_ids[r], side="right")
-                totals[j] += np.bincount(slot, minlength=len(totals[j]))
+                totals[j] += np.bincount(slots_before(scores[:, j], doc_ids, cost_marks[j], id_marks[j]), minlength=len(totals[j]))
         for j, query in enumerate(query_ids):
             used = np.nonzero(totals[j])[0]
             if len(used):
@@ -119,12 +72,7 @@ def dense_ranks(queries: DataFrame, corpus: DataFrame, wanted: DataFrame) -> Dat
                     [pa.array(np.repeat(query, len(used))).cast(arrow.field(0).type), pa.array(used), pa.array(totals[j][used])], schema=arrow)
 
     slots = corpus.select("doc_id", "embedding").mapInArrow(count, out).groupBy("query_id", "slot").agg(F.sum("n").alias("n"))
-    counts = slots.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("counts"))
-    each = marks.join(counts, "query_id").select("query_id", "counts", F.posexplode("marks").alias("i", "mark"))
-    better = F.aggregate(
-        F.sequence(F.lit(0).cast("bigint"), F.col("i").cast("bigint")), F.lit(0).cast("bigint"),
-        lambda acc, s: acc + F.coalesce(F.element_at("counts", s), F.lit(0)))
-    return each.select("query_id", F.col("mark.doc_id").alias("doc_id"), (better + 1).alias("rank"))
+    return ranks_from_slots(marks, slots)
 
 
 def _pair_scores(queries: DataFrame, corpus: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -167,12 +115,12 @@ def rrf_hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k
     """
     corpus = vectors if allowed is None else vectors.join(small_side(allowed.select("doc_id"), 64), "doc_id", "left_semi")
     dense = knn(queries.select("query_id", "embedding"), corpus, max(2 * k, 50), tolerance=tolerance)
-    scored = bm25_scores(docs.select("doc_id", "text"), queries.select("query_id", "text"), allowed)
+    lexical = bm25_rankings(docs.select("doc_id", "text"), queries.select("query_id", "text"), allowed)
     # Both lists are read several times below and hold few rows per query.
     dense = cut_lineage(dense)
-    head = cut_lineage(take_top(scored, k).select("query_id", "doc_id", "rank"))
-    rest = exact_ranks(scored, dense.join(head, ["query_id", "doc_id"], "left_anti"))
-    return fuse(dense, head.unionByName(rest), k).withColumn("distance", 1.0 - F.col("score"))
+    head = cut_lineage(take_top(best_of(lexical, k), k).select("query_id", "doc_id", "rank"))
+    rest = ranks_of(lexical, dense.join(head, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id"))
+    return fuse(dense, head.unionByName(rest.withColumn("rank", F.col("rank").cast("int"))), k).withColumn("distance", 1.0 - F.col("score"))
 
 
 def scoped_fusion_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
@@ -189,12 +137,12 @@ def scoped_fusion_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame
     probes = queries.select("query_id", "embedding")
     # Both heads are read several times below and hold `depth` rows per query at most.
     dense_head = cut_lineage(take_top(scan(probes, vectors, depth, tolerance=None), depth).select("query_id", "doc_id", "rank"))
-    scored = overlap_scores(docs, queries.select("query_id", "text"))
-    lexical_head = cut_lineage(take_top(scored, depth).select("query_id", "doc_id", "rank"))
+    rankings = overlap_rankings(docs, queries.select("query_id", "text"))
+    lexical_head = cut_lineage(take_top(best_of(rankings, depth), depth).select("query_id", "doc_id", "rank"))
     only_lexical = lexical_head.join(dense_head, ["query_id", "doc_id"], "left_anti")
     only_dense = dense_head.join(lexical_head, ["query_id", "doc_id"], "left_anti")
     dense = dense_head.unionByName(dense_ranks(probes, vectors, only_lexical).withColumn("rank", F.col("rank").cast("int")))
-    lexical = lexical_head.unionByName(exact_ranks(scored, only_dense).withColumn("rank", F.col("rank").cast("int")))
+    lexical = lexical_head.unionByName(ranks_of(rankings, only_dense.select("query_id", "doc_id")).withColumn("rank", F.col("rank").cast("int")))
     return fuse(dense, lexical, k)
 
 
