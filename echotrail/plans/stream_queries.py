@@ -9,6 +9,7 @@ from echotrail.functions import vectors as vx
 from echotrail.plans.inputs import table
 from echotrail.plans.registry import SQL, query
 from echotrail.plans.report_queries import states
+from echotrail.plans.search_queries import BM25_CTE, TERMS
 from echotrail.plans.vault_queries import history_lines
 from echotrail.sources.files import scratch_path
 from echotrail.sources.vault import Vault
@@ -218,7 +219,16 @@ def _trigger(spark, sf):
     return total.select(F.lit(sum(fired)).cast("long").alias("runs"), "events")
 
 
-@query("traceback_lookup")
+TRACEBACK_SQL = BM25_CTE.replace(
+    f"SELECT DISTINCT item_id AS query_id, unnest({TERMS}) AS term FROM benchmark",
+    f"""SELECT DISTINCT query_id, unnest({TERMS}) AS term FROM (
+      SELECT event_id AS query_id, array_to_string(list_slice(string_split(body, chr(10)), -10, -1), chr(10)) AS text FROM (
+        SELECT *, lag(body) OVER (PARTITION BY conv_id ORDER BY event_id) AS before FROM (
+          SELECT conv_id * 1000 + turn AS event_id, conv_id, text || chr(10) || 'Exception: ' || role AS body FROM conversations))
+      WHERE before IS NULL OR before <> body)""")
+
+
+@query("traceback_lookup", f"WITH {TRACEBACK_SQL} SELECT query_id, rank, doc_id, round(score, 9) AS score FROM bmr WHERE rank <= 1")
 def _lookup(spark, sf):
     """Turns that show an exception, searched by their last ten lines; hits follow the term ranking."""
     c = table(spark, sf, "conversations")
