@@ -30,15 +30,15 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-dig
 RECORD_END = "\r\n\r\n"
 # ---------------------------------------------------------------------------------------------------
 
-ARCHIVE_BYTES = 8 * 1024 * 1024
+ARCHIVE_BYTES = 4 * 1024 * 1024
 FILE_RECORDS = 8000
 EPOCH = "20000101000000"
 ROW_HEADER = "X-Row"
 
-RECORD_SCHEMA = "archive string, version int, url string, ip string, date string, mime string, status int, row_key string, problem string, payload binary"
+RECORD_SCHEMA = "archive string, version int, url string, ip string, date string, mime string, status int, row_key string, problem string, payload binary, digest string"
 _RECORD_ARROW = pa.schema([
     ("archive", pa.string()), ("version", pa.int32()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()),
-    ("status", pa.int32()), ("row_key", pa.string()), ("problem", pa.string()), ("payload", pa.binary())])
+    ("status", pa.int32()), ("row_key", pa.string()), ("problem", pa.string()), ("payload", pa.binary()), ("digest", pa.string())])
 
 
 def payload_digest(payload: bytes) -> str:
@@ -238,59 +238,63 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, bytes_at: int) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pack pages into ARC archives: ``path, content`` as Spark's binary file reader gives them.
-
-    Archives alternate between versions 1 and 2 and end soon after ``ARCHIVE_BYTES``; a longer page is
-    an archive alone.
-    """
-    rows = pages.select(
+def _page_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    return pages.select(
         F.coalesce(name(id_col).cast("string"), F.lit("~")).alias("k"), F.coalesce(name(url_col).cast("string"), F.lit("")).alias("u"),
         F.coalesce(name(html_col).cast("string"), F.lit("")).cast("binary").alias("b"))
 
-    def pack(batches):
-        count, parts, size = 0, [], 0
-        for batch in batches:
-            for k, u, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                version = 1 + count % 2
-                archive = f"part-{count:06d}.arc"
-                if not parts:
-                    parts, size = [arc_head(archive, version)], 0
-                record = arc_record(version, archive, size, u, k, b)
-                parts.append(record)
-                size += len(record)
-                if size >= ARCHIVE_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([b"".join(parts)], pa.binary())], names=["path", "content"])
-                    parts, count = [], count + 1
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([f"part-{count:06d}.arc"]), pa.array([b"".join(parts)], pa.binary())], names=["path", "content"])
-
-    return rows.mapInArrow(pack, "path string, content binary")
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages to archives of bounded size."""
 
-def read_arc(files: DataFrame) -> DataFrame:
-    """Records of ARC archives given as ``path, content``; null content has no records."""
+    def archive_of(count: int, parts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f"part-{count:06d}.arc"]), pa.array([b"".join(parts)], pa.binary())], names=["path", "content"])
+
+    count, parts, size = 0, [], 0
+    for batch in batches:
+        for row in zip(*batch.columns):
+            key, url, body = (x.as_py() for x in row)
+            version, archive = 1 + count % 2, f"part-{count:06d}.arc"
+            if not parts:
+                parts, size = [arc_head(archive, version)], 0
+            parts.append(arc_record(version, archive, size, url, key, body))
+            size += len(parts[-1])
+            if size >= ARCHIVE_BYTES:
+                yield archive_of(count, parts)
+                parts, count = [], count + 1
+    if parts:
+        yield archive_of(count, parts)
 
-    def parse(batches):
-        def rows():
-            for batch in batches:
-                for path, content in zip(batch.column(0), batch.column(1)):
-                    yield from parse_arc(path.as_py() or "", content.as_py() or b"")
 
-        yield from _batches(rows(), _RECORD_ARROW, 9)
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Archives to records with their digests."""
 
-    return files.select("path", "content").mapInArrow(parse, RECORD_SCHEMA)
+    def rows():
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                for record in parse_arc(path.as_py() or "", content.as_py() or b""):
+                    yield *record, payload_digest(record[-1])
 
+    yield from _batches(rows(), _RECORD_ARROW, 9)
 
-def with_digests(records: DataFrame) -> DataFrame:
-    """Add ``digest`` (bare base32 SHA-1) and ``payload_bytes``."""
 
-    def add(batches):
-        for batch in batches:
-            digests = pa.array([payload_digest(p.as_py() or b"") for p in batch.column(batch.schema.get_field_index("payload"))], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, digests], names=[*batch.schema.names, "digest"])
+def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Pack pages into ARC archives: ``path, content`` as Spark's binary file reader gives them.
+
+    Archives alternate between versions 1 and 2 and end soon after ``ARCHIVE_BYTES``; a longer page is
+    an archive alone.
+    """
+    return _page_rows(pages, id_col, url_col, html_col).mapInArrow(_pack, "path string, content binary")
+
+
+def read_arc(files: DataFrame) -> DataFrame:
+    """Records of ARC archives given as ``path, content``; null content has no records."""
+    return files.select("path", "content").mapInArrow(_parse, RECORD_SCHEMA)
+
 
-    return records.mapInArrow(add, RECORD_SCHEMA + ", digest string")
+def records_through_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``read_arc(pages_to_arc(pages))`` in one step, so that a task hands each archive on within one worker."""
+    return _page_rows(pages, id_col, url_col, html_col).mapInArrow(lambda batches: _parse(_pack(batches)), RECORD_SCHEMA)
 
 
 def first_of_equal(records: DataFrame, key: Column, least_bytes: int = 0) -> DataFrame:
@@ -347,7 +351,7 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     spark = prepare(pages.sparkSession)
     id_type = pages.select(name(id_col)).schema[0].dataType
-    records = with_digests(read_arc(pages_to_arc(pages, id_col, url_col, html_col)))
+    records = records_through_arc(pages, id_col, url_col, html_col)
     revisits = first_of_equal(records, F.nullif(F.col("row_key"), F.lit("~")).cast(id_type))
     path = scratch_path(spark, "warc")
     write_warc(records, revisits, path)
