@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,11 +78,24 @@ def drop_written(spark: SparkSession, used_by: DataFrame | None = None) -> None:
     Tables that ``used_by`` still reads stay, and stay known.
     """
     files = used_by.inputFiles() if used_by is not None and _TABLES else []
-    kept = [t for t in _TABLES if any(os.path.basename(t) in f for f in files)]
-    for table in set(_TABLES) - set(kept):
+    _delete(spark, [t for t in _TABLES if not any(os.path.basename(t) in f for f in files)])
+
+
+def _delete(spark: SparkSession, tables: list[str]) -> None:
+    for table in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(table)
         path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
-    _TABLES[:] = kept
+        _TABLES.remove(table)
+
+
+@contextmanager
+def kept_aside(spark: SparkSession):
+    """Tables that ``written`` makes inside are deleted at the end, as after each batch of a stream."""
+    before = set(_TABLES)
+    try:
+        yield
+    finally:
+        _delete(spark, [t for t in _TABLES if t not in before])
 
 
 def fits_broadcast(df: DataFrame, row_bytes: int, limit: int | None = None) -> bool:

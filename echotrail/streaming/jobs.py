@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from echotrail.functions import text as tx
 from echotrail.operators import events as ev
-from echotrail.session import small_side, written
+from echotrail.session import kept_aside, small_side, written
 from echotrail.sources.files import parse_history
 from echotrail.sources.vault import Vault, first_per_key
 from echotrail.streaming import processors as ps
@@ -163,21 +163,22 @@ def capture_sink(vault: Vault, embed: Callable, collection: str = "main", mirror
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = written(batch)
-        stored = ev.normalize_events(vault.rows(collection))
-        parts = add_events(batch, stored)
-        rows = written(vault_batch(parts["accepted"], embed, collection))
-        vault.ingest(rows)
-        if quarantine is not None:
-            deleted = vault.tombstones().filter(F.col("collection") == collection).select(F.col("doc_id").alias("id"))
-            refused = parts["conflict"].withColumn("why", F.lit("conflict")).unionByName(parts["invalid"].withColumn("why", F.lit("invalid")))
-            refused = refused.unionByName(parts["accepted"].join(deleted, "id", "left_semi").withColumn("why", F.lit("forgotten")), allowMissingColumns=True)
-            refused.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
-        if mirror is not None:
-            try:
-                mirror.ingest(rows.withColumn("collection", F.lit("hot")))
-            except Exception as exc:  # the canonical write stands
-                rows.select("doc_id", F.lit(type(exc).__name__).alias("error")).write.mode("append").parquet(f"{vault.path}/repairs")
+        with kept_aside(vault.spark):
+            batch = written(batch)
+            stored = ev.normalize_events(vault.rows(collection))
+            parts = add_events(batch, stored)
+            rows = written(vault_batch(parts["accepted"], embed, collection))
+            vault.ingest(rows)
+            if quarantine is not None:
+                deleted = vault.tombstones().filter(F.col("collection") == collection).select(F.col("doc_id").alias("id"))
+                refused = parts["conflict"].withColumn("why", F.lit("conflict")).unionByName(parts["invalid"].withColumn("why", F.lit("invalid")))
+                refused = refused.unionByName(parts["accepted"].join(deleted, "id", "left_semi").withColumn("why", F.lit("forgotten")), allowMissingColumns=True)
+                refused.write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+            if mirror is not None:
+                try:
+                    mirror.ingest(rows.withColumn("collection", F.lit("hot")))
+                except Exception as exc:  # the canonical write stands
+                    rows.select("doc_id", F.lit(type(exc).__name__).alias("error")).write.mode("append").parquet(f"{vault.path}/repairs")
 
     return write
 
@@ -279,8 +280,9 @@ def traceback_sink(docs: DataFrame, path: str, k: int = 1) -> Callable[[DataFram
     from echotrail.operators.lexical import bm25_search
 
     def search(batch: DataFrame, batch_id: int) -> None:
-        queries = written(batch.select(F.col("event_id").alias("query_id"), F.col("query").alias("text")))
-        if queries.limit(1).count():
-            bm25_search(docs, queries, k).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        with kept_aside(batch.sparkSession):
+            queries = written(batch.select(F.col("event_id").alias("query_id"), F.col("query").alias("text")))
+            if queries.limit(1).count():
+                bm25_search(docs, queries, k).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return search
