@@ -53,6 +53,26 @@ def percent_encode(value: Column) -> Column:
     return F.replace(F.replace(F.replace(form, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def _shared_field(value: Column, key: str) -> Column:
+    """``"key":value`` as JSON with its type kept, and whether sharing changed it; null for an absent key.
+
+    Strings are clipped and redacted. Objects and lists are redacted as JSON text and withheld if that
+    breaks them. Numbers and booleans cannot hold a secret.
+    """
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    clean = tx.redact(F.substring(text, 1, SHARE_CHARS))
+    quoted = F.to_json(F.array(clean))
+    nested = F.to_json(value)
+    redacted = tx.redact(nested)
+    plain = kind.isin("BOOLEAN", "BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+    shown = F.when(kind == "STRING", F.substring(quoted, F.lit(2), F.length(quoted) - 2)).when(plain, nested).when(
+        F.try_parse_json(redacted).isNotNull(), redacted)
+    changed = F.when(kind == "STRING", clean != text).when(plain, False).otherwise(redacted != nested)
+    return F.when(kind.isNotNull() & (kind != "VOID"), F.struct(
+        F.concat(F.lit(f'"{key}":'), shown).alias("shown"), changed.alias("changed")))
+
+
 def share_view(events: DataFrame, citation_prefix: str = "memory://event/") -> DataFrame:
     """What a sharing bridge may show of an event: clipped, redacted, few keys, with a citation.
 
@@ -63,22 +83,22 @@ def share_view(events: DataFrame, citation_prefix: str = "memory://event/") -> D
     out = out.withColumn("clean_text", tx.redact(F.substring("text", 1, SHARE_CHARS)))
     out = out.withColumn("clean_source", tx.redact(F.substring("source", 1, SHARE_CHARS)))
     out = out.withColumn("clean_project", tx.redact(F.substring("project", 1, SHARE_CHARS)))
-    raw = F.struct(*[F.get_json_object(m, f"$.{k}").alias(k) for k in SHARED_KEYS])
-    out = out.withColumn("kept", raw)
-    clean = F.struct(*[tx.redact(F.substring(F.col(f"kept.{k}"), 1, SHARE_CHARS)).alias(k) for k in SHARED_KEYS])
-    out = out.withColumn("clean", clean)
+    out = out.withColumn("parsed", F.try_parse_json(m))
+    fields = [_shared_field(F.try_variant_get("parsed", f"$.{k}", "variant"), k) for k in SHARED_KEYS]
+    out = out.withColumn("fields", F.array_compact(F.array(*fields)))
     dropped = F.size(F.array_except(F.json_object_keys(m), F.array(*[F.lit(k) for k in SHARED_KEYS]))) > 0
     changed = (
         (F.col("clean_text") != F.col("text"))
         | (F.col("clean_source") != F.col("source"))
         | F.coalesce(F.col("clean_project") != F.col("project"), F.lit(False))
-        | ~F.col("clean").eqNullSafe(F.col("kept"))
+        | F.exists("fields", lambda f: f["changed"])
         | F.coalesce(dropped, F.lit(False))
     )
     return out.select(
         "id", "type", "timestamp", "captured_at",
         F.col("clean_source").alias("source"), F.col("clean_project").alias("project"),
-        F.col("clean_text").alias("text"), F.to_json("clean").alias("metadata"),
+        F.col("clean_text").alias("text"), 
+        F.concat(F.lit("{"), F.array_join(F.array_compact(F.transform("fields", lambda f: f["shown"])), ","), F.lit("}")).alias("metadata"),
         F.concat(F.lit(citation_prefix), percent_encode(F.col("id"))).alias("citation"), changed.alias("redacted"),
     )
 

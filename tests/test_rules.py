@@ -275,3 +275,18 @@ def test_consolidation_replaces_only_groups(spark):
         total = summaries.agg(F.sum("n")).first()[0]
         assert total == replaced.count() == replaced.distinct().count() and replaced.filter("doc_id = 0").count() == 0
         assert all(r["text"].startswith("Consolidated Summary:\n") and r["text"].count("\n") == r["n"] for r in summaries.collect())
+
+
+def test_share_view_keeps_types(spark):
+    from echotrail.operators import governance as gov
+
+    rows = spark.createDataFrame([
+        ("a", '{"title":"T","timestamp_inferred":true,"provenance":{"n":1,"who":"me"}}'),
+        ("b", '{"title":"ghp_' + "a" * 36 + '","url":null}'),
+        ("c", '{"title":"T","own":1}'), ("d", "{}"), ("e", "broken"),
+    ], "id string, metadata string").withColumns({
+        "type": F.lit("note"), "source": F.lit("s"), "project": F.lit(None).cast("string"), "text": F.lit("plain words"),
+        "timestamp": F.lit(None).cast("timestamp"), "captured_at": F.lit(None).cast("timestamp")})
+    got = {r["id"]: (r["metadata"], r["redacted"]) for r in gov.share_view(rows).collect()}
+    assert got["a"] == ('{"title":"T","timestamp_inferred":true,"provenance":{"n":1,"who":"me"}}', False)
+    assert got["b"][1] and "ghp_" not in got["b"][0] and got["c"] == ('{"title":"T"}', True) and got["d"] == ("{}", False) and got["e"] == ("{}", False)
