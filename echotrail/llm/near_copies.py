@@ -7,8 +7,8 @@ once the chance that it still reaches the threshold is below the chosen miss pro
 survives is verified on the full shingle sets.
 
 Large buckets never emit all their pairs. Their members are first chained at random; what the chains
-leave apart is then compared inside tasks, block by block, and only pairs between different components
-that pass the Bayesian test come out.
+leave apart is then compared inside tasks, block by block: pairs between different components take
+the Bayesian test and then the full one, and only links come out.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ BATCH = 16
 MISS = 1e-7
 SMALL_BUCKET = 8
 CHAIN_BLOCK = 256
-STRAGGLERS, MEMBERS = 512, 2048
+STRAGGLER_BYTES, MEMBER_BYTES = 2 * 1024 * 1024, 8 * 1024 * 1024
 
 _RNG = np.random.default_rng(97)
 _FACTOR = _RNG.integers(0, 2**31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -174,31 +174,37 @@ def bayes_filter(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(test, "u long, v long")
 
 
-def verified(pairs: DataFrame, stored: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links among ``pairs``: percent of the union of the full shingle sets that is shared."""
-    pairs = written(pairs)
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("row_id")).distinct()
-    texts = stored.select("row_id", "text").join(small_side(asked, 16), "row_id", "left_semi")
+def shingle_table(stored: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """Stored table ``node, items``: the full shingle sets of the rows that ``ids(row_id)`` names."""
+    texts = stored.select("row_id", "text").join(small_side(ids, 16), "row_id", "left_semi")
 
     def make(batches):
         for batch in batches:
-            ids, texts_ = batch.column(0).to_pylist(), [t.as_py().encode() for t in batch.column(1)]
-            for part in batches_by_size(zip(ids, texts_)):
+            names, texts_ = batch.column(0).to_pylist(), [t.as_py().encode() for t in batch.column(1)]
+            for part in batches_by_size(zip(names, texts_)):
                 sets = shingle_sets([p[1] for p in part], size)
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
 
-    sets = written(texts.mapInArrow(make, "node long, items binary"))
+    return written(texts.mapInArrow(make, "node long, items binary"))
+
+
+def is_link(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share at least ``percent`` of their union."""
+    if min(len(p), len(q)) * 100 < percent * max(len(p), len(q)):
+        return False
+    shared = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * shared >= percent * (len(p) + len(q) - shared)
+
+
+def verified(pairs: DataFrame, stored: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links among ``pairs``: percent of the union of the full shingle sets that is shared."""
+    pairs = written(pairs)
+    sets = shingle_table(stored, pairs.select(F.explode(F.array("u", "v")).alias("row_id")).distinct(), size)
 
     def check(batches):
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                p, q = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
-                if min(len(p), len(q)) * 100 < percent * max(len(p), len(q)):
-                    continue
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * shared >= percent * (len(p) + len(q) - shared):
-                    keep.append(i)
+            keep = [i for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3)))
+                    if is_link(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent)]
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["u", "v"])
 
@@ -207,26 +213,33 @@ def verified(pairs: DataFrame, stored: DataFrame, size: int, percent: int) -> Da
     return written(pairs.join(a, "u").join(b, "v").select("u", "v", "items_u", "items_v").mapInArrow(check, "u long, v long"))
 
 
-def remaining_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
-    """Surviving pairs of large buckets whose members still belong to different components.
+def remaining_links(members: DataFrame, labels: DataFrame, reps: DataFrame, stored: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links inside large buckets between members that still belong to different components.
 
     In such a bucket the stragglers, which are outside its commonest component, meet all members. Both
-    sides are cut into blocks; a task holds one block of each, and a pair is tested in the first bucket
-    that it shares. None if no bucket is left.
+    sides are cut into blocks of bounded bytes; a task holds one block of each with its full sets, tests
+    a pair in the first bucket that it shares, verifies what survives and gives out links only: one for
+    a straggler and a component is enough. None if no bucket is left.
     """
     large = members.filter(F.col("size") > SMALL_BUCKET).join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     counts = large.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.sum("n").alias("m"), (F.sum("n") - F.max("n")).alias("s")).filter("s > 0")
+    mixed = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("common"), (F.sum("n") - F.max("n")).alias("s")).filter("s > 0").drop("s")
     mixed = cut_lineage(mixed)
     if mixed.isEmpty():
         return None
-    left = large.join(mixed, "key").join(reps, "node")
+    left = large.join(mixed, "key")
+    sets = shingle_table(stored, left.select(F.col("node").alias("row_id")).distinct(), size)
+    left = left.join(reps, "node").join(sets, "node")
+    straggler = F.col("label") != F.col("common")
+    bytes_ = F.octet_length("items") + 2 * VALUES
+    widths = cut_lineage(left.groupBy("key").agg(
+        F.ceil(F.sum(F.when(straggler, bytes_).otherwise(0)) / STRAGGLER_BYTES).alias("s_blocks"), F.ceil(F.sum(bytes_) / MEMBER_BYTES).alias("m_blocks")))
+    left = left.join(widths, "key")
     spread = F.xxhash64("node", F.lit(5))
-    s_blocks, m_blocks = (F.ceil(F.col(c) / w).cast("long") for c, w in (("s", STRAGGLERS), ("m", MEMBERS)))
-    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    columns = ["key", "band", "node", "label", "sig"]
-    apart = left.filter(F.col("label") != F.col("common")).select(*columns, F.lit(True).alias("straggler"), F.pmod(spread, s_blocks).alias("sb"), every(m_blocks).alias("mb"))
-    whole = left.select(*columns, F.lit(False).alias("straggler"), F.pmod(spread, m_blocks).alias("mb"), every(s_blocks).alias("sb"))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+    columns = ["key", "band", "node", "label", "sig", "items"]
+    apart = left.filter(straggler).select(*columns, F.lit(True).alias("straggler"), F.pmod(spread, "s_blocks").alias("sb"), every("m_blocks").alias("mb"))
+    whole = left.select(*columns, F.lit(False).alias("straggler"), F.pmod(spread, "m_blocks").alias("mb"), every("s_blocks").alias("sb"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -235,15 +248,19 @@ def remaining_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, perc
             band = int(rows["band"].iloc[0])
             matrix = np.frombuffer(b"".join(others["sig"]), np.uint16).reshape(-1, VALUES)
             nodes, labels_ = others["node"].to_numpy(), others["label"].to_numpy()
-            for node, label, sig in zip(some["node"], some["label"], some["sig"]):
-                row = np.frombuffer(sig, np.uint16)
+            sets_ = [np.frombuffer(x, np.uint64) for x in others["items"]]
+            for node, label, sig, items in zip(some["node"], some["label"], some["sig"], some["items"]):
+                row, mine, joined = np.frombuffer(sig, np.uint16), np.frombuffer(items, np.uint64), set()
                 other = np.flatnonzero(labels_ != label)
                 other = other[surviving(matrix[other], np.broadcast_to(row, (len(other), VALUES)), percent)]
                 same = (matrix[other] == row).reshape(-1, BANDS, ROWS).all(axis=2)
-                found += [(min(node, nodes[o]), max(node, nodes[o])) for o, bands in zip(other, same) if bands.argmax() == band]
+                for o, bands in zip(other, same):
+                    if labels_[o] not in joined and bands.argmax() == band and is_link(mine, sets_[o], percent):
+                        joined.add(labels_[o])
+                        found.append((node, nodes[o]))
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    return apart.unionByName(whole).groupBy("key", "sb", "mb").applyInPandas(compare, "u long, v long").distinct()
+    return written(apart.unionByName(whole).groupBy("key", "sb", "mb").applyInPandas(compare, "u long, v long"))
 
 
 def near_components(stored: DataFrame, size: int, percent: int) -> DataFrame:
@@ -255,10 +272,9 @@ def near_components(stored: DataFrame, size: int, percent: int) -> DataFrame:
     members = band_members(reps)
     links = verified(bayes_filter(first_pairs(members), reps, percent), stored, size, percent)
     labels = components(links)
-    more = remaining_pairs(members, labels, reps, percent)
+    more = remaining_links(members, labels, reps, stored, size, percent)
     if more is not None:
-        links = links.unionByName(verified(more, stored, size, percent))
-        labels = components(links)
+        labels = components(links.unionByName(more))
     rooted = classes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
     return slim.filter("n_shingles > 0").join(rooted, ["set_a", "set_b", "n_shingles"]).select("row_id", "root")
 
@@ -267,8 +283,10 @@ def _decided(stored: DataFrame, size: int, percent: int) -> DataFrame:
     """``row_id, doc_id, n_shingles, first``: ``first`` is the struct of the row that stands for the component."""
     slim = stored.select("row_id", "doc_id", "n_shingles")
     rooted = cut_lineage(slim.join(near_components(stored, size, percent), "row_id", "left").withColumn("root", F.coalesce("root", "row_id")))
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("row_id"))).alias("first"))
-    return rooted.join(first, "root")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("row_id"))
+    # Most rows stand alone and need no partner's id.
+    first = rooted.groupBy("root").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "first")
+    return rooted.join(small_side(cut_lineage(first), 48), "root", "left").withColumn("first", F.coalesce("first", own))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
