@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,16 @@ WINDOW = 4096
 PACKET = 256
 END_ID = 2
 SEED = 7
+# Rows whose prefix sums one task makes.
+CHUNK = 1024
 CACHE_WORDS = 400_000
+CACHE_LETTERS = 400_000
+# Sequence of other characters than letters, digits and white space; one such run is one piece. The
+# apostrophe is left to the tokenizer, which ties it to what follows.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+# Byte-level vocabularies show each byte as a character: visible ones as themselves, others in order from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: b if b in set(_SHOWN) else 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
 def default_vocabulary() -> str:
@@ -36,11 +46,20 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=2)
+def word_tokens(path: str) -> "WordTokens":
+    """One encoder per worker process, whose caches serve all tasks that the worker runs."""
+    return WordTokens(path)
+
+
 class WordTokens:
-    """Token ids of texts for a vocabulary that never joins characters across white space.
+    """Token ids of texts for a vocabulary that lowers case, cuts words at white space, and then cuts
+    letters from other characters.
 
-    Texts are cut at ASCII white space and each distinct word is encoded once per worker. When the
-    cache is full it starts anew, so its memory is bounded and the result is the same.
+    Texts are cut at ASCII white space and each distinct word is encoded once while it is cached. Of a
+    word of Latin letters between punctuation the letters go straight to the merges of the vocabulary;
+    punctuation and all other words take the whole tokenizer. Full caches start anew, so their memory is
+    bounded and the ids are the same.
     """
 
     def __init__(self, path: str):
@@ -48,6 +67,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self._reset()
 
     def _reset(self):
@@ -55,16 +76,43 @@ class WordTokens:
         self.starts, self.counts, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint16)
         self.used = 0
 
+    def _whole(self, word: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of a word, two bytes each."""
+        core = word.strip(PUNCTUATION)
+        # Beyond Latin-1, lower case and composition need the tokenizer's own rules, as do its special tokens.
+        if not core.isalpha() or max(core) > "\u00ff" or "<|" in word:
+            return self._whole(word)
+        low = core.lower()
+        ids = self.letters.get(low)
+        if ids is None:
+            if len(self.letters) >= CACHE_LETTERS:
+                self.letters.clear()
+            ids = self.letters[low] = np.asarray([t.id for t in self.tokenizer.model.tokenize(low.encode().decode("latin-1").translate(_BYTE_LEVEL))], np.uint16).tobytes()
+        if len(core) == len(word):
+            return ids
+        at = word.index(core)
+        return b"".join([self._mark(word[:at]), ids, self._mark(word[at + len(core):])])
+
+    def _mark(self, text: str) -> bytes:
+        ids = self.marks.get(text)
+        if ids is None:
+            if len(self.marks) >= CACHE_LETTERS:
+                self.marks.clear()
+            ids = self.marks[text] = self._whole(text)
+        return ids
+
     def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids = [self._ids(w.decode()) for w in words]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
         at, more = len(self.index), int(counts.sum())
         while at + len(words) > len(self.starts):
             self.starts, self.counts = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.counts, 2 * len(self.counts))
         while self.used + more > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used:self.used + more] = np.fromiter((i for x in ids for i in x), np.uint16, more)
+        self.pool[self.used:self.used + more] = np.frombuffer(b"".join(ids), np.uint16)
         self.counts[at:at + len(words)] = counts
         self.starts[at:at + len(words)] = self.used + np.cumsum(counts) - counts
         self.used += more
@@ -98,7 +146,7 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, sour
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches):
-        words = WordTokens(vocabulary)
+        words = word_tokens(vocabulary)
         for batch in batches:
             counts, ids = [], []
             for part in batches_by_size(((t.as_py().encode(),) for t in batch.column(4)), 1024 * 1024):
@@ -118,7 +166,7 @@ def segments(sizes: DataFrame, shares: DataFrame | None = None, window: int = WI
     proportions; without it a source's share is its part of all tokens, so that all queues end together.
     A queue that ends leaves its share of the later windows to the others. ``at`` is the place in the queue.
     """
-    queued = running_total(ordered_positions(sizes, ["source"], ["order", "row_id"]), ["source"], "n", "end")
+    queued = running_total(ordered_positions(sizes, ["source"], ["order", "row_id"]), ["source"], "n", "end", CHUNK)
     if shares is None:
         totals = sizes.groupBy("source").agg(F.sum("n").cast("double").alias("share"))
         whole = totals.agg(F.sum("share")).first()[0] or 1.0
@@ -182,7 +230,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     """
     stored = tokenised(docs, vocabulary or default_vocabulary(), id_col, text_col, source_col)
     cuts = segments(stored.select("row_id", "source", "order", "n"), shares, window, packet)
-    laid = running_total(ordered_positions(cuts, [], ["round", F.col("source").isNull(), "source", "at"]), [], "length", "end")
+    laid = running_total(ordered_positions(cuts, [], ["round", F.col("source").isNull(), "source", "at"]), [], "length", "end", CHUNK)
     total = stored.agg(F.sum("n")).first()[0] or 0
     placed = pieces(laid, total, window)
     lists = placed.groupBy("row_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))

@@ -162,8 +162,8 @@ def test_near_copies(docs, rows, size):
 
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     """Many near copies in chains, with blocks so small that every path is taken."""
-    monkeypatch.setattr(near_copies, "STRAGGLERS", 8)
-    monkeypatch.setattr(near_copies, "MEMBERS", 16)
+    monkeypatch.setattr(near_copies, "STRAGGLER_BYTES", 4_000)
+    monkeypatch.setattr(near_copies, "MEMBER_BYTES", 9_000)
     monkeypatch.setattr(near_copies, "SMALL_BUCKET", 2)
     words_of = [f"w{k}" for k in range(60)]
     texts = []
@@ -275,6 +275,18 @@ def test_packing(docs, rows):
         assert at == 4096 or at & (at - 1) == 0 and at < 4096
 
 
+def test_word_by_word_ids_are_the_ones_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_vocabulary())
+    texts = [
+        "It's don't 'tis (well) \"ÀÉ\" ßtraße İstanbul ªº µm naïve é é x'y a_b <|endoftext|> a<|endoftext|>. y ÿ² ½ 日本語 ... !!! don't. ''' 's 'S I'LL we'Re'",
+        " \t ", "a\u0085b c \x1c d\x00e   f", "Ünïcödé***&&& ŁÓDŹ Σίσυφος ΟΔΟΣ", "", "x" * 5000, "a1b2 3.14 (x) [y]. #tag @me"]
+    words = packing.WordTokens(packing.default_vocabulary())
+    for _ in range(2):
+        assert [x.tolist() for x in words.encode([t.encode() for t in texts])] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_windows_keep_the_proportions(spark):
     from pyspark.sql import functions as F
 
