@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echotrail.session import prepare
+
 # White space that separates words everywhere in this subpackage.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 SPACES = " \t\n\u000b\f\r"
 
+# Rows that Spark hands to a Python worker at once. Texts may be long, so this is what bounds a worker's memory.
+ROWS_PER_BATCH = 1000
+
+
+def text_session(spark: SparkSession) -> SparkSession:
+    """The session with batches of texts kept small, unless they are smaller already."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= ROWS_PER_BATCH:
+        spark.conf.set(setting, str(ROWS_PER_BATCH))
+    return prepare(spark)
+
 
 def name(column: str) -> Column:
     """A column by its exact name, also with dots or blanks in it."""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from echotrail.llm.archives import convert_pages
+from echotrail.llm.common import text_session
 from echotrail.llm.credentials import find_secrets
 from echotrail.llm.exact_copies import exact_copies
 from echotrail.llm.main_text import main_text
@@ -16,7 +17,6 @@ from echotrail.llm.packing import pack
 from echotrail.llm.pseudonyms import pseudonymise
 from echotrail.llm.recompression import remove_repeats
 from echotrail.llm.rules import quality_report
-from echotrail.session import prepare
 
 # A deployment passes its own secret; the registered query needs one that is the same in every run.
 QUERY_KEY = "registered query"
@@ -30,7 +30,7 @@ def _query(name: str, table: str, sql: str | None = None):
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet"))
+            return fn(text_session(spark).read.parquet(f"{sf_dir}/{table}.parquet"))
 
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
