@@ -170,7 +170,6 @@ def _blobs(names: np.ndarray, doc: np.ndarray, ids: np.ndarray, buckets: int):
 
 _BLOB = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("names", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary())])
 _BLOB_SQL = "bucket long, kind int, names binary, docs binary, ids binary"
-_REPLY_SQL = "kind int, doc_id long, names binary"
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -191,12 +190,31 @@ def _groups(names: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)]))
 
 
-def _replies(kind: int, names: np.ndarray, doc: np.ndarray) -> list[tuple]:
-    order = np.argsort(doc, kind="stable")
-    names, doc = names[order], doc[order]
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    at = np.concatenate([[0], cuts]) if len(doc) else np.zeros(0, np.int64)
-    return [(kind, int(doc[a]), names[a:b].tobytes()) for a, b in zip(at, np.concatenate([cuts, [len(doc)]]).astype(np.int64))] if len(doc) else []
+def _replies(names: np.ndarray, doc: np.ndarray, buckets: int) -> list[tuple]:
+    """Names back to their documents, packed by a hash of the document's id."""
+    ids, where = np.unique(doc, return_inverse=True)
+    home = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)[where]
+    order = np.argsort(home, kind="stable")
+    cuts = np.flatnonzero(np.diff(home[order])) + 1
+    out = []
+    for part in np.split(order, cuts) if len(order) else []:
+        used, place = np.unique(where[part], return_inverse=True)
+        out.append((int(home[part[0]]), ASKED, names[part].tobytes(), place.astype("<u4").tobytes(), ids[used].astype("<i8").tobytes()))
+    return out
+
+
+def _lists(answers: DataFrame, lanes: int) -> DataFrame:
+    """``doc_id, names``: all that each document has learnt, one row per document."""
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in frame["ids"]]))
+        names, doc = _gathered(frame, lanes)
+        order = np.argsort(doc, kind="stable")
+        names, doc = names[order], doc[order]
+        begin, end = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
+        return pd.DataFrame({"doc_id": ids, "names": [names[a:b].tobytes() for a, b in zip(begin, end)]})
+
+    return written(answers.groupBy("bucket").applyInPandas(merge, "doc_id long, names binary"))
 
 
 def hot_names(rows: DataFrame, window: int, what: str) -> np.ndarray:
@@ -286,20 +304,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             first = _groups(names)
             size = np.diff(np.concatenate([first, [len(names)]]))
             shared = np.repeat(doc[first] != doc[first + size - 1], size)
-            out += _replies(ASKED, names[shared], doc[shared])
+            out += _replies(names[shared], doc[shared], buckets)
         if len(least):
             names, doc = _gathered(least, 2)
             first = _groups(names)
-            out += [(LEAST, int(d), n.tobytes()) for n, d in zip(names[first], doc[first])]
-        for ids in across["ids"]:
-            out += [(ASKED, int(i), b"") for i in np.frombuffer(ids, "<i8")]
-        return pd.DataFrame(out, columns=["kind", "doc_id", "names"])
-
-    answers = written(named.mapInArrow(ask_symbols, _BLOB_SQL).groupBy("bucket").applyInPandas(answer_symbols, _REPLY_SQL))
-    least = answers.filter(F.col("kind") == LEAST).select("doc_id", "names").toPandas()  # at most the hot windows of the sample
+            out.append((0, LEAST, names[first].tobytes(), b"", doc[first].astype("<i8").tobytes()))
+        if len(across):
+            ids = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in across["ids"]]))
+            home = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            out += [(int(h), ASKED, b"", b"", ids[home == h].tobytes()) for h in np.unique(home)]
+        return pd.DataFrame(out, columns=_BLOB.names)
+
+    answers = written(named.mapInArrow(ask_symbols, _BLOB_SQL).groupBy("bucket").applyInPandas(answer_symbols, _BLOB_SQL))
+    least = answers.filter(F.col("kind") == LEAST).select("ids", "names").toPandas()  # at most the hot windows of the sample
     least_of = np.full(len(hot_windows.names), np.iinfo(np.int64).max)
     if len(least):
-        least_of[hot_windows.place(np.frombuffer(b"".join(least["names"]), np.uint64).reshape(-1, 2))] = least["doc_id"].to_numpy()
+        least_of[hot_windows.place(np.frombuffer(b"".join(least["names"]), np.uint64).reshape(-1, 2))] = np.frombuffer(b"".join(least["ids"]), "<i8")
     hot_least = context.broadcast(least_of)
 
     def ask_windows(batches):
@@ -309,7 +329,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for part in batches_by_size(zip(ids_, names_, texts), BATCH_BYTES):
                 ids, words = np.asarray([p[0] for p in part], np.int64), Words([p[2] for p in part])
                 found, doc, starts = anchors(words, window)
-                ask = is_hot_symbol(found) | _member(found, doc, [b"".join(p[1]) for p in part])
+                ask = is_hot_symbol(found) | _member(found, doc, [p[1] for p in part])
                 some = np.flatnonzero(ask)
                 names = pair_names(words, starts[some], window)
                 cold = hot.value[0].place(names) < 0
@@ -320,11 +340,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         names, doc = _gathered(frame, 2)
         first = _groups(names)
         later = doc > np.repeat(doc[first], np.diff(np.concatenate([first, [len(names)]])))
-        return pd.DataFrame(_replies(ASKED, names[later], doc[later]), columns=["kind", "doc_id", "names"])
+        return pd.DataFrame(_replies(names[later], doc[later], buckets), columns=_BLOB.names)
 
-    learnt = _lists(answers.filter(F.col("kind") == ASKED))
+    learnt = _lists(answers.filter(F.col("kind") == ASKED), 1)
     asking = named.join(small_side(learnt.select("doc_id"), 16), "doc_id", "left_semi").join(learnt, "doc_id")
-    repeats = written(asking.select("doc_id", "names", "text").mapInArrow(ask_windows, _BLOB_SQL).groupBy("bucket").applyInPandas(answer_windows, _REPLY_SQL))
+    repeats = written(asking.select("doc_id", "names", "text").mapInArrow(ask_windows, _BLOB_SQL).groupBy("bucket").applyInPandas(answer_windows, _BLOB_SQL))
 
     def cut(batches):
         for batch in batches:
@@ -344,7 +364,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     gone[maybe] = (place >= 0) & (hot_least.value[place] < mine[doc[maybe]])
                 for i in [i for i, p in enumerate(part) if p[1]]:
                     here = np.arange(*np.searchsorted(doc, [i, i + 1]))
-                    known = np.frombuffer(b"".join(part[i][1]), np.uint64).reshape(-1, 2)
+                    known = np.frombuffer(part[i][1], np.uint64).reshape(-1, 2)
                     gone[here] |= Known(known).place(pair_names(words, starts[here], window)) >= 0
                 edge = np.zeros(len(words.names) + 1, np.int64)
                 np.add.at(edge, starts[gone], 1)
@@ -359,12 +379,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out.append((doc_id, int(b - a), int(b - a - stay.sum()), hashlib.sha256(b" ".join(tokens)).hexdigest()))
                 yield _table(out, _RESULT)
 
-    flagged = _lists(repeats)
+    flagged = _lists(repeats, 2)
     ids = flagged.select("doc_id")
     if fits_broadcast(ids, 16):
         ids = F.broadcast(ids)
         parts = rows.join(ids, "doc_id", "left_semi").join(flagged, "doc_id").select("doc_id", "names", "text")
-        parts = parts.unionByName(rows.join(ids, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("array<binary>").alias("names"), "text"))
+        parts = parts.unionByName(rows.join(ids, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("binary").alias("names"), "text"))
     else:
         parts = rows.join(flagged, "doc_id", "left").select("doc_id", "names", "text")
     return parts.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
@@ -375,10 +395,6 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 ASKED, LEAST, ACROSS = 0, 1, 2
 
 
-def _lists(answers: DataFrame) -> DataFrame:
-    return answers.groupBy("doc_id").agg(F.collect_list("names").alias("names"))
-
-
 def _near(sorted_lane: np.ndarray, lane: np.ndarray) -> np.ndarray:
     if not len(sorted_lane):
         return np.zeros(len(lane), bool)
