@@ -88,6 +88,12 @@ def _delete(spark: SparkSession, tables: list[str]) -> None:
         _TABLES.remove(table)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``written`` has made, when all that was read from it is stored elsewhere."""
+    files = table.inputFiles()
+    _delete(table.sparkSession, [t for t in _TABLES if any(os.path.basename(t) in f for f in files)])
+
+
 @contextmanager
 def kept_aside(spark: SparkSession):
     """Tables that ``written`` makes inside are deleted at the end, as after each batch of a stream."""
