@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from echotrail.llm.common import name, text_of
 from echotrail.llm.grams import Words, batches_by_size, mix
-from echotrail.session import fits_broadcast, small_side, written
+from echotrail.session import discard, fits_broadcast, small_side, written
 
 WINDOW = 13
 ROUNDS = 2
@@ -263,7 +263,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(name(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     named = rows.filter(F.col("doc_id").isNotNull())
     if buckets is None:
-        buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    homes = max(1, buckets // 2)
     hot_windows = Known(hot_names(named, window, "windows"))
     hot_symbols = np.sort(hot_names(named, window, "symbols")[:, 0])
     hot = context.broadcast((hot_windows, hot_symbols))
@@ -304,14 +305,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             first = _groups(names)
             size = np.diff(np.concatenate([first, [len(names)]]))
             shared = np.repeat(doc[first] != doc[first + size - 1], size)
-            out += _replies(names[shared], doc[shared], buckets)
+            out += _replies(names[shared], doc[shared], homes)
         if len(least):
             names, doc = _gathered(least, 2)
             first = _groups(names)
             out.append((0, LEAST, names[first].tobytes(), b"", doc[first].astype("<i8").tobytes()))
         if len(across):
             ids = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in across["ids"]]))
-            home = (mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            home = (mix(ids.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
             out += [(int(h), ASKED, b"", b"", ids[home == h].tobytes()) for h in np.unique(home)]
         return pd.DataFrame(out, columns=_BLOB.names)
 
@@ -340,9 +341,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         names, doc = _gathered(frame, 2)
         first = _groups(names)
         later = doc > np.repeat(doc[first], np.diff(np.concatenate([first, [len(names)]])))
-        return pd.DataFrame(_replies(names[later], doc[later], buckets), columns=_BLOB.names)
+        return pd.DataFrame(_replies(names[later], doc[later], homes), columns=_BLOB.names)
 
     learnt = _lists(answers.filter(F.col("kind") == ASKED), 1)
+    discard(answers)
     asking = named.join(small_side(learnt.select("doc_id"), 16), "doc_id", "left_semi").join(learnt, "doc_id")
     repeats = written(asking.select("doc_id", "names", "text").mapInArrow(ask_windows, _BLOB_SQL).groupBy("bucket").applyInPandas(answer_windows, _BLOB_SQL))
 
@@ -379,7 +381,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out.append((doc_id, int(b - a), int(b - a - stay.sum()), hashlib.sha256(b" ".join(tokens)).hexdigest()))
                 yield _table(out, _RESULT)
 
+    discard(learnt)
     flagged = _lists(repeats, 2)
+    discard(repeats)
     ids = flagged.select("doc_id")
     if fits_broadcast(ids, 16):
         ids = F.broadcast(ids)
