@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut_lineage(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
-        edges = cut_lineage(_small_star(_large_star(edges).distinct()).distinct())
+        edges = cut_lineage(_small_star(_large_star(edges)).distinct())
         mark = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen:
             break
