@@ -30,8 +30,8 @@ END_ID = 2
 SEED = 7
 # Rows whose prefix sums one task makes.
 CHUNK = 1024
-CACHE_WORDS = 400_000
-CACHE_LETTERS = 400_000
+CACHE_WORDS = 600_000
+CACHE_LETTERS = 900_000
 # Sequence of other characters than letters, digits and white space; one such run is one piece. The
 # apostrophe is left to the tokenizer, which ties it to what follows.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
