@@ -44,13 +44,20 @@ MARKS = frozenset((
     "gdpr header hidden legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification offcanvas outbrain overlay pager "
     "pagination paywall popup popups promo promos promoted promotion recommended recommendations related replies reply respond responses search share sharing "
     "shoutbox sidebar sidenav signup skip social sponsor sponsored sponsors subscribe subscription taboola tagcloud teaser teasers toolbar topbar tracking warning widget widgets").split())
+# Marks of what never wraps an article, however long it is.
+BESIDE = frozenset((
+    "ad ads adverts advertisement advertising comment comments commentlist consent cookie cookies copyright disqus gdpr newsletter outbrain promo promos "
+    "recommended recommendations related replies reply respond responses shoutbox sponsored taboola teaser teasers").split())
 # ---------------------------------------------------------------------------------------------------
 
 VOTES = 3
+RUNNING = 40
 # The quoted parts keep a ">" inside an attribute from ending the tag.
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+# Class names that tell how a page is laid out, as has-sidebar.
+_STATE = re.compile(r"(?:has|is|no|with|without)[-_]")
 
 
 @dataclass
@@ -61,6 +68,8 @@ class Node:
     path: str
     parent: "Node | None"
     outside: bool
+    marks: tuple[tuple[str, frozenset[str]], ...] = ()
+    above: tuple["Node", ...] = ()
     score: float = 0.0
     text: int = 0
     linked: int = 0
@@ -82,25 +91,32 @@ def _label(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
-def _marked(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in OUTSIDE:
+def _hidden(tag: str, attributes: dict[str, str]) -> bool:
+    if tag in OUTSIDE and tag != "form":
         return True
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
-        return True
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I))
+
+
+def _marks(tag: str, attributes: dict[str, str]) -> tuple[tuple[str, frozenset[str]], ...]:
+    """Names that mark an element as standing beside an article, each with its marking words."""
     if tag in ("html", "body", "article", "main"):
-        return False
+        return ()
+    found = {"<form>": frozenset(("<form>",))} if tag == "form" else {}
     for key in ("class", "id", "role"):
         for value in attributes.get(key, "").split():
-            words = [w.lower() for w in _WORD.findall(value)]
-            if value.lower() in MARKS or any(w in MARKS for w in words):
-                return True
-    return False
+            words = frozenset(w for w in (w.lower() for w in _WORD.findall(value)) if w in MARKS)
+            if value.lower() in MARKS:
+                words |= {value.lower()}
+            if words:
+                found[re.sub(r"\d+", "#", value.lower())] = words
+    return tuple(found.items())
 
 
 def blocks_of(source: str) -> list[Block]:
-    """Blocks of running text in page order; what is outside any article is left out already."""
+    """Blocks of running text in page order; hidden ones and those in elements of ``OUTSIDE`` are left out
+    already, those in marked elements are not."""
     root = Node("", "", None, False)
     stack, blocks, current = [root], [], None
     at, order = 0, 0
@@ -174,7 +190,9 @@ def blocks_of(source: str) -> list[Block]:
             continue
         parent = stack[-1]
         order += 1
-        node = Node(tag, parent.path, parent, parent.outside or _marked(tag, attributes), order=order)
+        node = Node(tag, parent.path, parent, parent.outside or _hidden(tag, attributes), _marks(tag, attributes), parent.above, order=order)
+        if node.marks:
+            node.above += (node,)
         if tag in BLOCKS:
             node.path = (parent.path + ">" if parent.path else "") + _label(tag, attributes)
         if tag in RAW:
@@ -196,14 +214,91 @@ def _container(node: Node) -> Node:
     return node
 
 
-def read_page(source: str) -> tuple[list[tuple[Block, str]], list[Node]]:
+def _holder(node: Node | None) -> Node | None:
+    """The nearest article or main element at or above ``node``."""
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node
+
+
+def _unlinked(block: Block, text: str) -> int:
+    """Length of a block of running text; 0 for short ones and for those that are mostly links."""
+    free = len(text) - min(block.linked, len(text))
+    return free if len(text) >= RUNNING and 2 * free > len(text) else 0
+
+
+def _excused(node: Node, lifted: set[str]) -> bool:
+    covered = frozenset().union(*(words for mark, words in node.marks if mark in lifted))
+    return all(words <= covered for _, words in node.marks)
+
+
+def _unmarked(texts: list[tuple[Block, str]], inside: set[int]) -> list[tuple[Block, str]]:
+    """Blocks outside marked elements.
+
+    A mark is lifted if the elements that have it hold most of the page's running text, or the only
+    article or main element with such text: they wrap the article. The marks of ``BESIDE`` are lifted
+    only if they hold an article and no running text stands elsewhere. Marked elements in ``inside``
+    count as unmarked.
+    """
+    lifted: set[str] = set()
+    total = sum(_unlinked(b, t) for b, t in texts)
+    while True:
+        kept, held, articles, wraps, beside = [], {}, set(), {}, {}
+        others: set[int] = set()
+        for b, t in texts:
+            node = next((n for n in b.node.above if id(n) not in inside and not _excused(n, lifted)), None)
+            size = _unlinked(b, t)
+            if node is None:
+                kept.append((b, t))
+                if size and (holder := _holder(b.node)) is not None:
+                    others.add(id(holder))
+            elif size:
+                holder = _holder(b.node)
+                for mark, words in node.marks:
+                    if mark in lifted:
+                        continue
+                    held[mark] = held.get(mark, 0) + size
+                    beside[mark] = bool(words & BESIDE) and not _STATE.match(mark)
+                    if holder is not None and holder.order > node.order:
+                        articles.add(mark)
+                    above = _holder(node)
+                    while above is not None:
+                        wraps.setdefault(mark, set()).add(id(above))
+                        above = _holder(above.parent)
+        if len(kept) == len(texts):
+            return kept
+        elsewhere = any(_unlinked(b, t) for b, t in kept)
+        more = {m for m, size in held.items() if not others - wraps.get(m, set())
+                and (m in articles and not elsewhere if beside[m] else m in articles or 2 * size > total)}
+        if not more:
+            return kept
+        lifted |= more
+
+
+def _at(texts: list[tuple[Block, str]], path: str) -> list[Node]:
+    """Containers at ``path`` that hold blocks."""
+    found: dict[int, Node] = {}
+    for b, _ in texts:
+        node = b.node
+        while node is not None:
+            if node.path == path and (node.tag in CONTAINERS or not node.tag):
+                found[id(node)] = node
+            node = node.parent
+    return list(found.values())
+
+
+def read_page(source: str, path: str | None = None) -> tuple[list[tuple[Block, str]], list[Node]]:
     """Blocks with their text, and the scored containers, best first.
 
     A block gives its container a score by its length and its commas, the container above half of that,
-    and nothing where most of it is links. Lists that are all links are menus and leave the page.
+    and nothing where most of it is links. Lists that are all links are menus and leave the page. Marks
+    above a container at ``path`` do not count if no other container stands there.
     """
-    texts = [(b, _clean(b)) for b in blocks_of(source)]
-    texts = [(b, t) for b, t in texts if t]
+    whole = [(b, t) for b, t in ((b, _clean(b)) for b in blocks_of(source)) if t]
+    texts = _unmarked(whole, set())
+    if path is not None and len(texts) < len(whole) and not _at(texts, path):
+        inside = {id(n) for node in _at(whole, path) for n in node.above if not any(words & BESIDE for _, words in n.marks)}
+        texts = _unmarked(whole, inside) if inside else texts
     lists: dict[int, list] = {}
     for b, t in texts:
         node = b.node

@@ -127,3 +127,25 @@ def test_damaged_warc_records_are_reported():
 @pytest.mark.parametrize("run", [main_text.main_text, archives.convert_pages])
 def test_empty_tables(spark, run):
     assert run(edge_pages(spark, [])).collect() == []
+
+
+SAY = [f"Sentence {i} of the article, which goes on for a while, and ends here at last." for i in range(12)]
+PARTS = "".join(f"<p>{x}</p>" for x in SAY)
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content-sidebar-wrap'", "div class='has-sidebar'", "div class='no-header'", "div class='elementor-widget-wrap'", "form id='aspnetForm'"])
+def test_main_text_inside_marked_wrappers(spark, wrapper):
+    beside = "<div class='sidebar'><p>Sidebar text, which is long, and has commas, lots, of, them.</p></div><div id='comments'><p>Reader comment, long, long, with commas, many.</p></div>"
+    page = f"<html><body><{wrapper}><div class='story'>{PARTS}</div>{beside}</{wrapper.split()[0]}></body></html>"
+    short = page.replace(PARTS, f"<p>{SAY[0]}</p>").replace("Reader comment", SAY[1] * 9)
+    got = main_text.main_text(edge_pages(spark, [(i, "http://w.example/p", page) for i in range(3)] + [(9, "http://w.example/p", short)])).collect()
+    assert {r.page_id: r.text for r in got} == {**{i: "\n".join(SAY) for i in range(3)}, 9: SAY[0]}
+
+
+def test_marks_of_split_wrappers_and_of_readers():
+    widgets = "".join(f"<div class='elementor-widget elementor-widget-{k}'><p>{x}</p></div>" for k, x in zip(("heading", "text", "text", "text"), SAY))
+    page = f"<html><body><div class='page'>{widgets}<div class='elementor-widget elementor-widget-nav-menu'><p>{SAY[7]}</p></div></div></body></html>"
+    assert main_text.extract(page, None).split("\n") == SAY[:4]
+    page = f"<html><body><div class='text'><p>{SAY[0]}</p></div><div id='comments'><article>{PARTS}</article></div></body></html>"
+    assert main_text.extract(page, None) == SAY[0]
+    assert main_text.extract(f"<html><body><div class='cookie-notice'><p>{SAY[0]}</p></div></body></html>", None) == ""
