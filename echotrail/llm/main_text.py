@@ -2,7 +2,8 @@
 
 A page's containers are scored by the running text in them. Each page votes for the generalised paths
 of its best containers, Spark adds the votes per host, and every page is read again at the path its
-host has chosen. A page without that path falls back on its own best container.
+host has chosen, together with the rest of the article around it. A page without that path falls back
+on its own best container.
 """
 
 from __future__ import annotations
@@ -331,36 +332,80 @@ def read_page(source: str, path: str | None = None) -> tuple[list[tuple[Block, s
     return texts, sorted(found.values(), key=lambda n: (-n.score, n.order))
 
 
-def page_votes(source: str) -> list[tuple[str, float]]:
-    """Paths of the best containers with their part of the scores."""
-    _, nodes = read_page(source)
-    best = nodes[:VOTES]
-    total = sum(n.score for n in best) or 1.0
-    return [(n.path, n.score / total) for n in best]
-
-
-def _inside(node: Node, chosen: set[int]) -> bool:
+def _below(node: Node | None, top: Node) -> bool:
     while node is not None:
-        if id(node) in chosen:
+        if node is top:
             return True
         node = node.parent
     return False
 
 
-def extract(source: str, path: str | None) -> str:
-    """Text of all containers at ``path``, or of the page's own best one if there are none."""
+def _around(texts: list[tuple[Block, str]], top: Node) -> list[tuple[Block, str]]:
+    """Blocks below ``top``; of a page's body only those that stand in no container of their own."""
+    if top.tag in ("", "html", "body"):
+        return [(b, t) for b, t in texts if _container(b.node) is top]
+    return [(b, t) for b, t in texts if _below(b.node, top)]
+
+
+def whole_of(texts: list[tuple[Block, str]], node: Node) -> Node:
+    """The element that holds the whole article whose best container is ``node``.
+
+    The nearest article; else the main element or the lowest container in which a heading or running
+    text stands beside ``node``. What stands there in a container of its own has to be a fifth as long
+    as ``node``, or it is a box beside the article.
+    """
+    holder = _holder(node)
+    if holder is node:
+        return node
+    above = holder
+    while above is not None and above.tag != "article":
+        above = _holder(above.parent)
+    if above is not None:
+        return above
+    own = sum(_unlinked(b, t) for b, t in texts if _below(b.node, node))
+    lowest, top = None, node.parent
+    while top is not None:
+        if top.tag in CONTAINERS or not top.tag:
+            rest = [(b, t) for b, t in _around(texts, top) if not _below(b.node, node)]
+            direct = any(b.node.tag == "h1" or (_container(b.node) is top and _unlinked(b, t)) for b, t in rest)
+            if direct or 5 * sum(_unlinked(b, t) for b, t in rest) >= max(own, 1):
+                if top.tag == "main":
+                    return top
+                lowest = lowest or top
+        if top is holder:
+            break
+        top = top.parent
+    return lowest or node
+
+
+def page_votes(source: str) -> list[tuple[str, str, float]]:
+    """Paths of the best containers, those of the whole articles around them, and their part of the scores."""
     texts, nodes = read_page(source)
-    chosen: set[int] = set()
-    if path is not None:
-        for b, _ in texts:
-            node = b.node
-            while node is not None:
-                if node.path == path and (node.tag in CONTAINERS or not node.tag):
-                    chosen.add(id(node))
-                node = node.parent
+    best = nodes[:VOTES]
+    total = sum(n.score for n in best) or 1.0
+    return [(n.path, whole_of(texts, n).path, n.score / total) for n in best]
+
+
+def extract(source: str, path: str | None, whole: str | None = None) -> str:
+    """Text of the articles at ``whole`` around all containers at ``path``, or around the page's own best
+    one if there are none. Blocks beside the containers that are mostly links stay out."""
+    texts, nodes = read_page(source, path)
+    chosen = _at(texts, path) if path is not None else []
+    tops: dict[int, Node] = {}
+    if not chosen and whole is not None:
+        chosen = [n for n in _at(texts, whole) if n.tag not in ("", "html", "body")]
     if not chosen and nodes:
-        chosen = {id(nodes[0])}
-    return "\n".join(t for b, t in texts if _inside(b.node, chosen))
+        chosen, whole = [nodes[0]], None
+        tops = {id(t): t for t in [whole_of(texts, nodes[0])]}
+    for node in chosen if whole is not None else []:
+        top = node
+        while top is not None and not (top.path == whole and (top.tag in CONTAINERS or not top.tag)):
+            top = top.parent
+        if top is not None:
+            tops[id(top)] = top
+    core = {id(b) for n in chosen for b, _ in texts if _below(b.node, n)}
+    more = {id(b) for top in tops.values() for b, t in _around(texts, top) if 2 * min(b.linked, len(t)) <= len(t)}
+    return "\n".join(t for b, t in texts if id(b) in core or id(b) in more)
 
 
 def host_of(url: Column) -> Column:
@@ -369,7 +414,8 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, path``: where the pages of each host say that their articles stand.
+    """``host, path, whole``: where the pages of each host say that their articles stand, by the best
+    container and by the element that holds all of the article.
 
     Votes are added with partial sums, so a host with a third of all pages is no hot group. Of equal
     sums the first path in code point order wins. Pages without a host choose for themselves.
@@ -378,16 +424,19 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     def vote(batches):
         for batch in batches:
-            hosts, paths, shares = [], [], []
+            hosts, paths, wholes, shares = [], [], [], []
             for h, t in zip(batch.column(0), batch.column(1)):
-                for path, share in page_votes(t.as_py()):
+                for path, whole, share in page_votes(t.as_py()):
                     hosts.append(h.as_py())
                     paths.append(path)
+                    wholes.append(whole)
                     shares.append(round(share * 1_000_000))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shares, pa.int64())], names=["host", "path", "share"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(wholes, pa.string()), pa.array(shares, pa.int64())],
+                                             names=["host", "path", "whole", "share"])
 
-    votes = rows.mapInArrow(vote, "host string, path string, share long").groupBy("host", "path").agg(F.sum("share").alias("share"))
-    return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("share"), F.col("path"))).alias("path"))
+    votes = rows.mapInArrow(vote, "host string, path string, whole string, share long").groupBy("host", "path", "whole").agg(F.sum("share").alias("share"))
+    paths = votes.groupBy("host", "path").agg(F.sum("share").alias("share"), F.min_by("whole", F.struct(-F.col("share"), F.col("whole"))).alias("whole"))
+    return paths.groupBy("host").agg(F.min_by(F.struct("path", "whole"), F.struct(-F.col("share"), F.col("path"))).alias("best")).select("host", "best.path", "best.whole")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -401,12 +450,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     winners = cut_lineage(host_paths(pages, url_col, html_col))
     rows = pages.select(name(id_col).alias("page_id"), name(url_col).cast("string").alias("url"), host_of(name(url_col)).alias("host"),
                         F.coalesce(name(html_col).cast("string"), F.lit("")).alias("html"))
-    joined = rows.join(small_side(winners, 512), "host", "left").select("page_id", "url", "path", "html")
+    joined = rows.join(small_side(winners, 512), "host", "left").select("page_id", "url", "path", "whole", "html")
     id_type = joined.schema["page_id"].dataType.simpleString()
 
     def read(batches):
         for batch in batches:
-            texts = [extract(t.as_py(), p.as_py()) for p, t in zip(batch.column(2), batch.column(3))]
+            texts = [extract(t.as_py(), p.as_py(), w.as_py()) for p, w, t in zip(batch.column(2), batch.column(3), batch.column(4))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

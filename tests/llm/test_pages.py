@@ -133,6 +133,19 @@ SAY = [f"Sentence {i} of the article, which goes on for a while, and ends here a
 PARTS = "".join(f"<p>{x}</p>" for x in SAY)
 
 
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div class='post'>{}</div>"])
+def test_main_text_keeps_what_stands_around_the_body(spark, wrap):
+    inner = f"<h1>Heading</h1><p>The lead of the article, in one sentence.</p><div class='body'>{PARTS}</div><section class='end'><p>{SAY[0] * 4}</p></section><div class='links'><a href=1>More of this and of that on other pages</a></div>"
+    page = "<html><body><nav><a href=1>Home</a></nav>" + wrap.format(inner) + "<div class='box'><p>Other words.</p></div></body></html>"
+    got = main_text.main_text(edge_pages(spark, [(i, "http://w.example/p", page) for i in range(3)])).collect()
+    assert {r.text for r in got} == {"\n".join(["Heading", "The lead of the article, in one sentence.", *SAY, SAY[0] * 4])}
+
+
+def test_main_text_of_uneven_sections():
+    page = f"<html><body><article><section class='a'><p>{SAY[0]}</p></section><section class='b'>{PARTS}</section><div class='c'><p>{SAY[1]}</p></div></article></body></html>"
+    assert main_text.extract(page, None).split("\n") == [SAY[0], *SAY, SAY[1]]
+
+
 @pytest.mark.parametrize("wrapper", ["div class='content-sidebar-wrap'", "div class='has-sidebar'", "div class='no-header'", "div class='elementor-widget-wrap'", "form id='aspnetForm'"])
 def test_main_text_inside_marked_wrappers(spark, wrapper):
     beside = "<div class='sidebar'><p>Sidebar text, which is long, and has commas, lots, of, them.</p></div><div id='comments'><p>Reader comment, long, long, with commas, many.</p></div>"
