@@ -11,7 +11,7 @@ import datetime
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -125,54 +125,147 @@ def _ip(f: Feistel, text: str, back: bool) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
+def _ip6(f: Feistel, text: str, back: bool) -> str | None:
+    """Hex digits change by their place, groups and letter case stay, so each notation links only with itself.
+
+    Clock times and words are no addresses: fewer than eight groups need a digit, and without ``::`` also
+    a letter or a longer group.
+    """
+
+    def shape(t: str) -> str | None:
+        groups = t.split(":")
+        if not 3 <= len(groups) <= 8 + ("::" in t) or not re.search("[0-9]", t) or t.count("::") > 1 or ":::" in t:
+            return None
+        if "::" not in t and ("" in groups or not re.search("[A-Fa-f]|[0-9]{3}", t)):
+            return None
+        return "mixed" if re.search("[A-F]", t) and re.search("[a-f]", t) else "upper" if re.search("[A-F]", t) else "lower"
+
+    kind = shape(text)
+    if kind is None:
+        return None
+    letters = {"lower": "0123456789abcdef", "upper": "0123456789ABCDEF", "mixed": "0123456789abcdefABCDEF"}[kind]
+    digits = text.replace(":", "")
+    tweak, size, value = "ip6" + kind + re.sub("[^:]", "0", text), len(letters) ** len(digits), 0
+    for c in digits:
+        value = value * len(letters) + letters.index(c)
+    while True:
+        value = f.permute(value, size, tweak, back)
+        rest, out = value, []
+        for _ in digits:
+            rest, r = divmod(rest, len(letters))
+            out.append(letters[r])
+        new = _refill(text, "".join(reversed(out)), "[^:]")
+        if shape(new) == kind:
+            return new
+
+
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+# Two-digit years stand for 1969 to 2068; days without a year for those of a leap year.
+_FIRST_SHORT, _LAST_SHORT = datetime.date(1969, 1, 1).toordinal(), datetime.date(2068, 12, 31).toordinal()
+_FIRST_BARE, _LAST_BARE = datetime.date(2000, 1, 1).toordinal(), datetime.date(2000, 12, 31).toordinal()
 
 
 def _date(f: Feistel, text: str, back: bool) -> str | None:
     """Days from 1900 to 2099 permute among themselves; a format keeps its order, separators and widths."""
-    parts = re.split(r"[-/.]", text)
-    marks = re.findall(r"[-/.]", text)
+    parts = re.split(r"[-/. ]", text)
+    marks = re.findall(r"[-/. ]", text)
     if marks[0] != marks[1]:
         return None
     order = ("y", "m", "d") if len(parts[0]) == 4 else ("d", "m", "y") if marks[0] == "." else ("m", "d", "y")
     got = dict(zip(order, parts))
-    if len(got["y"]) != 4:
+    short = len(got["y"]) == 2
+    if len(got["y"]) != 4 and not short:
         return None
+    first, last = (_FIRST_SHORT, _LAST_SHORT) if short else (_FIRST, _LAST)
+
+    def read(got: dict[str, str]) -> datetime.date:
+        year = int(got["y"])
+        return datetime.date(year + (2000 if year < 69 else 1900) * short, int(got["m"]), int(got["d"]))
+
     try:
-        day = datetime.date(*(int(got[k]) for k in "ymd"))
+        day = read(got)
     except ValueError:
         if order != ("m", "d", "y"):
             return None
         order = ("d", "m", "y")
         got = dict(zip(order, parts))
         try:
-            day = datetime.date(*(int(got[k]) for k in "ymd"))
+            day = read(got)
         except ValueError:
             return None
     widths = [len(p) for p in parts]
     tweak = "date" + "".join(order) + "".join(map(str, widths))
 
     def shown(day: datetime.date) -> str | None:
-        values = {"y": day.year, "m": day.month, "d": day.day}
+        values = {"y": day.year % 100 if short else day.year, "m": day.month, "d": day.day}
         # A format with one-digit parts stands for days whose parts have as many digits.
         texts = [str(values[k]).zfill(w) for k, w in zip(order, widths)]
         if any(len(t) != w for t, w in zip(texts, widths)) or (order == ("d", "m", "y") and marks[0] != "." and day.day <= 12):
             return None
         return marks[0].join(texts)
 
-    number = day.toordinal() - _FIRST
-    if not 0 <= number <= _LAST - _FIRST:
+    return _other_day(f, day, first, last, tweak, shown, back)
+
+
+def _other_day(f: Feistel, day: datetime.date, first: int, last: int, tweak: str, shown: Callable[[datetime.date], str | None], back: bool) -> str | None:
+    number = day.toordinal() - first
+    if not 0 <= number <= last - first:
         return None
     while True:
-        number = f.permute(number, _LAST - _FIRST + 1, tweak, back)
-        out = shown(datetime.date.fromordinal(number + _FIRST))
+        number = f.permute(number, last - first + 1, tweak, back)
+        out = shown(datetime.date.fromordinal(number + first))
         if out is not None:
             return out
 
 
+# ---- fixed values ---------------------------------------------------------------------------------
+_MONTHS = "january february march april may june july august september october november december".split()
+# ---------------------------------------------------------------------------------------------------
+_MONTH = "(?i:" + "|".join(rf"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in _MONTHS) + ")"
+_NAMED = re.compile(rf"(?P<m>{_MONTH})(?P<x>\.?\s+)(?P<d>[0-9]{{1,2}})(?P<s>(?i:st|nd|rd|th))?(?:(?P<z>,?\s+)(?P<y>[0-9]{{4}})(?![0-9]))?"
+                    rf"|(?P<d2>[0-9]{{1,2}})(?P<s2>(?i:st|nd|rd|th))?(?P<x2>\.?\s+(?:of\s+)?)(?P<m2>{_MONTH})(?P<z2>\.?,?\s+)(?P<y2>[0-9]{{4}})")
+
+
+def _named_date(f: Feistel, text: str, back: bool) -> str | None:
+    """Dates with a month's name: its length and case, the width of the day, its ending and the order stay."""
+    m = _NAMED.fullmatch(text)
+    if m is None:
+        return None
+    front = m["m"] is not None
+    month, day, end, x, z, year = (m[k if front else k + "2"] for k in "mdsxzy")
+    cases = {str.upper: "u", str.lower: "l", str.title: "t"}
+    case = next((c for c in cases if c(month) == month), None)
+    if case is None or (end and end not in (end.lower(), end.upper())):
+        return None
+
+    def ending(n: int) -> str:
+        return "th" if 10 < n < 14 else {1: "st", 2: "nd", 3: "rd"}.get(n % 10, "th")
+
+    whole = len(month) > 3
+    number = next(i for i, n in enumerate(_MONTHS, 1) if n[:3] == month[:3].lower())
+    try:
+        at = datetime.date(int(year) if year else 2000, number, int(day))
+    except ValueError:
+        return None
+    right = bool(end) and end.lower() == ending(at.day)
+
+    def shown(at: datetime.date) -> str | None:
+        named, numbered = _MONTHS[at.month - 1], str(at.day).zfill(len(day))
+        # A wrong ending stays, at days for which it is wrong too; "May" counts as a short name.
+        if (whole and len(named) == 3) or len(numbered) != len(day) or (end and not right and end.lower() == ending(at.day)):
+            return None
+        named = case(named if whole else named[:3])
+        tail = (ending(at.day) if end.islower() else ending(at.day).upper()) if right else end or ""
+        return f"{named}{x}{numbered}{tail}" + (f"{z}{at.year}" if year else "") if front else f"{numbered}{tail}{x}{named}{z}{at.year}"
+
+    tweak = "|".join(("named", "front" if front else "back", cases[case], str(whole), str(len(day)), str(right), end if end and not right else ""))
+    return _other_day(f, at, *((_FIRST, _LAST) if year else (_FIRST_BARE, _LAST_BARE)), tweak + "|" + str(bool(year)), shown, back)
+
+
 def _ssn(f: Feistel, text: str, back: bool) -> str | None:
     """Area 001-899 but 666, group 01-99, serial 0001-9999."""
-    area, group, serial = (int(p) for p in text.split("-"))
+    digits = re.sub(r"\D", "", text)
+    area, group, serial = int(digits[:3]), int(digits[3:5]), int(digits[5:])
     if not (0 < area < 900 and area != 666 and group and serial):
         return None
     areas = 898
@@ -181,18 +274,36 @@ def _ssn(f: Feistel, text: str, back: bool) -> str | None:
     area, rest = divmod(place, 99 * 9999)
     group, serial = divmod(rest, 9999)
     area += 1 + (area >= 665)
-    return f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
+    return _refill(text, f"{area:03d}{group + 1:02d}{serial + 1:04d}", r"\d")
+
+
+# ---- fixed values: country codes of two digits; 1 and 7 have one, the others three ------------------
+_TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+# ---------------------------------------------------------------------------------------------------
 
 
 def _phone(f: Feistel, text: str, back: bool) -> str | None:
-    """The country code stays; of the rest all digits change."""
-    lead = re.match(r"\+\d{1,3}(?=[\s().-])", text)
+    """The country code after a plus stays; of the rest all digits change.
+
+    With a plus 8 to 15 digits in all, after a bracket at least 7, with separators 9 to 12 and without
+    any 10 to 12. A pseudonym is never one that a kind before this would take.
+    """
+    lead = re.match(r"\+\d{1,3}(?=[\s().-])", text) or re.match(r"\+(?:[17]|\d\d)", text)
     head = lead[0] if lead else ""
+    if len(head) == 3 and text[3:4].isdigit() and head[1:] not in _TWO:
+        head = text[:4]
     digits = re.sub(r"\D", "", text[len(head):])
-    least, most = (7, 14) if head or text.startswith("(") else (9, 12)
+    least, most = (7, 15 - len(head) + 1) if head else (7, 14) if "(" in text else (9 if len(digits) < len(text) else 10, 12)
     if not least <= len(digits) <= most:
         return None
-    return head + _refill(text[len(head):], f.digits(digits, "phone" + head, back), r"\d")
+    # One dot alone is a decimal point, unless it stands where numbers are grouped.
+    if re.fullmatch(r"\d+\.\d+", text) and not re.fullmatch(r"\d{3}\.\d{7}|\d{6}\.\d{4}", text):
+        return None
+    while True:
+        digits = f.digits(digits, "phone" + head, back)
+        new = head + _refill(text[len(head):], digits, r"\d")
+        if not any(change(f, m[0], back) is not None for kind, pattern, change in _RULES if kind not in ("phone", "card" if head else "") for m in pattern.finditer(new)):
+            return new
 
 
 def _email(f: Feistel, text: str, back: bool) -> str | None:
@@ -224,10 +335,14 @@ _RULES = (
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), _email),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), _ip),
-    ("date", re.compile(r"(?<![\d./-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\d]|[./-]\d)"), _date),
-    ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"), _ssn),
-    ("card", re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)"), _card),
-    ("phone", re.compile(r"(?<![\w.:/+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w]|[.-]\d)"), _phone),
+    ("ip", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){2,7}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d)"), _ip6),
+    ("date", re.compile(r"(?<![\d./-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{4} \d{2} \d{2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\d{1,2}/\d{1,2}/\d{2}|\d\d([.-])\d\d\1\d\d)(?![\d]|[./-]\d)"), _date),
+    ("date", re.compile(rf"(?<!\w)(?:{re.sub('[?]P<[a-z0-9]+>', '?:', _NAMED.pattern)})(?!\w)"), _named_date),
+    ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)|(?<![\w.+-])\d{3}[ .-]?\d{2}[ .-]?\d{4}(?!\w|[.-]\d)"), _ssn),
+    # Before cards, because numbers with a plus may be as long.
+    ("phone", re.compile(r"(?<![\w.+-])\+\d{1,15}(?:[ .-]?\(\d{1,5}\))?(?:[ .-]?\d{1,12}){0,6}(?!\w|[.-]\d)"), _phone),
+    ("card", re.compile(r"(?<![\w.])(?:\d(?:[ -]?\d){12,18}|\d{4}(?:\.\d{4}){3})(?![\w]|\.\d)"), _card),
+    ("phone", re.compile(r"(?<![\w./+-])(?<!\d:)(?:\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?)?\d{2,8}(?:[ .-]\d{2,8}){0,4}(?![\w]|[.-]\d)"), _phone),
 )
 _ANY = re.compile(r"@|\d")
 
@@ -243,9 +358,13 @@ def spans(f: Feistel, text: str, back: bool = False) -> list[tuple[int, int, str
         for m in pattern.finditer(text):
             if any(a < m.end() and m.start() < b for a, b, _, _ in taken):
                 continue
-            new = change(f, m[0], back)
+            found, new = m[0], change(f, m[0], back)
+            # A number may follow a phone number after a blank.
+            while new is None and kind == "phone" and " " in found:
+                found = found[:found.rindex(" ")].rstrip()
+                new = change(f, found, back)
             if new is not None:
-                taken.append((m.start(), m.end(), kind, new))
+                taken.append((m.start(), m.start() + len(found), kind, new))
     return sorted(taken)
 
 
@@ -263,7 +382,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     ``text`` has every value replaced; ``spans`` lists kind:start:end in the input, code points, ends
     exclusive. Card numbers and IBANs keep valid check digits, dates stay dates, addresses stay
     addresses. Values that fail their check are not of that kind; a long number with a wrong check digit
-    still changes. With ``back`` the same key restores the input. Null text stays null without spans;
+    still changes. Dates may have two-digit years or month names, IPs four or six as version, phones
+    and SSNs separators or none. With ``back`` the same key restores the input. Null text stays null without spans;
     empty texts stay empty; repeated rows give equal results; other columns are ignored.
     """
     rows = docs.select(name(id_col).alias("doc_id"), name(text_col).cast("string").alias("text"))

@@ -1,6 +1,7 @@
 """Every operator and stage against plain Python, over edge cases and the smallest documents table."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -364,6 +365,25 @@ def test_pseudonym_formats():
         assert pseudonyms.rewrite(f, clean) == (clean, [])
 
 
+@pytest.mark.parametrize("kind, values", [
+    ("phone", ["+14155552671", "4155552671", "14155552671", "+44 7911 123456", "+49 30 12345678", "tel:+1-415-555-2671", "Phone:415-555-2671", "+4915112345678", "(415)5552671",
+               "1-415-555-2671", "415 5552671", "415.555.2671", "1(415)555-2671", "415555-2671", "+49 2024-13-115"]),
+    ("date", ["January 5th, 2024", "Jan 5", "MAY 21, 1999", "5 January 2024", "12/31/99", "1/2/03", "31.12.99", "2024 12 31", "1st of march 2020", "Feb 29", "May 1th 2001"]),
+    ("ip", ["2001:db8::1", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "FE80::1A", "fe80:1:2", "fe80::AbC1", "::1"]),
+    ("ssn", ["123456789", "123 45 6789", "123.45.6789", "SSN123-45-6789"]), ("card", ["4111.1111.1111.1111"])])
+def test_pseudonyms_of_all_forms(kind, values):
+    for value in values:
+        text = f"at {value} it"
+        for key in (b"a", b"b", b"c"):
+            f = pseudonyms.Feistel(key)
+            new, found = pseudonyms.rewrite(f, text)
+            assert [x[2] for x in found] == [kind], value
+            assert re.sub("[0-9A-Fa-f]", "0", new) == re.sub("[0-9A-Fa-f]", "0", text) or kind == "date", value
+            assert pseudonyms.rewrite(f, new, True)[0] == text, value
+    for clean in ("at 12:30:45 std::vector abc::def", "3.14159265358979 and 12345.67890", "may 40 people, ratio 1:2:3"):
+        assert pseudonyms.rewrite(f, clean) == (clean, [])
+
+
 @pytest.mark.parametrize("run", [
     exact_copies.exact_copies, exact_copies.drop_exact_copies, rules.quality_report, rules.keep_good, mixing.mix_plan, mixing.mix, near_copies.near_copies,
     near_copies.drop_near_copies, recompression.remove_repeats, packing.pack, credentials.find_secrets, lambda d: pseudonyms.pseudonymise(d, "k")])
