@@ -167,7 +167,7 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(parts))}>"
 
 
-def warc_record(row_key: str, url: str, date: str, mime: str, status: int | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+def warc_record(row_key: str, url: str, date: str, mime: str, status: int | None, payload: bytes, digest: str, refers_to: str | None, refers_url: str | None = None) -> bytes:
     """One record without its closing line ends: a response, or a revisit without payload."""
     http = (f"HTTP/1.0 {status or 200} OK\r\nContent-Type: {mime}\r\n{ROW_HEADER}: {row_key}\r\nContent-Length: {len(payload)}\r\n\r\n").encode()
     block = http if refers_to is not None else http + payload
@@ -176,7 +176,8 @@ def warc_record(row_key: str, url: str, date: str, mime: str, status: int | None
         f"WARC-Date: {warc_date(date)}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{payload_digest(block)}",
         "Content-Type: application/http; msgtype=response"]
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, url, digest)}", f"WARC-Refers-To-Row: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_url or '', digest)}", f"WARC-Refers-To-Target-URI: {refers_url or ''}",
+                 f"WARC-Refers-To-Row: {refers_to}"]
     head.append(f"Content-Length: {len(block)}")
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block
 
@@ -298,27 +299,29 @@ def records_through_arc(pages: DataFrame, id_col: str = "page_id", url_col: str
 
 
 def first_of_equal(records: DataFrame, key: Column, least_bytes: int = 0) -> DataFrame:
-    """``row_key, digest, refers_to`` of the records that revisit another: of equal payloads of at least
+    """``row_key, digest, refers_to, refers_url`` of the records that revisit another: of equal payloads of at least
     ``least_bytes`` bytes the smallest ``key`` answers and the others refer to it.
 
     Only keys and digests are shuffled, with partial minima, so a payload that a third of all pages
     share is no hot group.
     """
-    slim = written(records.filter(F.octet_length("payload") >= least_bytes).select("row_key", "digest", key.alias("_key")))
-    first = slim.groupBy("digest").agg(F.min(F.struct(F.col("_key").isNull(), F.col("_key"), F.col("row_key"))).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    many = first.filter("_n > 1").select("digest", F.col("_first.row_key").alias("refers_to"))
-    return slim.join(many, "digest").filter(F.col("row_key") != F.col("refers_to")).select("row_key", "digest", "refers_to").distinct()
+    slim = written(records.filter(F.octet_length("payload") >= least_bytes).select("row_key", "digest", "url", key.alias("_key")))
+    first = slim.groupBy("digest").agg(F.min(F.struct(F.col("_key").isNull(), F.col("_key"), F.col("row_key"), F.col("url"))).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    many = first.filter("_n > 1").select("digest", F.col("_first.row_key").alias("refers_to"), F.col("_first.url").alias("refers_url"))
+    return slim.join(many, "digest").filter(F.col("row_key") != F.col("refers_to")).select("row_key", "digest", "refers_to", "refers_url").distinct()
 
 
 def write_warc(records: DataFrame, revisits: DataFrame, path: str) -> None:
     """Write one WARC record per ARC record into gzipped archives under ``path``."""
+    if "refers_url" not in revisits.columns:
+        revisits = revisits.withColumn("refers_url", F.lit(None).cast("string"))
     marked = records.filter(F.col("problem").isNull()).join(small_side(revisits, 128), ["row_key", "digest"], "left")
-    inputs = ["row_key", "url", "date", "mime", "status", "payload", "digest", "refers_to"]
+    inputs = ["row_key", "url", "date", "mime", "status", "payload", "digest", "refers_to", "refers_url"]
 
     def convert(batches):
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(len(inputs))]
-            out = [warc_record(k or "~", u or "", d, m or "application/octet-stream", s, p or b"", g, r) for k, u, d, m, s, p, g, r in zip(*columns)]
+            out = [warc_record(k or "~", u or "", d, m or "application/octet-stream", s, p or b"", g, r, v) for k, u, d, m, s, p, g, r, v in zip(*columns)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     # The cast keeps the bytes as they are, and the separator is what closes each record.

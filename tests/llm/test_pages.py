@@ -162,3 +162,15 @@ def test_marks_of_split_wrappers_and_of_readers():
     page = f"<html><body><div class='text'><p>{SAY[0]}</p></div><div id='comments'><article>{PARTS}</article></div></body></html>"
     assert main_text.extract(page, None) == SAY[0]
     assert main_text.extract(f"<html><body><div class='cookie-notice'><p>{SAY[0]}</p></div></body></html>", None) == ""
+
+
+def test_revisits_refer_to_records_of_the_archives(spark):
+    rows = [(i, f"http://h{i}.example/p", "<p>same</p>" if i % 3 else f"<p>{i}</p>") for i in range(9)]
+    records = archives.records_through_arc(edge_pages(spark, rows))
+    path = scratch_path(spark, "warc-test")
+    archives.write_warc(records, archives.first_of_equal(records, F.col("row_key").cast("long")), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").collect()
+    heads = [dict(x.split(": ", 1) for x in h.split("\r\n")[1:]) for h in re.findall(r"WARC/1\.0\r\n.*?(?=\r\n\r\n)", "".join(gzip.decompress(bytes(f.content)).decode() for f in files), re.S)]
+    responses = {h["WARC-Record-ID"]: h["WARC-Target-URI"] for h in heads if h["WARC-Type"] == "response"}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 5 and all(responses[h["WARC-Refers-To"]] == h["WARC-Refers-To-Target-URI"] == "http://h1.example/p" for h in revisits)
