@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import ipaddress
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,10 +36,11 @@ FILE_RECORDS = 8000
 EPOCH = "20000101000000"
 ROW_HEADER = "X-Row"
 
-RECORD_SCHEMA = "archive string, version int, url string, ip string, date string, mime string, status int, row_key string, problem string, payload binary, digest string"
+RECORD_SCHEMA = "archive string, version int, url string, ip string, date string, mime string, status int, row_key string, problem string, payload binary, digest string, head binary, kind string"
 _RECORD_ARROW = pa.schema([
     ("archive", pa.string()), ("version", pa.int32()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()),
-    ("status", pa.int32()), ("row_key", pa.string()), ("problem", pa.string()), ("payload", pa.binary()), ("digest", pa.string())])
+    ("status", pa.int32()), ("row_key", pa.string()), ("problem", pa.string()), ("payload", pa.binary()), ("digest", pa.string()),
+    ("head", pa.binary()), ("kind", pa.string())])
 
 
 def payload_digest(payload: bytes) -> str:
@@ -72,14 +74,16 @@ def arc_record(version: int, archive: str, offset: int, url: str, row_key: str,
     return line + block + b"\n"
 
 
-def _http_parts(block: bytes) -> tuple[int | None, str | None, bytes]:
-    """Status, row key and body of an HTTP answer; a block that is none is all body."""
+def _http_parts(block: bytes) -> tuple[int | None, str | None, bytes, bytes | None]:
+    """Status, row key, body and head of an HTTP answer; a block that is none is all body."""
     if not block.startswith(b"HTTP/"):
-        return None, None, block
-    end = block.find(b"\r\n\r\n")
-    if end < 0:
-        return None, None, block
-    head = block[:end].split(b"\r\n")
+        return None, None, block, None
+    # Old servers end lines without a carriage return.
+    ends = [(at, len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (at := block.find(mark)) >= 0]
+    if not ends:
+        return None, None, block, None
+    end, width = min(ends)
+    head = [line.rstrip(b"\r") for line in block[:end].split(b"\n")]
     first = head[0].split(None, 2)
     status = int(first[1]) if len(first) > 1 and first[1].isdigit() else None
     key = None
@@ -87,11 +91,12 @@ def _http_parts(block: bytes) -> tuple[int | None, str | None, bytes]:
         field, _, value = line.partition(b":")
         if field.strip().lower() == ROW_HEADER.lower().encode():
             key = value.strip().decode("utf-8", "replace")
-    return status, key, block[end + 4:]
+    return status, key, block[end + width:], block[:end + width]
 
 
-def parse_arc(archive: str, content: bytes) -> Iterator[tuple]:
-    """Records of one archive, plain or gzipped as a whole or by record.
+def parse_arc(archive: str, content: bytes, versions: bool = False) -> Iterator[tuple]:
+    """Records of one archive, plain or gzipped as a whole or by record; with ``versions`` also the
+    version block, as a row of kind ``version``. Further on a filedesc URL is one like any other.
 
     The version block says how many fields a header line has; the last is always the declared length,
     and the URL is whatever stands before the others. A header line that cannot be read or a length
@@ -102,7 +107,7 @@ def parse_arc(archive: str, content: bytes) -> Iterator[tuple]:
         content, broken = gunzip(content)
     else:
         broken = None
-    version, fields, at = 1, 5, 0
+    version, fields, at, begun = 1, 5, 0, False
     while at < len(content):
         if content[at] in b"\r\n":
             at += 1
@@ -110,13 +115,14 @@ def parse_arc(archive: str, content: bytes) -> Iterator[tuple]:
         line_end = content.find(b"\n", at)
         line_end = len(content) if line_end < 0 else line_end
         parts = content[at:line_end].rstrip(b"\r").rsplit(b" ", fields - 1)
-        is_head = content.startswith(b"filedesc://", at)
+        is_head = not begun and content.startswith(b"filedesc://", at)
+        begun = True
         if is_head:
             parts = content[at:line_end].rstrip(b"\r").split(b" ")
         if len(parts) < 5 or not parts[-1].isdigit() or not (is_head or len(parts) == fields):
             following = content.find(b"\n", at)
             following = len(content) if following < 0 else following + 1
-            yield (archive, version, None, None, None, None, None, None, "header", content[at:following])
+            yield (archive, version, None, None, None, None, None, None, "header", content[at:following], None, "record")
             at = following
             continue
         start, size = line_end + 1, int(parts[-1])
@@ -126,15 +132,18 @@ def parse_arc(archive: str, content: bytes) -> Iterator[tuple]:
             lead = block.split(b"\n", 1)[0].split()
             version = int(lead[0]) if lead and lead[0].isdigit() else 1
             fields = 5 if version == 1 else 10
+            if versions:
+                text = [p.decode("utf-8", "replace") for p in parts[:4]]
+                yield (archive, version, *text, None, None, "short" if len(block) < size else None, block, None, "version")
             continue
-        status, key, body = _http_parts(block)
+        status, key, body, head = _http_parts(block)
         if fields == 10 and status is None and parts[4].isdigit():
             status = int(parts[4])
         text = [p.decode("utf-8", "replace") for p in parts[:4]]
         problem = "short" if len(block) < size else None
-        yield (archive, version, text[0], text[1], text[2], text[3], status, key, problem, body)
+        yield (archive, version, text[0], text[1], text[2], text[3], status, key, problem, body, head, "record")
     if broken:
-        yield (archive, version, None, None, None, None, None, None, broken, b"")
+        yield (archive, version, None, None, None, None, None, None, broken, b"", None, "record")
 
 
 def gunzip(content: bytes) -> tuple[bytes, str | None]:
@@ -167,19 +176,56 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(parts))}>"
 
 
-def warc_record(row_key: str, url: str, date: str, mime: str, status: int | None, payload: bytes, digest: str, refers_to: str | None, refers_url: str | None = None) -> bytes:
-    """One record without its closing line ends: a response, or a revisit without payload."""
-    http = (f"HTTP/1.0 {status or 200} OK\r\nContent-Type: {mime}\r\n{ROW_HEADER}: {row_key}\r\nContent-Length: {len(payload)}\r\n\r\n").encode()
-    block = http if refers_to is not None else http + payload
-    head = [
-        WARC_VERSION, f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(row_key, url, digest)}",
-        f"WARC-Date: {warc_date(date)}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{payload_digest(block)}",
-        "Content-Type: application/http; msgtype=response"]
+def _shown(ip: str | None) -> bool:
+    try:
+        return not ipaddress.ip_address(ip or "").is_unspecified
+    except ValueError:
+        return False
+
+
+def warc_record(row_key: str, url: str, date: str, mime: str, status: int | None, payload: bytes, digest: str, refers_to: str | None, refers_url: str | None = None,
+                head: bytes | None = None, ip: str | None = None, archive: str | None = None, problem: str | None = None) -> bytes:
+    """One record without its closing line ends: a response, or a revisit without payload.
+
+    ``head`` is the HTTP head as it was received; without one there is only what is known of it.
+    """
+    http = head or (f"HTTP/1.0 {status or 200} OK\r\nContent-Type: {mime}\r\n{ROW_HEADER}: {row_key}\r\nContent-Length: {len(payload)}\r\n\r\n").encode()
+    more = []
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_url or '', digest)}", f"WARC-Refers-To-Target-URI: {refers_url or ''}",
-                 f"WARC-Refers-To-Row: {refers_to}"]
-    head.append(f"Content-Length: {len(block)}")
-    return ("\r\n".join(head) + "\r\n\r\n").encode() + block
+        more = [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to, refers_url or '', digest)}", f"WARC-Refers-To-Target-URI: {refers_url or ''}",
+                f"WARC-Refers-To-Row: {refers_to}"]
+    block = http if refers_to is not None else http + payload
+    # Records without a row key are captures, told apart by their time.
+    name_parts = (row_key, url, digest) if row_key != "~" else (row_key, url, digest, archive or "", date or "")
+    return _warc("response" if refers_to is None else "revisit", record_id(*name_parts), date, "application/http; msgtype=response", block, url, digest, ip, archive, problem, more)
+
+
+def _warc(kind: str, identifier: str, date: str | None, mime: str, block: bytes, url: str | None = None, digest: str | None = None, ip: str | None = None,
+          archive: str | None = None, problem: str | None = None, more: list[str] = ()) -> bytes:
+    head = [WARC_VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {identifier}", f"WARC-Date: {warc_date(date)}"]
+    head += [f"WARC-Target-URI: {url}"] * (url is not None) + [f"WARC-IP-Address: {ip}"] * _shown(ip)
+    head += [f"WARC-Warcinfo-ID: {record_id('warcinfo', archive or '')}"] * (archive is not None and kind != "warcinfo")
+    head += [f"WARC-Payload-Digest: sha1:{digest}"] * (digest is not None) + [f"WARC-Block-Digest: sha1:{payload_digest(block)}", f"Content-Type: {mime}", *more]
+    head += ["WARC-Truncated: unspecified"] * (problem == "short") + [f"X-ARC-Problem: {problem}"] * (problem is not None)
+    return ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block
+
+
+def warc_records(r: dict) -> list[bytes]:
+    """The WARC records of one row of ``read_arc``, with what it revisits.
+
+    HTTP answers keep their head; other blocks are resources of their own type. A version block gives a
+    warcinfo record and is kept as metadata; so are bytes that belong to no record, with the problem.
+    """
+    archive, url, date, mime, payload, digest, problem = r["archive"], r["url"] or "", r["date"], r["mime"] or "application/octet-stream", r["payload"] or b"", r["digest"], r["problem"]
+    if r["kind"] == "version":
+        about = f"software: echotrail\r\nformat: WARC File Format 1.0\r\ndescription: converted from {archive}, ARC version {r['version']}\r\n".encode()
+        return [_warc("warcinfo", record_id("warcinfo", archive), date, "application/warc-fields", about),
+                _warc("metadata", record_id("version", archive, url), date, mime, payload, url, archive=archive, problem=problem)]
+    if problem not in (None, "short"):
+        return [_warc("metadata", record_id("problem", archive, problem, digest), date, "application/octet-stream", payload, archive=archive, problem=problem)]
+    if r["head"] is None:
+        return [_warc("resource", record_id("resource", archive, url, date or "", digest), date, mime, payload, url, digest, r["ip"], archive, problem)]
+    return [warc_record(r["row_key"] or "~", url, date, mime, r["status"], payload, digest, r["refers_to"], r["refers_url"], r["head"], r["ip"], archive, problem)]
 
 
 WARC_SCHEMA = "archive string, record_type string, record_id string, date string, url string, payload_digest string, refers_to string, row_key string, payload_bytes long, problem string, payload binary"
@@ -208,10 +254,11 @@ def parse_warc(archive: str, content: bytes, keep_payload: bool = True) -> Itera
         start, size = head_end + 4, int(fields["content-length"])
         block = content[start:start + size]
         at = start + size + len(RECORD_END)
-        _, key, payload = _http_parts(block)
+        http = fields.get("content-type", "").startswith("application/http")
+        _, key, payload, _ = _http_parts(block) if http else (None, None, block, None)
         revisit = fields.get("warc-type") == "revisit"
         digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
-        problem = "short" if len(block) < size else None
+        problem = "short" if len(block) < size else fields.get("x-arc-problem")
         declared = len(payload)
         if revisit:
             for line in block.split(b"\r\n"):
@@ -273,8 +320,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
-                for record in parse_arc(path.as_py() or "", content.as_py() or b""):
-                    yield *record, payload_digest(record[-1])
+                for record in parse_arc(path.as_py() or "", content.as_py() or b"", versions=True):
+                    yield *record[:10], payload_digest(record[9]), *record[10:]
 
     yield from _batches(rows(), _RECORD_ARROW, 9)
 
@@ -289,7 +336,7 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def read_arc(files: DataFrame) -> DataFrame:
-    """Records of ARC archives given as ``path, content``; null content has no records."""
+    """Records and version blocks of ARC archives given as ``path, content``; null content has none."""
     return files.select("path", "content").mapInArrow(_parse, RECORD_SCHEMA)
 
 
@@ -305,23 +352,25 @@ def first_of_equal(records: DataFrame, key: Column, least_bytes: int = 0) -> Dat
     Only keys and digests are shuffled, with partial minima, so a payload that a third of all pages
     share is no hot group.
     """
-    slim = written(records.filter(F.octet_length("payload") >= least_bytes).select("row_key", "digest", "url", key.alias("_key")))
+    slim = written(records.filter(F.col("row_key").isNotNull() & F.col("problem").isNull() & (F.octet_length("payload") >= least_bytes)).select("row_key", "digest", "url", key.alias("_key")))
     first = slim.groupBy("digest").agg(F.min(F.struct(F.col("_key").isNull(), F.col("_key"), F.col("row_key"), F.col("url"))).alias("_first"), F.count(F.lit(1)).alias("_n"))
     many = first.filter("_n > 1").select("digest", F.col("_first.row_key").alias("refers_to"), F.col("_first.url").alias("refers_url"))
     return slim.join(many, "digest").filter(F.col("row_key") != F.col("refers_to")).select("row_key", "digest", "refers_to", "refers_url").distinct()
 
 
 def write_warc(records: DataFrame, revisits: DataFrame, path: str) -> None:
-    """Write one WARC record per ARC record into gzipped archives under ``path``."""
+    """Write every ARC record into gzipped WARC archives under ``path``; see ``warc_records``."""
     if "refers_url" not in revisits.columns:
         revisits = revisits.withColumn("refers_url", F.lit(None).cast("string"))
-    marked = records.filter(F.col("problem").isNull()).join(small_side(revisits, 128), ["row_key", "digest"], "left")
-    inputs = ["row_key", "url", "date", "mime", "status", "payload", "digest", "refers_to", "refers_url"]
+    # A damaged record stays whole and revisits nothing.
+    revisits = revisits.withColumn("problem", F.lit("none"))
+    marked = records.withColumn("_problem", F.coalesce("problem", F.lit("none"))).join(
+        small_side(revisits.withColumnRenamed("problem", "_problem"), 128), ["row_key", "digest", "_problem"], "left")
+    inputs = ["archive", "version", "url", "ip", "date", "mime", "status", "row_key", "problem", "payload", "digest", "head", "kind", "refers_to", "refers_url"]
 
     def convert(batches):
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(len(inputs))]
-            out = [warc_record(k or "~", u or "", d, m or "application/octet-stream", s, p or b"", g, r, v) for k, u, d, m, s, p, g, r, v in zip(*columns)]
+            out = [w for values in zip(*(batch.column(i).to_pylist() for i in range(len(inputs)))) for w in warc_records(dict(zip(inputs, values)))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     # The cast keeps the bytes as they are, and the separator is what closes each record.
@@ -360,6 +409,6 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     write_warc(records, revisits, path)
     back = read_warc(spark, path, keep_payload=False)
     key = lambda c: F.nullif(F.col(c), F.lit("~")).cast(id_type)
-    return back.select(
+    return back.filter("record_type not in ('warcinfo', 'metadata') or record_type is null").select(
         key("row_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", key("refers_to").alias("refers_to"),
         "record_id", "date", "url", "problem")

@@ -174,3 +174,43 @@ def test_revisits_refer_to_records_of_the_archives(spark):
     responses = {h["WARC-Record-ID"]: h["WARC-Target-URI"] for h in heads if h["WARC-Type"] == "response"}
     revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
     assert len(revisits) == 5 and all(responses[h["WARC-Refers-To"]] == h["WARC-Refers-To-Target-URI"] == "http://h1.example/p" for h in revisits)
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_legacy_records_keep_all_they_have(spark, version):
+    name = f"old{version}.arc"
+    middle = "" if version == 1 else "200 - - 0 old.arc "
+
+    def record(url, mime, block, cut=0):
+        return f"{url} 192.0.2.7 20010203040506 {mime} {middle}{len(block) + cut}\n".encode() + block + b"\n"
+
+    moved = b"HTTP/1.1 302 Found\r\nLocation: http://h/b\r\nSet-Cookie: a=b\r\nContent-Type: text/html; charset=koi8-r\r\n\r\nmoved"
+    old = b"HTTP/1.0 200 OK\nLast-Modified: then\n\nbody"
+    content = archives.arc_head(name, version) + record("http://h/a", "text/html", moved) + record("http://h/b", "text/html", old) + record("dns:h", "text/dns", b"20010203 h 192.0.2.7\n")
+    content += record("filedesc://page", "text/html", b"HTTP/1.0 200 OK\r\n\r\npage") + b"no header line\n" + record("http://h/c", "text/html", b"HTTP/1.0 200 OK\r\n\r\ncut", 50)
+    records = archives.read_arc(spark.createDataFrame([(name, bytearray(content))], "path string, content binary"))
+    path = scratch_path(spark, "warc-test")
+    archives.write_warc(records, archives.first_of_equal(records, F.col("row_key")), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").collect()
+    data, found = b"".join(gzip.decompress(bytes(f.content)) for f in files), []
+    while data:
+        head, _, rest = data.partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        size = int(fields["Content-Length"])
+        found.append((fields, rest[:size]))
+        assert rest[size:size + 4] == b"\r\n\r\n"
+        data = rest[size + 4:]
+    got = {f.get("WARC-Target-URI", f["WARC-Type"]): (f, b) for f, b in found}
+    assert [f["WARC-Type"] for f, _ in found] == ["warcinfo", "metadata", "response", "response", "resource", "response", "metadata", "response"]
+    assert got["http://h/a"][1] == moved and got["http://h/b"][1] == old and got["filedesc://page"][1].endswith(b"page")
+    assert got["dns:h"][0]["Content-Type"] == "text/dns" and got["dns:h"][1] == b"20010203 h 192.0.2.7\n"
+    assert got["metadata"][1] == b"no header line\n" and got["metadata"][0]["X-ARC-Problem"] == "header"
+    assert got["http://h/c"][0]["WARC-Truncated"] == "unspecified" and got["http://h/c"][1].startswith(b"HTTP/1.0 200 OK\r\n\r\ncut")
+    assert all(got[u][0]["WARC-IP-Address"] == "192.0.2.7" and got[u][0]["WARC-Warcinfo-ID"] == got["warcinfo"][0]["WARC-Record-ID"] for u in ("http://h/a", "dns:h"))
+    assert len({f["WARC-Record-ID"] for f, _ in found}) == len(found)
+    assert {r.url: r.problem for r in archives.read_warc(spark, path).collect()}["http://h/c"] == "short"
+
+
+def test_a_page_at_a_filedesc_url_is_a_page(spark):
+    rows = [(i, f"filedesc://{i}", f"<p>{i}</p>") for i in range(3)]
+    assert sorted(r.page_id for r in archives.convert_pages(edge_pages(spark, rows)).collect()) == [0, 1, 2]
