@@ -159,13 +159,29 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, sour
     return written(rows.mapInArrow(encode, f"doc_id {id_type}, row_id long, source string, `order` long, n long, ids binary"))
 
 
+def _refuse(sizes: DataFrame, shares: DataFrame) -> None:
+    share = F.col("share").cast("double")
+    odd = shares.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce((share > 0) & (share < float("inf")), F.lit(False))).alias("fit")).filter("n > 1 or not fit")
+    wrong = [r.source for r in odd.select("source").limit(5).collect()]
+    if wrong:
+        raise ValueError(f"shares are not one positive number each for sources {wrong}")
+    named = shares.select(F.col("source").alias("_source"))
+    missing = [r.source for r in sizes.select("source").distinct().join(named, F.col("source").eqNullSafe(F.col("_source")), "left_anti").limit(5).collect()]
+    if missing:
+        raise ValueError(f"shares miss sources {missing}")
+
+
 def segments(sizes: DataFrame, shares: DataFrame | None = None, window: int = WINDOW, packet: int = PACKET) -> DataFrame:
     """The part of each document that each round sends: ``row_id, source, round, start, length, at``.
 
     ``sizes`` has ``row_id, source, order, n``. ``shares`` (``source, share``) gives the target
     proportions; without it a source's share is its part of all tokens, so that all queues end together.
     A queue that ends leaves its share of the later windows to the others. ``at`` is the place in the queue.
+    Given shares have to name every source once, null as well, with a positive number; else a ValueError
+    says which do not.
     """
+    if shares is not None:
+        _refuse(sizes, shares)
     queued = running_total(ordered_positions(sizes, ["source"], ["order", "row_id"]), ["source"], "n", "end", CHUNK)
     if shares is None:
         totals = sizes.groupBy("source").agg(F.sum("n").cast("double").alias("share"))
@@ -225,7 +241,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     Each row of ``docs`` is a document of its own, also when its id repeats or is null; null text has
-    only the end id, null sources are one queue. An empty table gives an empty result; other columns
+    only the end id, null sources are one queue. ``shares`` that miss a source, repeat one or are not
+    positive are refused. An empty table gives an empty result; other columns
     are ignored.
     """
     stored = tokenised(docs, vocabulary or default_vocabulary(), id_col, text_col, source_col)

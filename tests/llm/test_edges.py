@@ -304,6 +304,16 @@ def test_windows_keep_the_proportions(spark):
     assert abs(sum(c["a"] for c in both) / sum(sum(c.values()) for c in both) - 0.25) < 0.01
 
 
+@pytest.mark.parametrize("rows", [[("a", 1.0)], [("a", 0.5), ("b", 0.5)], [("a", 0.5), ("b", 0.0), (None, 0.5)], [("a", 0.5), ("b", -1.0), (None, 0.5)],
+                                  [("a", 0.5), ("b", None), (None, 0.5)], [("a", 0.5), ("b", float("nan")), (None, 0.5)], [("a", 0.5), ("b", 0.5), ("b", 0.5), (None, 0.5)]])
+def test_shares_that_lose_documents_are_refused(spark, rows):
+    sizes = spark.createDataFrame([(0, "a", 1, 10), (1, "b", 2, 20), (2, None, 3, 5)], "row_id long, source string, order long, n long")
+    with pytest.raises(ValueError):
+        packing.segments(sizes, spark.createDataFrame(rows, "source string, share double"))
+    whole = spark.createDataFrame([("a", 0.5), ("b", 0.25), (None, 0.25)], "source string, share double")
+    assert sum(r.length for r in packing.segments(sizes, whole).collect()) == 35
+
+
 def test_secret_spans(docs, rows):
     import re
 
