@@ -19,6 +19,7 @@ from echotrail.llm.near_copies import near_copies
 from echotrail.llm.packing import pack
 from echotrail.llm.pseudonyms import pseudonymise
 from echotrail.llm.recompression import remove_repeats
+from echotrail.llm.repair import repair_report
 from echotrail.llm.rules import quality_report
 
 # A deployment passes its own secret; the registered query needs one that is the same in every run.
@@ -240,3 +241,60 @@ FROM t WHERE n = 1
 def _op13(docs: DataFrame) -> DataFrame:
     """Merkle manifest of all documents and a check of every row."""
     return manifest_report(docs)
+
+
+@_query("op12_conversation_repair", "conversations", f"""
+WITH RECURSIVE k AS (
+  SELECT *, {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(nullif(role, ''), ' ') END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text
+  FROM k, unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS c(copy)),
+r AS (
+  SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last_char,
+         row_number() OVER (PARTITION BY conv_id, role, text) AS _any
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(role || chr(0) || text))),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM r),
+f AS (
+  SELECT conv_id, i, turn, role, text, left(role, 1) AS c, last_char = '' AS blank, last_char <> '' AND nth > 1 AS dup,
+         last_char <> '' AND nth = 1 AND last_char NOT IN ('.', '!', '?') AS trunc,
+         coalesce(left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS odd FROM q),
+n AS (
+  SELECT conv_id, count(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE trunc) AS truncated, count(*) FILTER (WHERE odd) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN f USING (conv_id) GROUP BY conv_id),
+b AS (
+  SELECT conv_id, n + 1 AS i, 0 AS v0, 10 AS v1, 5 AS v2, 0 AS v3 FROM n
+  UNION ALL
+  SELECT conv_id, i, least(b0, 5 + b2, 10 + b3), least(b1, 5 + b2, 10 + b3), least(b2, 5 + b3), least(b3, 5 + b2)
+  FROM (
+    SELECT b.conv_id, f.i,
+           least(2 + v0, CASE WHEN NOT g THEN least(1 + e + v2, CASE c WHEN 's' THEN e + v1 WHEN 'u' THEN e + v2 END) END) AS b0,
+           least(2 + v1, CASE WHEN NOT g THEN least(1 + e + v2, CASE c WHEN 'u' THEN e + v2 END) END) AS b1,
+           least(2 + v2, CASE WHEN NOT g THEN least(1 + e + v3, CASE c WHEN 'a' THEN e + v3 END) END) AS b2,
+           least(2 + v3, CASE WHEN NOT g THEN least(1 + e + v2, CASE c WHEN 'u' THEN e + v2 END) END) AS b3
+    FROM b JOIN (SELECT *, blank OR dup AS g, CASE WHEN trunc THEN 5 ELSE 0 END AS e FROM f) f ON f.conv_id = b.conv_id AND f.i = b.i - 1)),
+v AS (SELECT conv_id, i, [v0, v1, v2, v3] AS v FROM b),
+w AS (
+  SELECT conv_id, 1::BIGINT AS i, 0 AS s, '' AS audit, ''  AS said FROM n
+  UNION ALL
+  SELECT conv_id, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN ks ELSE ns END, audit || e,
+         said || CASE e WHEN 'D' THEN '' ELSE chr(10) || CASE WHEN e = 'K' THEN role WHEN ns = 2 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END END
+  FROM (
+    SELECT *, CASE WHEN a IS NOT NULL AND 2 + a[s + 1] = here THEN 'D' WHEN 5 + v[ns + 1] = here THEN 'I'
+                   WHEN NOT g AND ks IS NOT NULL AND x + a[ks + 1] = here THEN 'K' ELSE 'R' END AS e
+    FROM (
+      SELECT w.*, v.v, v.v[s + 1] AS here, nx.v AS a, f.role, f.text, f.blank OR f.dup AS g, CASE WHEN f.trunc THEN 5 ELSE 0 END AS x,
+             CASE WHEN s = 2 THEN 3 ELSE 2 END AS ns,
+             CASE WHEN s = 0 AND c = 's' THEN 1 WHEN s <> 2 AND c = 'u' THEN 2 WHEN s = 2 AND c = 'a' THEN 3 END AS ks
+      FROM w JOIN v ON v.conv_id = w.conv_id AND v.i = w.i
+      LEFT JOIN v nx ON nx.conv_id = w.conv_id AND nx.i = w.i + 1
+      LEFT JOIN f ON f.conv_id = w.conv_id AND f.i = w.i
+      WHERE NOT (nx.v IS NULL AND v.v[s + 1] = 0)))),
+best AS (SELECT conv_id, max_by(audit, length(audit)) AS audit, max_by(said, length(audit)) AS said FROM w GROUP BY conv_id)
+SELECT n.conv_id, gaps, blank, duplicate, truncated, illegal, v.v[1]::BIGINT AS cost, audit, sha256(substr(said, 2)) AS repaired_sha256
+FROM n JOIN best USING (conv_id) JOIN v ON v.conv_id = n.conv_id AND v.i = 1
+""")
+def _op12(conversations: DataFrame) -> DataFrame:
+    """Damaged conversations repaired with the cheapest edits."""
+    return repair_report(conversations)
