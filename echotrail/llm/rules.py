@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,17 +38,19 @@ def _repeat_words(words: Column, n: Column) -> Column:
 
 def measures(df: DataFrame, text: Column) -> DataFrame:
     """Add the measures of the rules for ``text``, built in layers so that each array is made once."""
-    strip = "[^" + "".join(f"\\x{ord(c):02x}" for c in SPACES) + "]"
     one = df.withColumn("_text", text)
     one = one.withColumns({"_words": words_of(F.col("_text")), "_lines": F.split("_text", "\n")})
+    one = one.withColumn("_solid", F.array_join("_words", ""))
+    # Characters are counted as what is left of the words when runs of all others are gone, one match a run.
+    only = lambda kept: F.char_length(F.regexp_replace("_solid", f"[^{kept}]+", "")).cast("long")
     one = one.withColumns({
         "n_words": F.size("_words"),
         "_lines": F.filter("_lines", lambda line: F.btrim(line, F.lit(SPACES)) != ""),
-        "word_chars": F.regexp_count("_text", F.lit(strip)).cast("long"),
-        "n_symbols": F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long"),
-        "n_letters": F.regexp_count("_text", F.lit("\\p{L}")).cast("long"),
-        "n_upper": F.regexp_count("_text", F.lit("\\p{Lu}")).cast("long"),
-        "n_cries": F.regexp_count("_text", F.lit("[!?]")).cast("long"),
+        "word_chars": F.char_length("_solid").cast("long"),
+        "n_symbols": only("#*$%&|<>"),
+        "n_letters": only("\\p{L}"),
+        "n_upper": only("\\p{Lu}"),
+        "n_cries": only("!?"),
         "n_ends": F.regexp_count("_text", F.lit("[.!?\\u2026\\u3002](?=[\\x20\\x09-\\x0D]|$)")).cast("long"),
         "n_bare": F.regexp_count("_text", F.lit("(?<![^\\x20\\x09-\\x0D])[^\\p{L}\\p{N}\\x20\\x09-\\x0D]+(?![^\\x20\\x09-\\x0D])")).cast("long"),
     })
@@ -62,7 +65,7 @@ def measures(df: DataFrame, text: Column) -> DataFrame:
     again = F.col("_again")
     one = one.withColumn("n_repeat_words", F.aggregate(
         F.transform(again, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(again, i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x).cast("long"))
-    return one.withColumn("n_words", F.col("n_words").cast("long")).drop("_text", "_words", "_lines", "_windows", "_again")
+    return one.withColumn("n_words", F.col("n_words").cast("long")).drop("_text", "_words", "_lines", "_solid", "_windows", "_again")
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_letters", "n_upper", "n_cries", "n_ends", "n_bare", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -113,37 +116,32 @@ class Model:
 def fit(patterns: DataFrame, rules: list[str], rounds: int = ROUNDS) -> Model:
     """Expectation-maximisation over ``patterns``: one row per vote pattern with its count ``n``.
 
-    There are at most 3 ** rules patterns. Each round is one aggregate; the driver sees the sums of the
-    round only. One document of pretended evidence per vote keeps all probabilities inside (0, 1), and
-    a rule's false alarms are held below its hits, so the classes cannot swap names.
-    An empty table gives the starting model.
+    A rule has three votes, so there are at most 3 ** rules patterns, whatever the corpus: the driver reads
+    that bounded table once and does the rounds on it. One document of pretended evidence per vote keeps all
+    probabilities inside (0, 1), and a rule's false alarms are held below its hits, so the classes cannot
+    swap names. An empty table gives the starting model.
     """
-    bad_votes = sum((F.when(F.col(r) < 0, 1).otherwise(0) for r in rules), F.lit(0))
-    start = F.when(bad_votes == 0, 0.95).when(bad_votes == 1, 0.4).otherwise(0.05)
+    table = patterns.select("n", *rules).collect()
+    if len(table) > 3 ** len(rules):
+        raise ValueError("more vote patterns than there can be")
+    n = np.array([r["n"] for r in table], dtype=float)
+    cast = np.array([[r[x] for x in rules] for r in table], dtype=float).reshape(len(table), len(rules))
+    bad, any_vote = (cast < 0).astype(float), (cast != 0).astype(float)
+    good = np.choose(np.minimum(bad.sum(axis=1), 2).astype(int), [0.95, 0.4, 0.05])
     model: Model | None = None
     for _ in range(rounds):
-        good = start if model is None else model.posterior()
-        weighed = patterns.select("n", *rules, good.alias("_good"))
-        sums = [F.sum("n").alias("all"), F.sum(F.col("n") * F.col("_good")).alias("good")]
-        for r in rules:
-            for side, share in (("good", F.col("_good")), ("bad", 1 - F.col("_good"))):
-                sums += [F.sum(F.when(F.col(r) < 0, F.col("n") * share).otherwise(0.0)).alias(f"{r}_{side}_no"),
-                         F.sum(F.when(F.col(r) != 0, F.col("n") * share).otherwise(0.0)).alias(f"{r}_{side}_any")]
-        got = weighed.agg(*sums).first()
-        total = got["all"] or 0
-        prior = min(0.99, max(0.5, ((got["good"] or 0.0) + 1) / (total + 2)))
-        false_alarm, hit = {}, {}
-        for r in rules:
-            fa = ((got[f"{r}_good_no"] or 0.0) + 0.01) / ((got[f"{r}_good_any"] or 0.0) + 1)
-            h = ((got[f"{r}_bad_no"] or 0.0) + 0.3) / ((got[f"{r}_bad_any"] or 0.0) + 1)
-            false_alarm[r] = min(0.2, max(1e-4, fa))
-            hit[r] = min(0.98, max(h, false_alarm[r]))
-        new = Model(prior, false_alarm, hit)
+        fine, poor = n * good, n * (1 - good)
+        prior = min(0.99, max(0.5, (fine.sum() + 1) / (n.sum() + 2)))
+        alarm = np.clip((fine @ bad + 0.01) / (fine @ any_vote + 1), 1e-4, 0.2)
+        hit = np.minimum(0.98, np.maximum((poor @ bad + 0.3) / (poor @ any_vote + 1), alarm))
+        new = Model(float(prior), dict(zip(rules, map(float, alarm))), dict(zip(rules, map(float, hit))))
         moved = 1.0 if model is None else max(
             abs(new.prior - model.prior), *(abs(new.hit[r] - model.hit[r]) for r in rules), *(abs(new.false_alarm[r] - model.false_alarm[r]) for r in rules))
         model = new
         if moved < SETTLED:
             break
+        odds = math.log(prior / (1 - prior)) + bad @ np.log(alarm / hit) + (any_vote - bad) @ np.log((1 - alarm) / (1 - hit))
+        good = 1 / (1 + np.exp(-odds))
     return model
 
 
