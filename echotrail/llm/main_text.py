@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -49,33 +52,68 @@ MARKS = frozenset((
 BESIDE = frozenset((
     "ad ads adverts advertisement advertising comment comments commentlist consent cookie cookies copyright disqus gdpr newsletter outbrain promo promos "
     "recommended recommendations related replies reply respond responses shoutbox sponsored taboola teaser teasers").split())
+# Marks that count on a heading, paragraph, item or cell too, when they are its whole name.
+STRICT = frozenset((
+    "ad ads adbox adslot advert adverts advertisement advertising adsense comment comments commentlist consent cookie cookies disqus gdpr newsletter "
+    "outbrain promo promos reply replies respond shoutbox sponsored taboola").split())
+# Marks that inside an article do not count for what reads like the article.
+LOOSE = frozenset("discussion feedback form header legal related respond response responses search teaser teasers warning <form>".split()) - STRICT
+TEXTUAL = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # ---------------------------------------------------------------------------------------------------
 
 VOTES = 3
 RUNNING = 40
-# The quoted parts keep a ">" inside an attribute from ending the tag.
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+_OPENING = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 # Class names that tell how a page is laid out, as has-sidebar.
 _STATE = re.compile(r"(?:has|is|no|with|without)[-_]")
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
-    """An open or closed element."""
+    """An open or closed element. All pointers go to the nearest element at or above it, so nothing is walked twice.
+
+    ``key`` stands for the path: a digest of the key above and the own label. ``order`` and ``last`` are the numbers of
+    the first and last element in it.
+    """
 
     tag: str
-    path: str
     parent: "Node | None"
     outside: bool
+    label: str = ""
+    key: bytes = b""
     marks: tuple[tuple[str, frozenset[str]], ...] = ()
-    above: tuple["Node", ...] = ()
-    score: float = 0.0
-    text: int = 0
-    linked: int = 0
-    links: int = 0
     order: int = 0
+    last: int = 0
+    block: "Node | None" = None
+    box: "Node | None" = None
+    holder: "Node | None" = None
+    listed: "Node | None" = None
+    marked: "Node | None" = None
+    score: float = 0.0
+
+    @property
+    def path(self) -> str:
+        labels, node = [], self
+        while node is not None:
+            if node.label:
+                labels.append(node.label)
+            node = node.parent
+        return ">".join(reversed(labels))
+
+
+def _step(above: bytes, label: str) -> bytes:
+    return blake2b(above + label.encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def _key_of(path: str) -> bytes:
+    key = b""
+    for label in path.split(">") if path else []:
+        key = _step(key, label)
+    return key
 
 
 @dataclass
@@ -88,7 +126,7 @@ class Block:
 
 def _label(tag: str, attributes: dict[str, str]) -> str:
     """Tag and class names, numbers taken out, so that pages of one template agree."""
-    names = sorted({re.sub(r"\d+", "#", c) for c in attributes.get("class", "").split()})
+    names = sorted({re.sub(r"\d+", "#", c).replace(">", "") for c in attributes.get("class", "").split()})
     return ".".join([tag, *names])
 
 
@@ -110,16 +148,55 @@ def _marks(tag: str, attributes: dict[str, str]) -> tuple[tuple[str, frozenset[s
             words = frozenset(w for w in (w.lower() for w in _WORD.findall(value)) if w in MARKS)
             if value.lower() in MARKS:
                 words |= {value.lower()}
+            if tag in TEXTUAL and value.lower() not in STRICT:
+                continue
             if words:
                 found[re.sub(r"\d+", "#", value.lower())] = words
     return tuple(found.items())
 
 
+def tags_of(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """``start, end, slash, name, rest`` of every tag; comments and the like have no name.
+
+    A ``>`` inside a quoted attribute does not end a tag. Where a quote or a tag stays open to the end of the page,
+    this and all later tags end at the next ``>`` whatever the quotes say, so every page is read once.
+    """
+    at, quotes = 0, True
+    while (m := _OPENING.search(source, at)) is not None:
+        start, end = m.start(), -1
+        if m[2] is None:
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+            end = source.find(close, m.end())
+            end = len(source) if end < 0 else end + len(close)
+            yield start, end, "", "", ""
+            at = end
+            continue
+        here = m.end()
+        while quotes:
+            q = _QUOTE_OR_END.search(source, here)
+            if q is None:
+                quotes = False
+            elif q[0] == ">":
+                end = q.end()
+                break
+            else:
+                here = source.find(q[0], q.end()) + 1
+                quotes = here > 0
+        if end < 0:
+            end = source.find(">", m.end()) + 1
+            if not end:
+                return
+        at = yield_at = end
+        yield start, yield_at, m[1], m[2].lower(), source[m.end():end - 1]
+
+
 def blocks_of(source: str) -> list[Block]:
     """Blocks of running text in page order; hidden ones and those in elements of ``OUTSIDE`` are left out
     already, those in marked elements are not."""
-    root = Node("", "", None, False)
+    root = Node("", None, False)
+    root.block = root.box = root
     stack, blocks, current = [root], [], None
+    opened: dict[str, int] = {}
     at, order = 0, 0
 
     def add(text: str) -> None:
@@ -128,10 +205,7 @@ def blocks_of(source: str) -> list[Block]:
         if top.outside or not text:
             return
         if current is None:
-            holder = top
-            while holder.tag and holder.tag not in BLOCKS:
-                holder = holder.parent
-            current = Block(holder)
+            current = Block(top.block)
             blocks.append(current)
         current.parts.append(text)
         if any(n.tag == "a" for n in stack[-4:]):
@@ -139,39 +213,38 @@ def blocks_of(source: str) -> list[Block]:
 
     def close(index: int) -> None:
         nonlocal current
-        if any(n.tag in BLOCKS for n in stack[index:]):
-            current = None
+        for n in stack[index:]:
+            n.last = order
+            opened[n.tag] -= 1
+            if n.tag in BLOCKS:
+                current = None
         del stack[index:]
 
-    while True:
-        m = _TAG.search(source, at)
-        if m is None:
-            add(source[at:])
-            return blocks
-        add(source[at:m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    for start, end, slash, tag, rest in tags_of(source):
+        if start < at:  # inside a script or the like
+            continue
+        add(source[at:start])
+        at = end
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                add(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
+            if source.startswith("<![CDATA[", start):
+                add(html.escape(source[start + 9:end].removesuffix("]]>"), quote=False))
             continue
-        if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-            else:
-                if tag in BLOCKS:
-                    current = None
+        if slash:
+            if opened.get(tag):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close(i)
+                        break
+            elif tag in BLOCKS:
+                current = None
             continue
         attributes = {}
-        rest = m[3] if m[2] else m[6]
         if rest and not rest.isspace():
             for a in _ATTRIBUTE.finditer(rest):
                 attributes.setdefault(a[1].lower(), html.unescape((a[2] or "").strip("\"'")))
         if tag in BLOCKS:
             # A block ends an open paragraph, together with what was left open inside.
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened.get("p") else ():
                 if stack[i].tag == "p":
                     close(i)
                     break
@@ -179,7 +252,7 @@ def blocks_of(source: str) -> list[Block]:
                     break
             current = None
         for closed in CLOSES.get(tag, ()):
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened.get(closed) else ():
                 if stack[i].tag == closed:
                     close(i)
                     break
@@ -191,103 +264,154 @@ def blocks_of(source: str) -> list[Block]:
             continue
         parent = stack[-1]
         order += 1
-        node = Node(tag, parent.path, parent, parent.outside or _hidden(tag, attributes), _marks(tag, attributes), parent.above, order=order)
-        if node.marks:
-            node.above += (node,)
+        node = Node(tag, parent, parent.outside or _hidden(tag, attributes), key=parent.key, marks=_marks(tag, attributes), order=order, last=order)
         if tag in BLOCKS:
-            node.path = (parent.path + ">" if parent.path else "") + _label(tag, attributes)
+            node.label = _label(tag, attributes)
+            node.key = _step(parent.key, node.label)
+        node.block = node if tag in BLOCKS else parent.block
+        node.box = node if tag in CONTAINERS else parent.box
+        node.holder = node if tag in ("article", "main") else parent.holder
+        node.listed = node if tag in ("ul", "ol", "dl") else parent.listed
+        node.marked = node if node.marks else parent.marked
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            found = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
+            at = found.end() if found else len(source)
             continue
         if rest.rstrip().endswith("/") and tag not in BLOCKS and tag not in ("a", "b", "i", "em", "strong", "span"):
             continue
         stack.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
+    add(source[at:])
+    for n in stack:
+        n.last = order
+    return blocks
 
 
 def _clean(block: Block) -> str:
     return " ".join(html.unescape("".join(block.parts)).split())
 
 
-def _container(node: Node) -> Node:
-    while node.tag and node.tag not in CONTAINERS:
-        node = node.parent
-    return node
-
-
-def _holder(node: Node | None) -> Node | None:
-    """The nearest article or main element at or above ``node``."""
-    while node is not None and node.tag not in ("article", "main"):
-        node = node.parent
-    return node
-
-
 def _unlinked(block: Block, text: str) -> int:
     """Length of a block of running text; 0 for short ones and for those that are mostly links."""
     free = len(text) - min(block.linked, len(text))
     return free if len(text) >= RUNNING and 2 * free > len(text) else 0
 
 
+def _chain(node: Node) -> Iterator[Node]:
+    """Marked elements at and above ``node``."""
+    found = node.marked
+    while found is not None:
+        yield found
+        found = found.parent.marked
+
+
 def _excused(node: Node, lifted: set[str]) -> bool:
     covered = frozenset().union(*(words for mark, words in node.marks if mark in lifted))
     return all(words <= covered for _, words in node.marks)
 
 
-def _unmarked(texts: list[tuple[Block, str]], inside: set[int]) -> list[tuple[Block, str]]:
+def _below(node: Node, top: Node) -> bool:
+    return top.order <= node.order <= top.last
+
+
+def _marked(texts: list[tuple[Block, str]]) -> list[Node]:
+    """Marked elements above the blocks, outer ones first; each is visited once."""
+    found: dict[int, Node] = {}
+    for b, _ in texts:
+        node = b.node.marked
+        while node is not None and id(node) not in found:
+            found[id(node)] = node
+            node = node.parent.marked
+    return sorted(found.values(), key=lambda n: n.order)
+
+
+def _article_like(texts: list[tuple[Block, str]], marked: list[Node], tops: list[Node]) -> set[int]:
+    """Marked elements inside an article that read like it: most of their text is running and unlinked, and their marks are loose."""
+    size: dict[int, list[int]] = {id(n): [0, 0] for n in marked}
+    for b, t in texts:
+        if b.node.marked is not None:
+            got = size[id(b.node.marked)]
+            got[0] += len(t)
+            got[1] += _unlinked(b, t)
+    for n in reversed(marked):
+        if n.parent.marked is not None:
+            above = size[id(n.parent.marked)]
+            above[0] += size[id(n)][0]
+            above[1] += size[id(n)][1]
+    return {id(n) for n in marked if 2 * size[id(n)][1] > size[id(n)][0] and all(words <= LOOSE for _, words in n.marks)
+            and (n.parent.holder is not None or any(top is not n and _below(n, top) for top in tops))}
+
+
+def _unmarked(texts: list[tuple[Block, str]], inside: set[int], tops: list[Node]) -> list[tuple[Block, str]]:
     """Blocks outside marked elements.
 
     A mark is lifted if the elements that have it hold most of the page's running text, or the only
     article or main element with such text: they wrap the article. The marks of ``BESIDE`` are lifted
     only if they hold an article and no running text stands elsewhere. Marked elements in ``inside``
-    count as unmarked.
+    count as unmarked, and so does what reads like an article in one, or in ``tops``. A heading stays
+    in an article whose header it is in.
     """
     lifted: set[str] = set()
     total = sum(_unlinked(b, t) for b, t in texts)
+    marked = _marked(texts)
+    free = inside | _article_like(texts, marked, tops)
     while True:
-        kept, held, articles, wraps, beside = [], {}, set(), {}, {}
-        others: set[int] = set()
+        blocked: dict[int, Node | None] = {}
+        for n in marked:
+            outer = blocked[id(n.parent.marked)] if n.parent.marked is not None else None
+            blocked[id(n)] = outer or (None if id(n) in free or _excused(n, lifted) else n)
+        kept, held, articles, places, beside = [], {}, set(), {}, {}
+        others: dict[int, Node] = {}
         for b, t in texts:
-            node = next((n for n in b.node.above if id(n) not in inside and not _excused(n, lifted)), None)
+            node = blocked[id(b.node.marked)] if b.node.marked is not None else None
             size = _unlinked(b, t)
-            if node is None:
+            if node is not None and b.node.tag in HEADINGS and node is b.node.marked and node.parent.holder is not None and all(w <= {"header"} for _, w in node.marks):
+                kept.append((b, t))
+            elif node is None:
                 kept.append((b, t))
-                if size and (holder := _holder(b.node)) is not None:
-                    others.add(id(holder))
+                if size and b.node.holder is not None:
+                    others[id(b.node.holder)] = b.node.holder
             elif size:
-                holder = _holder(b.node)
                 for mark, words in node.marks:
                     if mark in lifted:
                         continue
                     held[mark] = held.get(mark, 0) + size
                     beside[mark] = bool(words & BESIDE) and not _STATE.match(mark)
-                    if holder is not None and holder.order > node.order:
+                    if b.node.holder is not None and b.node.holder.order > node.order:
                         articles.add(mark)
-                    above = _holder(node)
-                    while above is not None:
-                        wraps.setdefault(mark, set()).add(id(above))
-                        above = _holder(above.parent)
+                    places.setdefault(mark, set()).add(node.order)
         if len(kept) == len(texts):
             return kept
         elsewhere = any(_unlinked(b, t) for b, t in kept)
-        more = {m for m, size in held.items() if not others - wraps.get(m, set())
-                and (m in articles and not elsewhere if beside[m] else m in articles or 2 * size > total)}
+        sure = {m for m, size in held.items() if (m in articles and not elsewhere if beside[m] else m in articles or 2 * size > total)}
+        more = set()
+        for m in sure:
+            orders = sorted(places[m])
+            # Every other article must have one of the mark's elements inside it.
+            if all((i := bisect_left(orders, h.order)) < len(orders) and orders[i] <= h.last for h in others.values()):
+                more.add(m)
         if not more:
             return kept
         lifted |= more
 
 
-def _at(texts: list[tuple[Block, str]], path: str) -> list[Node]:
-    """Containers at ``path`` that hold blocks."""
+def _holding(texts: list[tuple[Block, str]]) -> list[Node]:
+    """All elements that hold blocks, each once."""
     found: dict[int, Node] = {}
     for b, _ in texts:
         node = b.node
-        while node is not None:
-            if node.path == path and (node.tag in CONTAINERS or not node.tag):
-                found[id(node)] = node
+        while node is not None and id(node) not in found:
+            found[id(node)] = node
             node = node.parent
     return list(found.values())
 
 
+def _at(texts: list[tuple[Block, str]], path: str) -> list[Node]:
+    """Containers at ``path`` that hold blocks, in page order."""
+    key = _key_of(path)
+    return sorted((n for n in _holding(texts) if n.key == key and (n.tag in CONTAINERS or not n.tag)), key=lambda n: n.order)
+
+
 def read_page(source: str, path: str | None = None) -> tuple[list[tuple[Block, str]], list[Node]]:
     """Blocks with their text, and the scored containers, best first.
 
@@ -296,15 +420,14 @@ def read_page(source: str, path: str | None = None) -> tuple[list[tuple[Block, s
     above a container at ``path`` do not count if no other container stands there.
     """
     whole = [(b, t) for b, t in ((b, _clean(b)) for b in blocks_of(source)) if t]
-    texts = _unmarked(whole, set())
-    if path is not None and len(texts) < len(whole) and not _at(texts, path):
-        inside = {id(n) for node in _at(whole, path) for n in node.above if not any(words & BESIDE for _, words in n.marks)}
-        texts = _unmarked(whole, inside) if inside else texts
+    tops = [n for n in _at(whole, path) if n.tag] if path is not None else []
+    texts = _unmarked(whole, set(), tops)
+    if tops and len(texts) < len(whole) and not _at(texts, path):
+        inside = {id(n) for node in tops for n in _chain(node) if not any(words & BESIDE for _, words in n.marks)}
+        texts = _unmarked(whole, inside, tops) if inside else texts
     lists: dict[int, list] = {}
     for b, t in texts:
-        node = b.node
-        while node is not None and node.tag not in ("ul", "ol", "dl"):
-            node = node.parent
+        node = b.node.listed
         if node is not None:
             got = lists.setdefault(id(node), [0, 0, 0])
             got[0] += len(t)
@@ -319,32 +442,32 @@ def read_page(source: str, path: str | None = None) -> tuple[list[tuple[Block, s
     for b, t in texts:
         share = min(b.linked, len(t)) / len(t)
         score = (len(t) ** 0.5 + t.count(",") + t.count(".")) * (1 - share) if len(t) >= 20 else 0.5 * (1 - share)
-        node, weight = _container(b.node), 1.0
+        node, weight = b.node.box, 1.0
         for _ in range(3):
             node.score += score * weight
             found[id(node)] = node
             if node.parent is None:
                 break
-            node, weight = _container(node.parent), weight * 0.4
+            node, weight = node.parent.box, weight * 0.4
     for node in found.values():
         if node.tag in ("article", "main"):
             node.score *= 1.5
     return texts, sorted(found.values(), key=lambda n: (-n.score, n.order))
 
 
-def _below(node: Node | None, top: Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.parent
-    return False
-
-
-def _around(texts: list[tuple[Block, str]], top: Node) -> list[tuple[Block, str]]:
-    """Blocks below ``top``; of a page's body only those that stand in no container of their own."""
-    if top.tag in ("", "html", "body"):
-        return [(b, t) for b, t in texts if _container(b.node) is top]
-    return [(b, t) for b, t in texts if _below(b.node, top)]
+def _covered(texts: list[tuple[Block, str]], tops: list[Node]) -> set[int]:
+    """Blocks below any of ``tops``; of a page's body only those that stand in no container of their own."""
+    bodies = {id(t) for t in tops if t.tag in ("", "html", "body")}
+    spans: list[tuple[int, int]] = []
+    for t in sorted((t for t in tops if id(t) not in bodies), key=lambda t: t.order):
+        if not spans or t.order > spans[-1][1]:
+            spans.append((t.order, t.last))
+    out = set()
+    for b, _ in texts:
+        i = bisect_right(spans, (b.node.order, 1 << 62)) - 1
+        if id(b.node.box) in bodies or (i >= 0 and b.node.order <= spans[i][1]):
+            out.add(id(b))
+    return out
 
 
 def whole_of(texts: list[tuple[Block, str]], node: Node) -> Node:
@@ -354,21 +477,37 @@ def whole_of(texts: list[tuple[Block, str]], node: Node) -> Node:
     text stands beside ``node``. What stands there in a container of its own has to be a fifth as long
     as ``node``, or it is a box beside the article.
     """
-    holder = _holder(node)
+    holder = node.holder
     if holder is node:
         return node
     above = holder
     while above is not None and above.tag != "article":
-        above = _holder(above.parent)
+        above = above.parent.holder
     if above is not None:
         return above
-    own = sum(_unlinked(b, t) for b, t in texts if _below(b.node, node))
+    # Running text and main headings by the number of their element, so that any element's share is a difference.
+    rows = sorted((b.node.order, _unlinked(b, t), b.node.tag == "h1") for b, t in texts)
+    orders, sums, heads = [r[0] for r in rows], [0], [0]
+    for _, size, head in rows:
+        sums.append(sums[-1] + size)
+        heads.append(heads[-1] + head)
+    bare: dict[int, list[int]] = {}
+    for b, t in texts:
+        got = bare.setdefault(id(b.node.box), [0, 0])
+        got[0] += _unlinked(b, t)
+        got[1] += b.node.tag == "h1"
+
+    def held(n: Node) -> tuple[int, int]:
+        i, j = bisect_left(orders, n.order), bisect_right(orders, n.last)
+        return sums[j] - sums[i], heads[j] - heads[i]
+
+    own, own_heads = held(node)
     lowest, top = None, node.parent
     while top is not None:
         if top.tag in CONTAINERS or not top.tag:
-            rest = [(b, t) for b, t in _around(texts, top) if not _below(b.node, node)]
-            direct = any(b.node.tag == "h1" or (_container(b.node) is top and _unlinked(b, t)) for b, t in rest)
-            if direct or 5 * sum(_unlinked(b, t) for b, t in rest) >= max(own, 1):
+            direct = bare.get(id(top), [0, 0])
+            rest = direct if top.tag in ("", "html", "body") else [x - y for x, y in zip(held(top), (own, own_heads))]
+            if direct[0] or rest[1] or 5 * rest[0] >= max(own, 1):
                 if top.tag == "main":
                     return top
                 lowest = lowest or top
@@ -388,24 +527,29 @@ def page_votes(source: str) -> list[tuple[str, str, float]]:
 
 def extract(source: str, path: str | None, whole: str | None = None) -> str:
     """Text of the articles at ``whole`` around all containers at ``path``, or around the page's own best
-    one if there are none. Blocks beside the containers that are mostly links stay out."""
+    ones if there are none: all that share the path of the best. Blocks beside the containers that are mostly links stay out."""
     texts, nodes = read_page(source, path)
     chosen = _at(texts, path) if path is not None else []
     tops: dict[int, Node] = {}
     if not chosen and whole is not None:
         chosen = [n for n in _at(texts, whole) if n.tag not in ("", "html", "body")]
     if not chosen and nodes:
-        chosen, whole = [nodes[0]], None
-        tops = {id(t): t for t in [whole_of(texts, nodes[0])]}
+        chosen, whole = [n for n in _at(texts, nodes[0].path)], None
+        tops = {id(t): t for t in (whole_of(texts, n) for n in chosen[:1])}
+        for n in chosen[1:]:
+            if n.holder is not None and n.holder is not chosen[0].holder:
+                tops[id(n.holder)] = n.holder
+    key = _key_of(whole) if whole is not None else None
     for node in chosen if whole is not None else []:
         top = node
-        while top is not None and not (top.path == whole and (top.tag in CONTAINERS or not top.tag)):
+        while top is not None and not (top.key == key and (top.tag in CONTAINERS or not top.tag)):
             top = top.parent
         if top is not None:
             tops[id(top)] = top
-    core = {id(b) for n in chosen for b, _ in texts if _below(b.node, n)}
-    more = {id(b) for top in tops.values() for b, t in _around(texts, top) if 2 * min(b.linked, len(t)) <= len(t)}
-    return "\n".join(t for b, t in texts if id(b) in core or id(b) in more)
+    core = set().union(*([_covered(texts, [n for n in chosen if n.tag not in ("", "html", "body")])] if chosen else []))
+    core |= {id(b) for b, _ in texts if any(n.tag in ("", "html", "body") for n in chosen)}
+    more = _covered(texts, list(tops.values()))
+    return "\n".join(t for b, t in texts if id(b) in core or (id(b) in more and 2 * min(b.linked, len(t)) <= len(t)))
 
 
 def host_of(url: Column) -> Column:
