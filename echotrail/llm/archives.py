@@ -16,8 +16,10 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echotrail.llm.common import name
 from echotrail.session import prepare, small_side, written
@@ -286,23 +288,39 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, bytes_at: int) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
+def _row_key(pages: DataFrame, id_col: str) -> Column:
+    """The id as a header can carry it: text ids are URL-encoded, null is ``~``."""
+    value = name(id_col).cast("string")
+    return F.coalesce(F.url_encode(value) if isinstance(pages.select(name(id_col)).schema[0].dataType, T.StringType) else value, F.lit("~"))
+
+
+def _row_id(column: str, id_type: T.DataType) -> Column:
+    """The id behind a row key."""
+    value = F.nullif(F.col(column), F.lit("~"))
+    return F.url_decode(value) if isinstance(id_type, T.StringType) else value.cast(id_type)
+
+
 def _page_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     return pages.select(
-        F.coalesce(name(id_col).cast("string"), F.lit("~")).alias("k"), F.coalesce(name(url_col).cast("string"), F.lit("")).alias("u"),
+        _row_key(pages, id_col).alias("k"), F.coalesce(name(url_col).cast("string"), F.lit("")).alias("u"),
         F.coalesce(name(html_col).cast("string"), F.lit("")).cast("binary").alias("b"))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages to archives of bounded size."""
+    """Pages to archives of bounded size. Their names hold the task's partition, so no two are alike."""
+    place = TaskContext.get().partitionId()
+
+    def named(count: int) -> str:
+        return f"part-{place:06d}-{count:06d}.arc"
 
     def archive_of(count: int, parts: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f"part-{count:06d}.arc"]), pa.array([b"".join(parts)], pa.binary())], names=["path", "content"])
+        return pa.RecordBatch.from_arrays([pa.array([named(count)]), pa.array([b"".join(parts)], pa.binary())], names=["path", "content"])
 
     count, parts, size = 0, [], 0
     for batch in batches:
         for row in zip(*batch.columns):
             key, url, body = (x.as_py() for x in row)
-            version, archive = 1 + count % 2, f"part-{count:06d}.arc"
+            version, archive = 1 + count % 2, named(count)
             if not parts:
                 parts, size = [arc_head(archive, version)], 0
             parts.append(arc_record(version, archive, size, url, key, body))
@@ -404,11 +422,10 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     spark = prepare(pages.sparkSession)
     id_type = pages.select(name(id_col)).schema[0].dataType
     records = records_through_arc(pages, id_col, url_col, html_col)
-    revisits = first_of_equal(records, F.nullif(F.col("row_key"), F.lit("~")).cast(id_type))
+    revisits = first_of_equal(records, _row_id("row_key", id_type))
     path = scratch_path(spark, "warc")
     write_warc(records, revisits, path)
     back = read_warc(spark, path, keep_payload=False)
-    key = lambda c: F.nullif(F.col(c), F.lit("~")).cast(id_type)
     return back.filter("record_type not in ('warcinfo', 'metadata') or record_type is null").select(
-        key("row_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", key("refers_to").alias("refers_to"),
+        _row_id("row_key", id_type).alias("page_id"), "payload_bytes", "payload_digest", "record_type", _row_id("refers_to", id_type).alias("refers_to"),
         "record_id", "date", "url", "problem")

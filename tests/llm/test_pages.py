@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from echotrail.llm import archives, main_text
 from echotrail.sources.files import scratch_path
+from tests.llm.helpers import SF
 
 SF = "/root/testdata/sf0.001"
 CLASHING = ["row_key", "digest", "path", "host", "content", "payload", "k", "u", "b", "refers_to"]
@@ -214,3 +215,109 @@ def test_legacy_records_keep_all_they_have(spark, version):
 def test_a_page_at_a_filedesc_url_is_a_page(spark):
     rows = [(i, f"filedesc://{i}", f"<p>{i}</p>") for i in range(3)]
     assert sorted(r.page_id for r in archives.convert_pages(edge_pages(spark, rows)).collect()) == [0, 1, 2]
+
+
+LONG = "Long running text that goes on and on, with commas, and so forth until it is long enough. " * 3
+
+
+@pytest.mark.parametrize("inner, blocks", [
+    (f'<section id="discussion"><h2>Discussion</h2><p>{LONG}</p></section>', 5), (f'<section class="related-work"><h2>Related</h2><p>{LONG}</p></section>', 5),
+    (f'<p class="legal">{LONG}</p>', 4), (f'<p class="lead teaser">{LONG}</p>', 4), ('<h2 class="section-header">Head</h2>', 4),
+    ('<div class="article-header"><h1>Top</h1></div>', 4), ('<h3 id="search">Head</h3>', 4),
+    # What must stay out.
+    (f'<div class="comments"><p>{LONG}</p></div>', 3), ('<p class="ad">Buy it now and here, it is cheap.</p>', 3), (f'<div class="newsletter"><p>{LONG}</p></div>', 3),
+    ('<section class="related"><ul><li><a href="a">One other story</a></li><li><a href="b">Another one</a></li></ul></section>', 3),
+    (f'<div class="sidebar"><p>{LONG}</p></div>', 3)])
+def test_marked_parts_of_an_article(inner, blocks):
+    page = f"<html><body><article><h1>T</h1><p>{LONG}</p>{inner}<p>{LONG}</p></article></body></html>"
+    (path, whole, _), *_ = main_text.page_votes(page)
+    assert len(main_text.extract(page, path, whole).split("\n")) == blocks
+    assert len(main_text.extract(page, None).split("\n")) == blocks
+
+
+def test_two_articles_without_a_host_path():
+    page = "<body><nav><a href=x>menu</a></nav>" + "".join(f"<article><h2>T{i}</h2><p>{i} {LONG}</p></article>" for i in range(2)) + "</body>"
+    assert len(main_text.extract(page, None).split("\n")) == 4
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="a">' * 40_000 + f"<p>{LONG}", f'<div class="a">{LONG}' * 8_000, '<a "' * 60_000 + LONG, '<a "x" ' * 60_000 + '">"' + LONG,
+    "<b>" * 30_000 + f"<p>{LONG}</p>" * 2_000, f'<div class="comment">{LONG}' * 8_000, "</i>" * 50_000 + f"<p>{LONG}</p>"])
+def test_pages_are_read_in_linear_time(page):
+    import time
+
+    def seconds(text):
+        start = time.process_time()
+        votes = main_text.page_votes(text)
+        main_text.extract(text, *(votes[0][:2] if votes else (None, None)))
+        return time.process_time() - start
+
+    # Eight times the page may not take much more than eight times as long.
+    assert seconds(page) < 20 * seconds(page[:len(page) // 8]) + 0.5
+
+
+def test_against_another_parser(spark):
+    """Articles of all pages as the standard library's parser sees them."""
+    from html.parser import HTMLParser
+
+    skipped = {"script", "style", "nav", "aside", "header", "footer", "form"}
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.skip, self.blocks, self.articles = 0, 0, [[]], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.articles += tag == "article"
+            self.inside += tag == "article"
+            self.skip += tag in skipped or dict(attrs).get("class") == "ad"
+            if tag in main_text.BLOCKS:
+                self.blocks.append([])
+            if tag == "br":
+                self.handle_data(" ")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.skip -= bool(self.skip) and (tag in skipped or tag == "div")
+            if tag in main_text.BLOCKS:
+                self.blocks.append([])
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.blocks[-1].append(data)
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in main_text.main_text(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
+    compared = 0
+    for page_id, source in pages.items():
+        parser = Article()
+        parser.feed(source or "")
+        if parser.articles == 1:
+            lines = (" ".join("".join(b).split()) for b in parser.blocks)
+            assert got[page_id] == "\n".join(x for x in lines if x), page_id
+            compared += 1
+    assert compared >= 20
+
+
+def test_record_identifiers_of_a_whole_folder_are_distinct(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").repartition(4, "page_id")
+    records = archives.records_through_arc(pages)
+    path = scratch_path(spark, "warc-test")
+    archives.write_warc(records, archives.first_of_equal(records, F.col("row_key").cast("long")), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").collect()
+    data = b"".join(gzip.decompress(bytes(f.content)) for f in files)
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", data)
+    kinds = Counter(re.findall(rb"WARC-Type: (\S+)", data))
+    assert len(ids) == len(set(ids)) and kinds[b"warcinfo"] >= 4
+    assert set(re.findall(rb"WARC-Warcinfo-ID: (\S+)", data)) <= set(ids)
+
+
+def test_page_ids_may_be_any_text(spark):
+    ids = ["~", "a\r\nb", " x ", "", "%7E", "é", None, "plain"]
+    rows = spark.createDataFrame([(i, "http://h/p", f"<p>{n % 3}</p>") for n, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in archives.convert_pages(rows).collect()}
+    assert set(got) == set(ids)
+    for rest in range(3):
+        mine = [i for n, i in enumerate(ids) if n % 3 == rest]
+        first = min(mine, key=lambda i: (i is None, (i or "").encode()))
+        assert {i: got[i] for i in mine} == {i: ("response", None) if i == first else ("revisit", first) for i in mine}
