@@ -36,6 +36,7 @@ BATCH = 16
 MISS = 1e-7
 SMALL_BUCKET = 8
 CHAIN_BLOCK = 256
+BATCH_BYTES = 8 * 1024 * 1024
 STRAGGLER_BYTES, MEMBER_BYTES = 2 * 1024 * 1024, 8 * 1024 * 1024
 
 _RNG = np.random.default_rng(97)
@@ -105,6 +106,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, keep_row: bool) -> DataFrame:
     """Stored table with a row id, the text or whole row, and the sketch of each text."""
+    # Rows carry their text and come back with it, so batches are bounded by bytes as well.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = docs.select(
         name(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_id"),
         *([whole_row(docs)] if keep_row else []), text_of(text_col).alias("text"))
