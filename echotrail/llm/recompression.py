@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from echotrail.llm.common import name, text_of
 from echotrail.llm.grams import Words, batches_by_size, mix
-from echotrail.session import discard, fits_broadcast, small_side, written
+from echotrail.session import cut_lineage, discard, fits_broadcast, small_side, written
 
 WINDOW = 13
 ROUNDS = 2
@@ -127,6 +127,9 @@ def pair_names(words: Words, starts: np.ndarray, window: int) -> np.ndarray:
 
 SAMPLE_DOCS = 4096
 HOT_HITS = 8
+HOT_NAMES = 2_000_000
+# Bytes of text whose names one bucket and one task take.
+BUCKET_BYTES, TASK_BYTES = 4 * 1024 * 1024, 8 * 1024 * 1024
 BATCH_BYTES = 4 * 1024 * 1024
 
 
@@ -203,7 +206,7 @@ def _replies(names: np.ndarray, doc: np.ndarray, buckets: int) -> list[tuple]:
     return out
 
 
-def _lists(answers: DataFrame, lanes: int) -> DataFrame:
+def _lists(answers: DataFrame, lanes: int, tasks: int) -> DataFrame:
     """``doc_id, names``: all that each document has learnt, one row per document."""
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
@@ -214,16 +217,16 @@ def _lists(answers: DataFrame, lanes: int) -> DataFrame:
         begin, end = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
         return pd.DataFrame({"doc_id": ids, "names": [names[a:b].tobytes() for a, b in zip(begin, end)]})
 
-    return written(answers.groupBy("bucket").applyInPandas(merge, "doc_id long, names binary"))
+    return written(answers.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(merge, "doc_id long, names binary"))
 
 
-def hot_names(rows: DataFrame, window: int, what: str) -> np.ndarray:
+def hot_names(rows: DataFrame, total: int, window: int, what: str) -> np.ndarray:
     """Names found in at least ``HOT_HITS`` of ``SAMPLE_DOCS`` documents drawn by a hash of their id.
 
     These are only treated apart; the result does not depend on which names the sample shows. The list
-    holds at most (windows in the sample) / HOT_HITS names. Of names with equal first lanes one is kept.
+    holds at most ``HOT_NAMES`` names: if more are found, those found in the most documents. Of names with
+    equal first lanes one is kept.
     """
-    total = rows.count()
     step = max(1, -(-total // SAMPLE_DOCS))
     sample = rows.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(step)) == 0)
 
@@ -237,8 +240,15 @@ def hot_names(rows: DataFrame, window: int, what: str) -> np.ndarray:
                 lanes = names.astype(np.uint64).view(np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(lanes[:, 0]), pa.array(lanes[:, 1])], names=["a", "b"])
 
-    often = sample.mapInArrow(list_names, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_HITS)
-    got = often.groupBy("a").agg(F.min("b").alias("b")).toPandas()
+    often = cut_lineage(sample.mapInArrow(list_names, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_HITS))
+    # No more counts than documents in the sample; the least one for which the list is short enough.
+    held, least = 0, HOT_HITS
+    for r in often.groupBy("n").count().orderBy(F.desc("n")).collect():
+        held += r["count"]
+        if held > HOT_NAMES:
+            least = r["n"] + 1
+            break
+    got = often.filter(F.col("n") >= least).groupBy("a").agg(F.min("b").alias("b")).toPandas()
     return got[["a", "b"]].to_numpy(np.int64).view(np.uint64).reshape(-1, 2)
 
 
@@ -262,11 +272,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     context = spark.sparkContext
     rows = docs.select(name(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     named = rows.filter(F.col("doc_id").isNotNull())
-    if buckets is None:
-        buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total, size = named.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    # A bucket holds what BUCKET_BYTES of texts ask for, however large the table; a task takes a bucket or two.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // TASK_BYTES))
+    buckets = buckets or max(2 * tasks, -(-(size or 0) // BUCKET_BYTES))
     homes = max(1, buckets // 2)
-    hot_windows = Known(hot_names(named, window, "windows"))
-    hot_symbols = np.sort(hot_names(named, window, "symbols")[:, 0])
+    hot_windows = Known(hot_names(named, total, window, "windows"))
+    hot_symbols = np.sort(hot_names(named, total, window, "symbols")[:, 0])
     hot = context.broadcast((hot_windows, hot_symbols))
 
     def is_hot_symbol(found: np.ndarray) -> np.ndarray:
@@ -316,7 +328,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out += [(int(h), ASKED, b"", b"", ids[home == h].tobytes()) for h in np.unique(home)]
         return pd.DataFrame(out, columns=_BLOB.names)
 
-    answers = written(named.mapInArrow(ask_symbols, _BLOB_SQL).groupBy("bucket").applyInPandas(answer_symbols, _BLOB_SQL))
+    answers = written(named.mapInArrow(ask_symbols, _BLOB_SQL).repartition(tasks, "bucket").groupBy("bucket").applyInPandas(answer_symbols, _BLOB_SQL))
     least = answers.filter(F.col("kind") == LEAST).select("ids", "names").toPandas()  # at most the hot windows of the sample
     least_of = np.full(len(hot_windows.names), np.iinfo(np.int64).max)
     if len(least):
@@ -343,10 +355,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         later = doc > np.repeat(doc[first], np.diff(np.concatenate([first, [len(names)]])))
         return pd.DataFrame(_replies(names[later], doc[later], homes), columns=_BLOB.names)
 
-    learnt = _lists(answers.filter(F.col("kind") == ASKED), 1)
+    learnt = _lists(answers.filter(F.col("kind") == ASKED), 1, tasks)
     discard(answers)
     asking = named.join(small_side(learnt.select("doc_id"), 16), "doc_id", "left_semi").join(learnt, "doc_id")
-    repeats = written(asking.select("doc_id", "names", "text").mapInArrow(ask_windows, _BLOB_SQL).groupBy("bucket").applyInPandas(answer_windows, _BLOB_SQL))
+    repeats = written(asking.select("doc_id", "names", "text").mapInArrow(ask_windows, _BLOB_SQL).repartition(tasks, "bucket").groupBy("bucket").applyInPandas(answer_windows, _BLOB_SQL))
 
     def cut(batches):
         for batch in batches:
@@ -382,7 +394,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield _table(out, _RESULT)
 
     discard(learnt)
-    flagged = _lists(repeats, 2)
+    flagged = _lists(repeats, 2, tasks)
     discard(repeats)
     ids = flagged.select("doc_id")
     if fits_broadcast(ids, 16):
