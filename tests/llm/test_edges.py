@@ -229,8 +229,11 @@ def test_repeats_hot_and_cold_paths_agree(spark, monkeypatch):
     texts = [f"{' '.join(f'd{d}w{k}' for k in range(d % 5 * 3))} {passage if d % 3 else ''} {'x ' * (d % 4 * 9)}{'a b ' * (d % 6 * 4)}tail{d}" for d in range(60)]
     rows = [(d, t, None) for d, t in enumerate(texts)]
     df = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
-    for hits in (8, 10**9):
+    # As it is, no hot list, and a hot list cut short with many tiny buckets.
+    for hits, names, size in ((8, 10**6, 4_000_000), (10**9, 10**6, 4_000_000), (2, 3, 64)):
         monkeypatch.setattr(recompression, "HOT_HITS", hits)
+        monkeypatch.setattr(recompression, "HOT_NAMES", names)
+        monkeypatch.setattr(recompression, "BUCKET_BYTES", size)
         got = recompression.remove_repeats(df).collect()
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed(rows)
 
