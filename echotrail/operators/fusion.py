@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from echotrail.operators.kernels import cosine_scores, to_ids, to_matrix
 from echotrail.operators.knn import knn, scan, take_top
-from echotrail.operators.lexical import best_of, bm25_rankings, overlap_rankings, ranks_from_slots, ranks_of, slots_before
+from echotrail.operators.lexical import bm25_rankings, overlap_rankings
+from echotrail.operators.term_index import TermIndex, best_of, ranks_from_slots, ranks_of, slots_before
 from echotrail.session import BROADCAST_BYTES, cut_lineage, fits_broadcast, small_side
 
 RRF = 60
@@ -104,18 +105,18 @@ def fuse(dense: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     return take_top(fused, k).select("query_id", "rank", "doc_id", "score", "dense_rank", "lexical_rank")
 
 
-def rrf_hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10,
+def rrf_hybrid_search(queries: DataFrame, docs: DataFrame | TermIndex, vectors: DataFrame, k: int = 10,
                       tolerance: float | None = 0.5, allowed: DataFrame | None = None) -> DataFrame:
     """Dense list of ``max(2k, 50)`` fused with the full term ranking.
 
-    ``queries(query_id, text, embedding)``, ``docs(doc_id, text)``, ``vectors(doc_id, embedding)``.
+    ``queries(query_id, text, embedding)``, ``docs(doc_id, text)`` or their index, ``vectors(doc_id, embedding)``.
 
     A document outside the dense list can only reach the top ``k`` with a term rank up to ``k``, so
     exact term ranks are needed for the dense list and the first ``k`` of the term list alone.
     """
     corpus = vectors if allowed is None else vectors.join(small_side(allowed.select("doc_id"), 64), "doc_id", "left_semi")
     dense = knn(queries.select("query_id", "embedding"), corpus, max(2 * k, 50), tolerance=tolerance)
-    lexical = bm25_rankings(docs.select("doc_id", "text"), queries.select("query_id", "text"), allowed)
+    lexical = bm25_rankings(docs, queries.select("query_id", "text"), allowed)
     # Both lists are read several times below and hold few rows per query.
     dense = cut_lineage(dense)
     head = cut_lineage(take_top(best_of(lexical, k), k).select("query_id", "doc_id", "rank"))
@@ -123,9 +124,10 @@ def rrf_hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k
     return fuse(dense, head.unionByName(rest.withColumn("rank", F.col("rank").cast("int"))), k).withColumn("distance", 1.0 - F.col("score"))
 
 
-def scoped_fusion_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """Fusion over all documents of a scope; ``docs(doc_id, text)`` and ``vectors(doc_id, embedding)``
-    are scoped before, so both ranks are scope-local.
+def scoped_fusion_search(queries: DataFrame, docs: DataFrame | TermIndex, vectors: DataFrame, k: int = 10,
+                         scope: DataFrame | None = None) -> DataFrame:
+    """Fusion over all documents of a scope. ``vectors(doc_id, embedding)`` and ``docs(doc_id, text)`` are scoped
+    before; an index of more documents takes their ids as ``scope``. Both ranks are scope-local.
 
     A document outside the first ``60 + 2k`` of both lists scores below ``1 / (60 + k)``, which ``k``
     dense results already reach. So candidates are those two heads, and a counting pass gives each
@@ -137,7 +139,7 @@ def scoped_fusion_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame
     probes = queries.select("query_id", "embedding")
     # Both heads are read several times below and hold `depth` rows per query at most.
     dense_head = cut_lineage(take_top(scan(probes, vectors, depth, tolerance=None), depth).select("query_id", "doc_id", "rank"))
-    rankings = overlap_rankings(docs, queries.select("query_id", "text"))
+    rankings = overlap_rankings(docs, queries.select("query_id", "text"), scope)
     lexical_head = cut_lineage(take_top(best_of(rankings, depth), depth).select("query_id", "doc_id", "rank"))
     only_lexical = lexical_head.join(dense_head, ["query_id", "doc_id"], "left_anti")
     only_dense = dense_head.join(lexical_head, ["query_id", "doc_id"], "left_anti")

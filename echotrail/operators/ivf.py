@@ -6,13 +6,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echotrail.operators.kernels import ROUND, to_matrix, unit_rows
-from echotrail.operators.knn import candidate_count, rerank_knn
+from echotrail.operators.knn import candidate_count, rerank_knn, scan, take_top
 from echotrail.operators.ordered import ordered_positions
+from echotrail.session import BROADCAST_BYTES, discard, small_side, written
 
 PROBES = 8
 CANDIDATE_CAP = 2000
@@ -29,7 +30,8 @@ def seed_centroids(corpus: DataFrame, parts: int | None = None) -> np.ndarray:
     count = placed.count()
     parts = min(parts or target_parts(count), count)
     wanted = np.linspace(0, count - 1, num=parts, dtype=np.int64) + 1
-    rows = {r["pos"]: r["embedding"] for r in placed.filter(F.col("pos").isin([int(p) for p in set(wanted)])).collect()}
+    chosen = corpus.sparkSession.createDataFrame([(int(p),) for p in sorted(set(wanted))], "pos long")
+    rows = {r["pos"]: r["embedding"] for r in placed.join(small_side(chosen, 16), "pos").collect()}
     return _unit(np.array([rows[int(p)] for p in wanted], dtype=float))
 
 
@@ -39,7 +41,12 @@ def _unit(c: np.ndarray) -> np.ndarray:
 
 
 def assign_parts(corpus: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """Add ``part``: the centroid with the largest dot product, the first of equals."""
+    """Add ``part``: the centroid with the largest dot product, the first of equals.
+
+    Every task holds all centroids; their number grows with the root of the corpus and is checked here.
+    """
+    if centroids.nbytes > 8 * BROADCAST_BYTES:
+        raise ValueError("too many centroids for one task: choose fewer parts")
     shared = corpus.sparkSession.sparkContext.broadcast(centroids)
     schema = T.StructType(list(corpus.schema.fields) + [T.StructField("part", T.IntegerType())])
 
@@ -129,3 +136,121 @@ def ivf_rerank_knn(queries: DataFrame, assigned: DataFrame, centroids: np.ndarra
     wanted = [r["p"] for r in tagged.select(F.explode("probes").alias("p")).distinct().collect()]  # at most as many as there are parts
     return rerank_knn(tagged, assigned.filter(F.col("part").isin(wanted)), k, "cosine", candidates, tolerance,
                       parts=len(centroids), limit=limit)
+
+
+# Cosines are rounded; a bound this close below a score counts as reaching it.
+SLACK = 1e-8
+
+
+def part_bounds(assigned: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """``part, n, widest``: rows of each part and the largest angle between one of them and its centroid."""
+    shared = assigned.sparkSession.sparkContext.broadcast(centroids)
+
+    def widest(batches):
+        n, least = np.zeros(len(shared.value), np.int64), np.ones(len(shared.value))
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column("part").to_numpy(zero_copy_only=False)
+                near = np.einsum("ij,ij->i", unit_rows(to_matrix(batch.column("embedding"))), shared.value[part])
+                np.minimum.at(least, part, near)
+                n += np.bincount(part, minlength=len(n))
+        used = np.flatnonzero(n)
+        if len(used):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int32()), pa.array(n[used]), pa.array(np.arccos(np.clip(least[used], -1.0, 1.0)))], names=["part", "n", "widest"])
+
+    partial = assigned.select("embedding", "part").mapInArrow(widest, "part int, n long, widest double")
+    return partial.groupBy("part").agg(F.sum("n").alias("n"), F.max("widest").alias("widest"))
+
+
+class StoredIvf:
+    """A partitioned vector table: folders by part, its centroids, and per part how wide it is.
+
+    New vectors join the nearest part; every write adds its own bounds, which readers merge. A search reads first
+    the parts nearest to each query. The k-th score found there is one that the k-th best cannot be below, and no
+    row of a part can score more than the cosine of the angle between the query and the part's cone. Parts whose
+    bound stays below that score are never read, and the result is still exact.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def create(cls, corpus: DataFrame, path: str, parts: int | None = None, iterations: int = 1) -> StoredIvf:
+        """Index of ``corpus(doc_id, embedding)``. Rows lie with the nearest of the final centroids."""
+        spark = corpus.sparkSession
+        _, centroids = ivf_build(corpus, parts, iterations)
+        rows = [(i, c.tolist()) for i, c in enumerate(centroids)]
+        spark.createDataFrame(rows, "part int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+        index = cls(spark, path)
+        index.append(corpus)
+        return index
+
+    def centroids(self) -> np.ndarray:
+        rows = self.spark.read.parquet(f"{self.path}/centroids").orderBy("part").collect()
+        return np.array([r["centroid"] for r in rows], dtype=float)
+
+    def append(self, vectors: DataFrame) -> None:
+        """Add rows ``(doc_id, embedding)``; whoever calls says which are new."""
+        centroids = self.centroids()
+        placed = written(assign_parts(vectors.select("doc_id", "embedding"), centroids))
+        part_bounds(placed, centroids).coalesce(1).write.mode("append").parquet(f"{self.path}/bounds")
+        placed.repartition("part").write.mode("append").partitionBy("part").parquet(f"{self.path}/vectors")
+        discard(placed)
+
+    def vectors(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/vectors")
+
+    def bounds(self) -> dict[int, tuple[int, float]]:
+        """Rows and width of every part; as many entries as there are parts."""
+        merged = self.spark.read.parquet(f"{self.path}/bounds").groupBy("part").agg(F.sum("n").alias("n"), F.max("widest").alias("widest"))
+        return {r["part"]: (r["n"], r["widest"]) for r in merged.collect()}
+
+    def _probing(self, queries: DataFrame, least: DataFrame | None, first: int) -> DataFrame:
+        """Queries with their ``probes``: the ``first`` nearest parts, or with ``least(query_id, least)`` all others whose bound reaches that score."""
+        centroids, held = self.centroids(), self.bounds()
+        width = np.array([held.get(p, (0, -1.0))[1] for p in range(len(centroids))])
+        shared = self.spark.sparkContext.broadcast((centroids, width))
+        ahead = least is None
+        asked = queries if ahead else queries.join(least, "query_id", "left")
+        schema = T.StructType([f for f in asked.schema.fields if f.name != "least"] + [T.StructField("probes", T.ArrayType(T.IntegerType()))])
+
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                centroids, width = shared.value
+                near = unit_rows(to_matrix(batch.column("embedding"))) @ centroids.T
+                order = np.argsort(-np.where(width >= 0, near, -np.inf), axis=1, kind="stable")[:, :first]
+                if ahead:
+                    probes = [o[width[o] >= 0].astype(np.int32) for o in order]
+                    columns = batch.columns
+                else:
+                    angle = np.arccos(np.clip(near, -1.0, 1.0)) - width[None, :]
+                    most = np.where(width >= 0, np.cos(np.clip(angle, 0.0, np.pi)), -2.0)
+                    floor = batch.column("least").fill_null(-1.0).to_numpy(zero_copy_only=False)
+                    reach = most + SLACK >= floor[:, None]
+                    np.put_along_axis(reach, order, False, axis=1)
+                    probes = [np.flatnonzero(r & (width >= 0)).astype(np.int32) for r in reach]
+                    columns = [batch.column(f.name) for f in schema.fields[:-1]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(probes, pa.list_(pa.int32()))], names=[f.name for f in schema.fields])
+
+        return asked.mapInArrow(run, schema)
+
+    def _found(self, probing: DataFrame, k: int, tolerance: float | None, limit: int | None) -> DataFrame:
+        wanted = [r["p"] for r in probing.select(F.explode("probes").alias("p")).distinct().collect()]  # at most as many as there are parts
+        rows = self.vectors().filter(F.col("part").isin(wanted))
+        return scan(probing, rows, k, "cosine", False, tolerance, parts=len(self.centroids()), limit=limit)
+
+    def search(self, queries: DataFrame, k: int = 10, first: int = PROBES, tolerance: float | None = 0.5, limit: int | None = None) -> DataFrame:
+        """Exact ``(query_id, rank, doc_id, score, distance, parts_read)``; ``parts_read`` says what the stop saved."""
+        probes = written(self._probing(queries.select("query_id", "embedding"), None, first))
+        ahead = written(take_top(self._found(probes, k, tolerance, limit), k))
+        # Fewer than k rows give no bound, and everything is read.
+        least = ahead.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("query_id", "least")
+        rest = written(self._probing(queries.select("query_id", "embedding"), least, first).filter(F.size("probes") > 0))
+        later = self._found(rest, k, tolerance, limit) if rest.limit(1).count() else ahead.limit(0)
+        both = take_top(ahead.select("query_id", "doc_id", "score").unionByName(later.select("query_id", "doc_id", "score")), k)
+        parts = probes.unionByName(rest).groupBy("query_id").agg(F.sum(F.size("probes")).alias("parts_read"))
+        return both.join(small_side(parts, 32), "query_id").select(
+            "query_id", "rank", "doc_id", "score", (1.0 - F.col("score")).alias("distance"), "parts_read")

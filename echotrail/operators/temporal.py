@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -180,83 +181,117 @@ class DriftSettings:
     recovery: int = 3
 
 
+# Observations that one vector step looks at.
+GUARD_BLOCK = 1024
+
+
 @dataclass
-class DriftState:
-    """What the guard remembers of one key; small enough to travel as a string."""
+class Guard:
+    """The guard's memory of one key between slices; small enough to travel as a string.
+
+    ``tail`` holds the last observations, at most a window of them. ``climb`` is the Page-Hinkley sum since its
+    last reset: observations, their sum, the accumulated excess and its lowest value. ``good`` counts acceptable
+    levels in a row while the guard is drifting.
+    """
 
-    recent: list[float] = field(default_factory=list)
+    tail: list[float] = field(default_factory=list)
+    climb: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0, 0.0])
     baseline: float | None = None
-    active: bool = False
+    drifting: bool = False
+    good: int = 0
     reason: str = "insufficient_samples"
-    recoveries: int = 0
-    seen: int = 0
-    mean: float = 0.0
-    total: float = 0.0
-    low: float = 0.0
 
     def dump(self) -> str:
         return json.dumps(asdict(self))
 
     @staticmethod
-    def load(text: str | None) -> "DriftState":
-        return DriftState(**json.loads(text)) if text else DriftState()
-
-    def observe(self, value: float, s: DriftSettings) -> None:
-        """Take one residual of a cloud-anchored row."""
-        value = max(0.0, float(value))
-        self.recent = (self.recent + [value])[-s.window:]
-        # Page-Hinkley: how far the cumulative excess has climbed above its lowest point.
-        self.seen += 1
-        self.mean += (value - self.mean) / self.seen
-        self.total += value - self.mean - s.ph_delta
-        self.low = min(self.low, self.total)
-        level = sum(self.recent) / len(self.recent)
-        if len(self.recent) < s.min_samples:
-            self.reason = "insufficient_samples"
-        elif self.baseline is None:
-            self.baseline, self.reason = level, "baseline_established"
-        elif self.active:
-            self._recover(level, s)
-        elif self._exceeds(level, s):
-            self.active, self.reason, self.recoveries = True, "residual_drift", 0
+    def load(text: str | None) -> "Guard":
+        return Guard(**json.loads(text)) if text else Guard()
+
+
+def _windows(x: np.ndarray, tail: list[float], s: DriftSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per observation: size and mean of the window that ends there, and how much its newer half lies above its older."""
+    held = np.concatenate([np.asarray(tail, float), x])
+    sums = np.concatenate([[0.0], np.cumsum(held)])
+    end = np.arange(len(tail), len(held)) + 1
+    size = np.minimum(end, s.window)
+    begin, middle = end - size, end - size + size // 2
+    older = (sums[middle] - sums[begin]) / np.maximum(size // 2, 1)
+    newer = (sums[end] - sums[middle]) / np.maximum(size - size // 2, 1)
+    rise = np.where(size >= 2 * s.min_samples, (newer - older) / np.maximum(np.abs(older), 1e-8), 0.0)
+    return size, (sums[end] - sums[begin]) / size, rise
+
+
+def _climbs(x: np.ndarray, climb: list[float], s: DriftSettings) -> np.ndarray:
+    """The Page-Hinkley memory after each observation, one row each."""
+    count, total = climb[0] + np.arange(1, len(x) + 1), climb[1] + np.cumsum(x)
+    excess = climb[2] + np.cumsum(x - total / count - s.ph_delta)
+    return np.column_stack([count, total, excess, np.minimum(np.minimum.accumulate(excess), climb[3])])
+
+
+def guard_views(values: np.ndarray, guard: Guard, s: DriftSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Drifting, reason and baseline after each observation; ``guard`` moves on to the end.
+
+    A key's life is a chain of stretches: warming up, calm, drifting, calm again. Within a stretch everything is
+    one vector pass over a block; only where a stretch ends does the guard change.
+    """
+    x = np.maximum(0.0, np.asarray(values, float))
+    size, level, rise = _windows(x, guard.tail, s)
+    drifting, reason, baseline = np.zeros(len(x), bool), np.empty(len(x), object), np.full(len(x), np.nan)
+    at = 0
+    while at < len(x):
+        part = slice(at, min(len(x), at + GUARD_BLOCK))
+        climbs, levels = _climbs(x[part], guard.climb, s), level[part]
+        span = len(levels)
+        if guard.baseline is None:
+            enough = np.flatnonzero(size[part] >= s.min_samples)
+            span = enough[0] + 1 if len(enough) else span
+            reasons = ["insufficient_samples"] * span
+            bases = np.full(span, np.nan)
+            if len(enough):
+                guard.baseline = bases[-1] = float(levels[span - 1])
+                reasons[-1] = "baseline_established"
+            state = np.zeros(span, bool)
+        elif guard.drifting:
+            fine = levels <= guard.baseline * (1.0 + s.relative / 2)
+            place = np.arange(1, span + 1)
+            # Acceptable levels in a row, the ones before this block included.
+            row = place - np.maximum.accumulate(np.where(fine, -guard.good, place))
+            over = np.flatnonzero(row >= s.recovery)
+            span = over[0] + 1 if len(over) else span
+            reasons = np.where(fine[:span], "recovering", "residual_drift").tolist()
+            state, bases = np.ones(span, bool), np.full(span, guard.baseline)
+            guard.good = int(row[span - 1])
+            if len(over):
+                reasons[-1], state[-1], guard.drifting = "recovered", False, False
+                guard.baseline = bases[-1] = float(levels[span - 1])
+                climbs[span - 1] = 0.0
         else:
-            self.baseline = 0.95 * self.baseline + 0.05 * level
-            self.reason = "stable"
-
-    def _exceeds(self, level: float, s: DriftSettings) -> bool:
-        rise = (level - self.baseline) / max(abs(self.baseline), 1e-8)
-        return rise >= s.relative or self._halves(s) >= s.relative or self.total - self.low >= s.ph_threshold
-
-    def _halves(self, s: DriftSettings) -> float:
-        if len(self.recent) < 2 * s.min_samples:
-            return 0.0
-        cut = len(self.recent) // 2
-        old = sum(self.recent[:cut]) / cut
-        new = sum(self.recent[cut:]) / (len(self.recent) - cut)
-        return (new - old) / max(abs(old), 1e-8)
-
-    def _recover(self, level: float, s: DriftSettings) -> None:
-        if level > self.baseline * (1.0 + s.relative * 0.5):
-            self.recoveries, self.reason = 0, "residual_drift"
-            return
-        self.recoveries += 1
-        if self.recoveries < s.recovery:
-            self.reason = "recovering"
-            return
-        self.active, self.reason, self.baseline = False, "recovered", level
-        self.seen, self.mean, self.total, self.low = 0, 0.0, 0.0, 0.0
-
-
-def drift_rows(rows: pd.DataFrame, state: DriftState, s: DriftSettings) -> pd.DataFrame:
-    """Advance ``state`` over ordered rows; adds the guard's view after each row."""
-    active, reason, baseline = [], [], []
-    for value, route, aligned in zip(rows["residual"], rows["route"], rows["is_aligned"]):
-        if route == "cloud" and aligned:
-            state.observe(value, s)
-        active.append(state.active)
-        reason.append(state.reason)
-        baseline.append(state.baseline)
-    return rows.assign(drift_active=active, drift_reason=reason, drift_baseline=np.array(baseline, dtype=float))
+            trail = np.array(list(accumulate(levels.tolist(), lambda b, now: 0.95 * b + 0.05 * now, initial=guard.baseline)))
+            above = (levels - trail[:-1]) / np.maximum(np.abs(trail[:-1]), 1e-8)
+            hits = np.flatnonzero((above >= s.relative) | (rise[part] >= s.relative) | (climbs[:, 2] - climbs[:, 3] >= s.ph_threshold))
+            span = hits[0] + 1 if len(hits) else span
+            reasons, state, bases = ["stable"] * span, np.zeros(span, bool), trail[1:span + 1].copy()
+            if len(hits):
+                reasons[-1], state[-1], bases[-1] = "residual_drift", True, trail[span - 1]
+                guard.drifting, guard.good = True, 0
+            guard.baseline = float(bases[-1])
+        done = slice(at, at + span)
+        drifting[done], reason[done], baseline[done] = state, reasons, bases
+        guard.climb, guard.reason = climbs[span - 1].tolist(), reasons[-1]
+        at += span
+    guard.tail = np.concatenate([np.asarray(guard.tail, float), x])[-s.window:].tolist()
+    return drifting, reason, baseline
+
+
+def drift_rows(rows: pd.DataFrame, guard: Guard, s: DriftSettings) -> pd.DataFrame:
+    """Adds the guard's view after each of the ordered ``rows``; only aligned rows of the cloud route are observed."""
+    first = (guard.drifting, guard.reason, np.nan if guard.baseline is None else guard.baseline)
+    seen = ((rows["route"] == "cloud") & rows["is_aligned"].fillna(False).astype(bool)).to_numpy()
+    views = guard_views(rows["residual"].to_numpy(dtype=float)[seen], guard, s)
+    # Each row shows the view after the observations up to it.
+    active, reason, baseline = (np.concatenate([np.array([f], dtype=v.dtype), v])[np.cumsum(seen)] for f, v in zip(first, views))
+    return rows.assign(drift_active=active, drift_reason=reason, drift_baseline=baseline)
 
 
 def drift_schema(df: DataFrame) -> T.StructType:
@@ -271,8 +306,8 @@ def residual_drift_guard(df: DataFrame, key: str, order: list[str], settings: Dr
     from echotrail.operators.ordered import CHUNK_ROWS
 
     def step(rows: pd.DataFrame, before: str | None):
-        state = DriftState.load(before)
-        out = drift_rows(rows, state, settings)
-        return out, state.dump()
+        guard = Guard.load(before)
+        out = drift_rows(rows, guard, settings)
+        return out, guard.dump()
 
     return fold_ordered(df, [key], order, step, drift_schema(df), CHUNK_ROWS if slice_rows is None else slice_rows)

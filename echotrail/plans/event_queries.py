@@ -7,8 +7,10 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from echotrail.operators import events as ev
-from echotrail.plans.inputs import events_sql, iso_sql, rows_sql, table, vault_events, vault_rows
+from echotrail.plans.inputs import event_log, events_sql, iso_sql, rows_sql, table, vault_events, vault_rows
 from echotrail.plans.registry import query
+from echotrail.sources.event_log import EventLog
+from echotrail.sources.files import scratch_path
 
 PAGE_COLUMNS = f"id, type, source, {iso_sql('timestamp')} AS timestamp, project"
 
@@ -33,8 +35,8 @@ def _normalize(spark, sf):
         AND source IN ('click','error','view') AND timestamp >= TIMESTAMP '2024-01-05 00:00:00'
         AND timestamp < TIMESTAMP '2024-01-20 12:00:00'"""))
 def _scope(spark, sf):
-    return page_view(ev.filter_scope(
-        vault_events(spark, sf), projects=["p1", "p2", "p3", None], sources=["click", "error", "view"],
+    return page_view(event_log(spark, sf).scan(
+        projects=["p1", "p2", "p3", None], sources=["click", "error", "view"],
         since="2024-01-05T00:00:00Z", until="2024-01-20T12:00:00Z"))
 
 
@@ -171,7 +173,9 @@ def _resolve(spark, sf):
     SELECT grant_id, rank, id, {iso_sql('timestamp')} AS timestamp, eligible FROM ranked WHERE rank <= lim"""))
 def _visible(spark, sf):
     scopes = ev.resolve_grant_scope(grants(spark, sf))
-    return ev.grant_visible_events(vault_events(spark, sf), scopes).withColumn("timestamp", ev.iso(F.col("timestamp")))
+    bounds = scopes.agg(F.min("since"), F.max("until"), F.count_if(F.col("since").isNull()), F.count_if(F.col("until").isNull())).first()
+    events = event_log(spark, sf).scan(since=None if bounds[2] else bounds[0], until=None if bounds[3] else bounds[1])
+    return ev.grant_visible_events(events, scopes).withColumn("timestamp", ev.iso(F.col("timestamp")))
 
 
 @query("error_like_filter", """SELECT doc_id, source FROM documents WHERE regexp_matches(lower(text),
@@ -200,8 +204,7 @@ def _target(spark, sf):
     f"""SELECT {PAGE_COLUMNS} FROM ev WHERE source IN ('click','view','error')
         AND (timestamp, id) < (TIMESTAMP '2024-01-20 00:00:00', 'ev_5') ORDER BY ev.timestamp DESC, id DESC LIMIT 101"""))
 def _page(spark, sf):
-    return page_view(ev.timeline_page(
-        vault_events(spark, sf), 100, ("2024-01-20T00:00:00Z", "ev_5"), sources=["click", "view", "error"]))
+    return page_view(event_log(spark, sf).page(100, ("2024-01-20T00:00:00Z", "ev_5"), sources=["click", "view", "error"]))
 
 
 @query("scan_page", rows_sql("SELECT row_id, doc_id FROM vault WHERE row_id > 250 ORDER BY row_id LIMIT 500"))
@@ -225,14 +228,37 @@ def summary_view(df):
 
 @query("event_summary", events_sql(SUMMARY_SQL.format(hi=iso_sql("max(hi)"), lo=iso_sql("min(lo)"), src="ev")))
 def _summary(spark, sf):
-    return summary_view(ev.event_summary(vault_events(spark, sf)))
+    return summary_view(event_log(spark, sf).summary())
 
 
 @query("current_context", events_sql(SUMMARY_SQL.format(
     hi=iso_sql("max(hi)"), lo=iso_sql("min(lo)"), src="(SELECT * FROM ev ORDER BY timestamp DESC, id DESC LIMIT 20)")))
 def _context(spark, sf):
-    newest = vault_events(spark, sf).orderBy(F.desc("timestamp"), F.desc("id")).limit(20)
-    return summary_view(ev.event_summary(newest))
+    return summary_view(event_log(spark, sf).newest_summary(20))
+
+
+LEFT = "(SELECT * FROM ev WHERE NOT coalesce(source = 'click' AND project = 'p3', false) AND id NOT LIKE '%7')"
+
+
+@query("event_log_updates", events_sql(f"""SELECT 'page' AS part, id AS key, {iso_sql('timestamp')} AS value, 1 AS n FROM (
+      SELECT * FROM {LEFT} WHERE source IN ('click','signup') ORDER BY timestamp DESC, id DESC LIMIT 51)
+    UNION ALL SELECT 'count', type, {iso_sql('max(timestamp)')}, count(*) FROM {LEFT} GROUP BY type
+    UNION ALL SELECT 'cell', source || ':' || coalesce(project, '-'), NULL, count(*) FROM {LEFT} GROUP BY source, project"""))
+def _log_updates(spark, sf):
+    """A log that grew by three ingests that overlap in time and lost rows twice: a page, its types and its counts."""
+    events = vault_events(spark, sf)
+    log = EventLog(spark, scratch_path(spark, "log"))
+    for part in range(3):
+        log.append(events.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == part), rows_per_file=4096)
+    log.forget(events.filter("source = 'click' AND project = 'p3'").select("id"))
+    log.forget(events.filter("id LIKE '%7'").select("id"))
+    page = log.page(50, sources=["click", "signup"]).select(F.lit("page").alias("part"), F.col("id").alias("key"), ev.iso(F.col("timestamp")).alias("value"), F.lit(1).cast("long").alias("n"))
+    types = log.summary().select(F.explode("types").alias("t")).select("t.type", "t.n")
+    highs = log.scan().groupBy("type").agg(F.max("timestamp").alias("high"))
+    counts = types.join(highs, "type").select(F.lit("count"), "type", ev.iso(F.col("high")), "n")
+    cells = log.counts(["source", "project"]).select(
+        F.lit("cell"), F.concat_ws(":", "source", F.coalesce("project", F.lit("-"))), F.lit(None).cast("string"), "n")
+    return page.union(counts).union(cells)
 
 
 @query("id_set_union", events_sql(

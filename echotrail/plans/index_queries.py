@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from echotrail.functions import vectors as vx
 from echotrail.operators import cache as ca, codes, holographic as ho, ivf
-from echotrail.plans.inputs import table
+from echotrail.plans.inputs import kept, table
 from echotrail.plans.registry import query
 from echotrail.session import spread
-from echotrail.plans.search_queries import ENTROPY_SQL, all_vectors, corpus, shown
+from echotrail.plans.search_queries import ENTROPY_SQL, all_vectors, corpus, knn_sql, shown
+from echotrail.sources.files import scratch_path
 
 DIM = 64
 
@@ -44,8 +45,8 @@ def _lattice(spark, sf):
 
 # One assignment pass from evenly spaced seeds is plain SQL; so is probing with the updated means.
 IVF_CTE = f"""{ENTROPY_SQL}, placed AS (SELECT vec_id, embedding::DOUBLE[] AS v, entropy, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n FROM embeddings JOIN entropies USING (vec_id)),
-   shape AS (SELECT any_value(n) AS n, least(least(256, greatest(16, ceil(sqrt(any_value(n)) / 4)))::BIGINT, any_value(n)) AS parts FROM placed),
-   seeds AS (SELECT j AS part, v FROM shape, range(256) t(j), placed WHERE j < parts AND pos = floor(j * (shape.n - 1) / (parts - 1)::DOUBLE)::BIGINT),
+   shape AS (SELECT any_value(n) AS n, least(greatest(16, ceil(sqrt(any_value(n)) / 4))::BIGINT, any_value(n)) AS parts FROM placed),
+   seeds AS (SELECT j AS part, v FROM shape, range(shape.parts) t(j), placed WHERE pos = floor(j * (shape.n - 1) / (parts - 1)::DOUBLE)::BIGINT),
    scored AS (SELECT p.vec_id, s.part, round(list_cosine_similarity(p.v, s.v), 9) AS score FROM placed p, seeds s),
    assigned AS (SELECT vec_id, part FROM (SELECT vec_id, part, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, part) AS rn FROM scored) WHERE rn = 1)"""
 
@@ -72,6 +73,19 @@ def _ivf_knn(spark, sf):
     return shown(ivf.ivf_rerank_knn(all_vectors(spark, sf), assigned, centroids, 10))
 
 
+@query("ivf_exact_knn", knn_sql())
+def _ivf_exact(spark, sf):
+    """Exact neighbours from a stored partitioned index that grew by two writes, parts out of reach left unread."""
+    vectors = corpus(spark, sf)
+
+    def build():
+        index = ivf.StoredIvf.create(vectors.filter("doc_id % 3 > 0"), scratch_path(spark, "ivf"))
+        index.append(vectors.filter("doc_id % 3 = 0"))
+        return index
+
+    return shown(kept(spark, sf, ["embeddings"], "ivf", build).search(all_vectors(spark, sf), 10))
+
+
 KEYS_SQL = f"""ks AS (SELECT vec_id, list_transform(range({DIM}), lambda j: ('0x' || substr(d, 8*j+3, 2) || substr(d, 8*j+1, 2))::INT / 65535.0::DOUBLE * 2.0 - 1.0) AS k FROM
      (SELECT vec_id, array_to_string(list_transform(range({DIM * 4 // 32 + 1}), lambda i: sha256(unhex(sha256(vec_id::VARCHAR)) || unhex(printf('%08x', i)))), '') AS d FROM embeddings)),
    keyed AS (SELECT e.vec_id, e.embedding::DOUBLE[] AS v, entropy, list_transform(k, lambda x: x / (sqrt(list_dot_product(k, k)) + 1e-8)) AS k FROM ks JOIN embeddings e USING (vec_id) JOIN entropies USING (vec_id)),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from echotrail.operators.events import normalize_events
 from echotrail.session import spread
+from echotrail.sources.event_log import EventLog
+from echotrail.sources.files import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +48,33 @@ def vault_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Indexes and logs that this application has made from its input tables, by name and state of the tables.
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, tables: list[str], name: str, build):
+    """``build()``, once per application and state of ``tables``: what a service ingests once and then searches."""
+    key = [spark.sparkContext.applicationId, name]
+    for t in tables:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        files = place.getFileSystem(spark._jsc.sc().hadoopConfiguration())
+        key += [f"{sf_dir}/{t}", files.getContentSummary(place).getLength(), files.getFileStatus(place).getModificationTime()]
+    if tuple(key) not in _KEPT:
+        _KEPT[tuple(key)] = build()
+    return _KEPT[tuple(key)]
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> EventLog:
+    """The events as a stored log, ingested by the first query that asks for it."""
+
+    def build() -> EventLog:
+        log = EventLog(spark, scratch_path(spark, "log"))
+        log.append(vault_events(spark, sf_dir), rows_per_file=8192)
+        return log
+
+    return kept(spark, sf_dir, ["events"], "event log", build)
+
+
 def vault_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_events(vault_rows(spark, sf_dir))
 

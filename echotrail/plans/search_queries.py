@@ -9,9 +9,13 @@ from echotrail.functions import vectors as vx
 from echotrail.functions.text import STOP_WORDS
 from echotrail.operators import fusion, knn as nn, lexical as lx
 from echotrail.operators.events import recent
-from echotrail.plans.inputs import ROWS_CTE, table, vault_rows
+from echotrail.operators.knn import take_top
+from echotrail.operators.term_index import TermIndex, best_of
+from echotrail.plans.inputs import ROWS_CTE, kept, table, vault_rows
 from echotrail.plans.registry import query
 from echotrail.session import cut_lineage, spread
+from echotrail.sources.files import scratch_path
+from echotrail.sources.vault import Vault
 
 DIM = 64
 
@@ -44,6 +48,11 @@ def all_vectors(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def terms(spark, sf, kind: str) -> TermIndex:
+    """The stored inverted index of all documents, built by the first search that asks for it."""
+    return kept(spark, sf, ["documents"], f"{kind} terms", lambda: TermIndex.over(docs(spark, sf), kind))
+
+
 # --- SQL building blocks ------------------------------------------------------------------
 
 TERMS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z0-9]+'))"
@@ -118,7 +127,26 @@ BM25_CTE = f"""dt AS (SELECT doc_id, {TERMS} AS t FROM documents WHERE text <> '
 
 @query("bm25_search", f"WITH {BM25_CTE} SELECT query_id, rank, doc_id, round(score, 9) AS score FROM bmr WHERE rank <= 10")
 def _bm25(spark, sf):
-    hits = lx.bm25_search(docs(spark, sf), texts(spark, sf), 10)
+    hits = lx.bm25_search(terms(spark, sf, "bm25"), texts(spark, sf), 10)
+    return hits.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
+
+
+KEPT = "doc_id % 7 <> 3"
+
+
+@query("term_index_updates", f"""WITH {BM25_CTE.replace("FROM documents WHERE text <> ''", f"FROM documents WHERE text <> '' AND {KEPT}")}
+   SELECT query_id, rank, doc_id, round(score, 9) AS score FROM bmr WHERE rank <= 10""")
+def _updates(spark, sf):
+    """A stored index that grew by two ingests and lost every seventh document, searched."""
+    vault = Vault(spark, scratch_path(spark, "vault"))
+    rows = docs(spark, sf).select(F.col("doc_id").alias("pos"), F.lit("main").alias("collection"), F.col("doc_id").cast("string").alias("doc_id"),
+                                  F.col("text").alias("document"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    vault.ingest(rows.filter("pos % 2 = 0"))
+    vault.terms("main")
+    vault.ingest(rows.filter("pos % 2 = 1"))
+    vault.forget(rows.filter(f"NOT ({KEPT.replace('doc_id', 'pos')})").select("doc_id"), "main")
+    index = vault.terms("main")
+    hits = take_top(best_of(index.rankings(texts(spark, sf)), None).withColumn("doc_id", F.col("doc_id").cast("long")), 10)
     return hits.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
 
 
@@ -141,13 +169,13 @@ def scoped(spark, sf):
 
 @query("idf_overlap_search", f"WITH {overlap_cte(SCOPE_SQL)} SELECT query_id, rank, doc_id, round(score, 9) AS score FROM ovr WHERE rank <= 10")
 def _overlap(spark, sf):
-    hits = lx.overlap_search(scoped(spark, sf), texts(spark, sf), 10)
+    hits = lx.overlap_search(terms(spark, sf, "overlap"), texts(spark, sf), 10, scope=scoped(spark, sf))
     return hits.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
 
 
 @query("keyword_ranking", f"WITH {overlap_cte('true')} SELECT query_id, rank, doc_id, round(score, 9) AS score FROM ovr WHERE rank <= 10")
 def _keyword(spark, sf):
-    hits = lx.overlap_search(docs(spark, sf), texts(spark, sf), 10)
+    hits = lx.overlap_search(terms(spark, sf, "overlap"), texts(spark, sf), 10)
     return hits.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
 
 
@@ -269,7 +297,7 @@ def fusion_cte(where: str) -> str:
    SELECT query_id, rank, doc_id, round(score, 9) AS score, round(1 - score, 9) AS distance FROM r WHERE rank <= 10""")
 def _rrf(spark, sf):
     out = fusion.rrf_hybrid_search(
-        embedded(texts(spark, sf), "query_id"), docs(spark, sf), text_vectors(docs(spark, sf)), 10, tolerance=None)
+        embedded(texts(spark, sf), "query_id"), terms(spark, sf, "bm25"), text_vectors(docs(spark, sf)), 10, tolerance=None)
     return out.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"), F.round("distance", 9).alias("distance"))
 
 
@@ -282,7 +310,7 @@ L6_SQL = f"""WITH {overlap_cte(SCOPE_SQL)}, {fusion_cte(SCOPE_SQL)},
 
 def fused(spark, sf, k=10):
     rows = scoped(spark, sf)
-    return fusion.scoped_fusion_search(embedded(texts(spark, sf), "query_id"), rows, text_vectors(rows), k)
+    return fusion.scoped_fusion_search(embedded(texts(spark, sf), "query_id"), terms(spark, sf, "overlap"), text_vectors(rows), k, scope=rows.select("doc_id"))
 
 
 @query("scoped_fusion_search", f"{L6_SQL} SELECT query_id, rank, doc_id, round(score, 9) AS score, dense_rank, lexical_rank FROM fused WHERE rank <= 10")

@@ -136,7 +136,7 @@ def _loops(spark, sf):
 def _consolidate(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").withColumn("embedding", vx.hash_embedding(F.col("text"), DIM))
     summaries, replaced = co.consolidate_clusters(d)
-    return summaries.select("cell", "cluster", "n", F.length("text").alias("n_chars"))
+    return summaries.select("cluster", "n", F.length("text").alias("n_chars"))
 
 
 MODES_SQL = """modes AS (SELECT event_type AS mode, quantile_cont(value, 0.5) AS p50_ms, quantile_cont(value, 0.95) AS p95_ms, round(1 - avg(value) / 400, 6) AS recall_at_k,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echotrail.functions import vectors as vx
+from echotrail.plans.governance_queries import QUEUE_CTE, planted
 from echotrail.plans.inputs import table
 from echotrail.plans.registry import SQL, query
 from echotrail.plans.report_queries import states
@@ -204,6 +205,20 @@ def _sweep(spark, sf):
     return vault.rows("main").select("doc_id")
 
 
+@query("consolidation_run", f"WITH {QUEUE_CTE} SELECT doc_id, class, outgoing FROM queue")
+def _consolidation_run(spark, sf):
+    """Documents arrive in batches that each set off a consolidation: the queue of all runs, as far as summaries stand for what they replaced."""
+    rows = planted(spark, sf).select("doc_id", F.col("text").alias("document"))
+    arriving = as_stream(spark, rows, "doc_id").withColumn("embedding", vx.hash_embedding(F.coalesce("document", F.lit("")), 64))
+    vault = Vault(spark, scratch_path(spark, "vault"))
+    run_batches(arriving, jobs.consolidation_sink(vault, every=1))
+    stood_for = jobs.consolidated(vault, "summaries").agg(F.sum("n")).first()[0]
+    replaced = jobs.consolidated(vault, "replaced")
+    if stood_for is not None and stood_for != replaced.select("doc_id").distinct().count():
+        raise ValueError("summaries and replaced documents differ")
+    return jobs.consolidated(vault, "queue").select("doc_id", "class", "outgoing")
+
+
 @query("consolidation_trigger", """SELECT (count(*) // 500)::BIGINT AS runs, count(*) AS events FROM events""")
 def _trigger(spark, sf):
     """Events arrive in several files; each five hundred set off one consolidation."""

@@ -10,7 +10,7 @@ from echotrail.plans.inputs import rows_sql, table, vault_rows
 from echotrail.plans.registry import query
 from echotrail.plans.search_queries import DIM, ENTROPY_SQL, hash_sql
 from echotrail.session import cut_lineage
-from echotrail.sources import files, vault as vt
+from echotrail.sources import files, npy, vault as vt
 
 
 @query("read_documents", """SELECT CASE WHEN label < 4 THEN 'item ' || vec_id WHEN label < 6 THEN vec_id::VARCHAR WHEN label < 7 THEN '' ELSE 'line ' || vec_id END AS document,
@@ -56,6 +56,32 @@ def _matrix(spark, sf):
     return m.select("row", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+@query("read_npy_matrix", "SELECT vec_id AS row, len(embedding)::INT AS dim, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings")
+def _npy(spark, sf):
+    """Every task writes its vectors as a matrix file; all files are read back by byte ranges."""
+    path = npy.local_path(files.scratch_path(spark, "npy"))
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding").repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id")
+
+    def save(batches):
+        import os
+
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        from echotrail.operators.kernels import to_matrix
+
+        parts = [to_matrix(b.column(1)) for b in batches if b.num_rows]
+        if parts:
+            os.makedirs(path, exist_ok=True)
+            np.save(f"{path}/part-{TaskContext.get().partitionId():05d}.npy", np.concatenate(parts).astype("<f4"))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(p) for p in parts)], pa.int64())})
+
+    e.mapInArrow(save, "n long").agg(F.sum("n")).first()
+    m = npy.read_npy(spark, path, split_bytes=32 * 1024)
+    return m.select("row", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 def batch(spark, sf):
     """Documents as an ingest batch: ids repeat for equal texts, one label's vectors are broken."""
     d = table(spark, sf, "documents")

@@ -7,12 +7,16 @@ deletion rewrites stored rows.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echotrail.functions import vectors as vx
 from echotrail.operators.events import MAX_METADATA_BYTES, MAX_TEXT_BYTES, instant
+from echotrail.operators.term_index import TermIndex
 from echotrail.session import small_side
 
 KEY = ["collection", "doc_id"]
@@ -254,6 +258,35 @@ class Vault:
         row = self.spark.createDataFrame([(collection, model, dim)], "collection string, embedding_model string, embedding_dim int")
         row.withColumn("pinned_at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/collections")
 
+    INDEXED = T.StructType([T.StructField("collection", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("folder", T.StringType())])
+
+    def terms(self, collection: str, kind: str = "bm25") -> TermIndex:
+        """The inverted index of a collection. The first call builds it; ingest and deletion then keep it."""
+        held = self._read("indexed", self.INDEXED).filter((F.col("collection") == collection) & (F.col("kind") == kind)).first()
+        if held is not None:
+            return TermIndex.open(self.spark, held["folder"])
+        folder = f"{self.path}/terms/{uuid.uuid4().hex}"
+        index = TermIndex.create(self.spark, folder, kind)
+        index.append(self.rows(collection).select("doc_id", F.col("document").alias("text")))
+        self.spark.createDataFrame([(collection, kind, folder)], self.INDEXED).coalesce(1).write.mode("append").parquet(f"{self.path}/indexed")
+        return index
+
+    def complete_terms(self) -> None:
+        """Index the stored rows that an interrupted ingest left out of their collection's indexes."""
+        for r in self._read("indexed", self.INDEXED).collect():
+            index = TermIndex.open(self.spark, r["folder"])
+            known = index.shards().select(F.explode("ids").alias("doc_id"))
+            missing = self.rows(r["collection"]).select("doc_id", F.col("document").alias("text")).join(known, "doc_id", "left_anti")
+            if missing.limit(1).count():
+                index.append(missing)
+
+    def _each_index(self, rows: DataFrame, change: Callable[[TermIndex, DataFrame], int]) -> None:
+        """``change`` every index of the collections in ``rows(collection, doc_id, document)``, which must be stored."""
+        for r in self._read("indexed", self.INDEXED).collect():  # one row per index that a caller asked for
+            mine = rows.filter(F.col("collection") == r["collection"]).select("doc_id", F.col("document").alias("text"))
+            if mine.limit(1).count():
+                change(TermIndex.open(self.spark, r["folder"]), mine)
+
     def ingest(self, batch: DataFrame, model: str | None = None) -> dict[str, int]:
         """Append the new rows of a batch and say what became of all others.
 
@@ -283,6 +316,7 @@ class Vault:
                 accepted = accepted.withColumn(name, value)
         typed = accepted.select(*[F.col(f.name).cast(f.dataType) for f in self.SCHEMA])
         typed.write.mode("append").partitionBy("collection").parquet(f"{self.path}/documents")
+        self._each_index(parts["accepted"], TermIndex.append)
         return counts
 
     def forget(self, ids: DataFrame, collection: str | None = None) -> int:
@@ -293,10 +327,12 @@ class Vault:
             ids = ids.select(F.lit(collection).alias("collection"), "doc_id")
         elif "collection" not in ids.columns:
             raise ValueError("say in which collection the ids are to be forgotten")
-        _, gone = forget(self.rows(collection), ids)
+        rows = self.rows(collection)
+        _, gone = forget(rows, ids)
         gone = cut_lineage(gone.select(*[f.name for f in self.TOMBSTONE]))
         count = gone.count()
         if count:
+            self._each_index(cut_lineage(rows.join(small_side(gone, 128), KEY, "left_semi").select(*KEY, "document")), TermIndex.forget)
             gone.write.mode("append").parquet(f"{self.path}/tombstones")
         return count
 

@@ -45,12 +45,16 @@ def dedupe_stream(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return ps.run_stateful(hashed, key, ps.ConsecutiveRepeats(), order, _with(hashed.schema)).drop("content_digest")
 
 
-def daily_cap_stream(requests: DataFrame, key: str, ts: str, order: list[str], cap: int = 50) -> DataFrame:
-    """Mark requests within the cap of their key and day. Late rows count for their own day."""
+def daily_cap_stream(requests: DataFrame, key: str, ts: str, order: list[str], cap: int = 50, late: str = "2 days") -> DataFrame:
+    """Mark requests within the cap of their key and day. Late rows count for their own day.
+
+    A row may be ``late`` behind the newest one. A row that is later still gets no verdict, and callers refuse what
+    has none; the counts of days that no row can reach any more leave the state.
+    """
     dated = requests.withColumn("day", F.date_format(ts, "yyyy-MM-dd"))
     schema = _with(dated.schema, ("allowed", T.BooleanType()))
-    dated = dated.withColumn("_budget", F.to_json(F.struct(key, "day")))
-    return ps.run_stateful(dated, "_budget", ps.DailyBudget(cap), order, schema)
+    dated = dated.withColumns({"_budget": F.to_json(F.struct(key, "day")), "_at": F.col(ts).cast("timestamp")}).withWatermark("_at", late)
+    return ps.run_stateful(dated, "_budget", ps.DailyBudget(cap), order, schema, "EventTime")
 
 
 def replay_guard(payloads: DataFrame, devices: DataFrame, order: list[str]) -> DataFrame:
@@ -265,6 +269,57 @@ def consolidation_trigger(vault: Vault, action: Callable[[int], None], every: in
     return count
 
 
+def consolidation_sink(vault: Vault, every: int = 500, clusters: int | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that consolidates and queues what came since the last time, at every ``every`` new events.
+
+    The batch has ``doc_id, document, embedding``. Its rows are kept in a folder of its own until a run takes
+    them. A run writes summary documents, the ids they replace and the enrichment queue beside each other and
+    then one row that makes all three count, so a batch that is repeated writes the same folders again and
+    changes nothing once its row is there. Read the results with ``consolidated``.
+    """
+    from echotrail.operators.consolidate import consolidate_clusters
+    from echotrail.operators.governance import enrichment_queue
+
+    counted = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("n", T.LongType())])
+    done = T.StructType([T.StructField("batch_id", T.LongType())])
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = vault.spark
+        counters = vault._read("counters", counted).filter(F.col("batch_id") <= batch_id)
+        held = {r["batch_id"]: r["n"] for r in counters.collect()}  # one row per batch of this stream
+        if batch_id in held:
+            return
+        with kept_aside(spark):
+            arrived = f"{vault.path}/arrived/{batch_id}"
+            batch.select("doc_id", "document", "embedding").write.mode("overwrite").parquet(arrived)
+            n, before = spark.read.parquet(arrived).count(), sum(held.values())
+            runs = {r["batch_id"] for r in vault._read("runs", done).collect()}
+            if (before + n) // every > before // every and batch_id not in runs:
+                last = max((r for r in runs if r < batch_id), default=-1)
+                fresh = [f"{vault.path}/arrived/{b}" for b in sorted(held) if b > last] + [arrived]
+                rows = spark.read.parquet(*fresh)
+                summaries, replaced = consolidate_clusters(rows.select("doc_id", F.col("document").alias("text"), "embedding"), clusters)
+                out = f"{vault.path}/consolidated/{batch_id}"
+                for name, table in (("summaries", summaries), ("replaced", replaced), ("queue", enrichment_queue(rows))):
+                    table.write.mode("overwrite").parquet(f"{out}/{name}")
+                spark.createDataFrame([(batch_id,)], done).write.mode("append").parquet(f"{vault.path}/runs")
+            spark.createDataFrame([(batch_id, n)], counted).write.mode("append").parquet(f"{vault.path}/counters")
+
+    return run
+
+
+def consolidated(vault: Vault, name: str) -> DataFrame:
+    """``summaries``, ``replaced`` or ``queue`` of all finished runs, with the ``batch_id`` that set them off."""
+    runs = sorted({r["batch_id"] for r in vault._read("runs", T.StructType([T.StructField("batch_id", T.LongType())])).collect()})
+    if not runs:
+        raise ValueError("nothing was consolidated yet")
+    parts = [vault.spark.read.parquet(f"{vault.path}/consolidated/{b}/{name}").withColumn("batch_id", F.lit(b).cast("long")) for b in runs]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def traceback_triggers(captured: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows that show a traceback, with their last ten lines as ``query``; repeats of a text are skipped."""
     shown = captured.filter(F.col("text").contains("Traceback (most recent call last):") | F.col("text").contains("Exception:"))

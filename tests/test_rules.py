@@ -270,11 +270,15 @@ def test_consolidation_replaces_only_groups(spark):
     centre = np.eye(4) * 10
     rows = [(i, f"text {i}" if i else "  ", [float(v) for v in centre[i % 4] + rng.normal(0, 0.01, 4)]) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, embedding array<double>")
-    for cell in (4096, 16):
-        summaries, replaced = consolidate_clusters(docs, 8, cell_rows=cell)
+    seen = []
+    for limit in (None, 1500):  # broadcast centres, and both sides in blocks
+        summaries, replaced = consolidate_clusters(docs, 8, limit=limit)
+        seen.append(sorted(r["text"] for r in summaries.collect()))
         total = summaries.agg(F.sum("n")).first()[0]
         assert total == replaced.count() == replaced.distinct().count() and replaced.filter("doc_id = 0").count() == 0
         assert all(r["text"].startswith("Consolidated Summary:\n") and r["text"].count("\n") == r["n"] for r in summaries.collect())
+        assert all(len({int(t.split()[1]) % 4 for t in r["text"].split("\n")[1:]}) == 1 for r in summaries.collect())
+    assert seen[0] == seen[1]
 
 
 def test_share_view_keeps_types(spark):

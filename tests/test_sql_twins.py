@@ -12,7 +12,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 # inputs; TEST_EVERYTHING=1 runs them too.
 EVERYTHING = os.environ.get("TEST_EVERYTHING") == "1"
 STREAMS = {"drift_guard_stream", "shell_history_stream", "daily_cap_stream", "capture_stream", "replay_guard", "knowledge_inbox",
-           "import_increment", "retention_sweep", "consolidation_trigger"}
+           "import_increment", "retention_sweep", "consolidation_trigger", "consolidation_run"}
 TWINS = sorted(n for n in set(entry.queries()) & set(entry.oracle_sql()) if EVERYTHING or n not in STREAMS)
 ROWS_ONLY = sorted(set(entry.queries()) - set(entry.oracle_sql())) if EVERYTHING else []
 

@@ -73,3 +73,41 @@ def test_counting_trigger_ignores_repeats(spark):
     for batch_id in (0, 1, 1, 2):
         sink(batch, batch_id)
     assert len(fired) == 2
+
+
+def test_consolidation_runs_once_per_trigger(spark):
+    from pyspark.sql import functions as F
+
+    from echotrail.functions import vectors as vx
+    from echotrail.operators.consolidate import consolidate_clusters
+    from echotrail.operators.governance import enrichment_queue
+
+    vault = Vault(spark, scratch_path(spark, "v"))
+    sink = jobs.consolidation_sink(vault, every=10)
+    rows = spark.range(24).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 5).alias("document"))
+    rows = rows.withColumn("embedding", vx.hash_embedding(F.col("document"), 16)).cache()
+    for batch_id in (0, 1, 1, 2, 0, 3, 3):  # 6 + 6 set one off, 6 do not, 6 more do
+        sink(rows.filter(F.floor(F.col("doc_id") / 6) == batch_id), batch_id)
+    assert sorted({r["batch_id"] for r in jobs.consolidated(vault, "queue").collect()}) == [1, 3]
+    for batch_id, part in ((1, rows.filter("doc_id < 12")), (3, rows.filter("doc_id >= 12"))):
+        summaries, replaced = consolidate_clusters(part.withColumnRenamed("document", "text"))
+        own = lambda name: jobs.consolidated(vault, name).filter(F.col("batch_id") == batch_id).drop("batch_id")
+        assert sorted(r["text"] for r in own("summaries").collect()) == sorted(r["text"] for r in summaries.collect())
+        assert {r["doc_id"] for r in own("replaced").collect()} == {r["doc_id"] for r in replaced.collect()}
+        assert {r["doc_id"] for r in own("queue").collect()} == {r["doc_id"] for r in enrichment_queue(part).collect()}
+
+
+def test_budget_state_holds_open_days_only(spark):
+    """Two keys over thirty days, one batch a day, one row four days late and one a day late."""
+    rows = [(d * 10 + i, k, datetime(2024, 1, 1) + timedelta(days=d, hours=i), d) for d in range(30) for k in ("a", "b") for i in range(3)]
+    rows += [(9001, "a", datetime(2024, 1, 15, 12), 15), (9002, "a", datetime(2024, 1, 11, 12), 15)]
+    df = spark.createDataFrame(rows, "event_id int, k string, ts timestamp, b int")
+    out = scratch_path(spark, "out")
+    stream = jobs.daily_cap_stream(many_files(spark, df, "b", 30), "k", "ts", ["event_id"], 2, late="2 days")
+    job = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    got = {(r["event_id"], r["k"]): r["allowed"] for r in spark.read.parquet(out).collect()}
+    assert got[(9001, "a")] is False and (9002, "a") not in got
+    assert len(got) == 30 * 3 * 2 + 1 and sum(got.values()) == 30 * 2 * 2
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress if p["stateOperators"]]
+    assert held[-1] <= 3 * max(held[:4])
