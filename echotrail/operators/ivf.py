@@ -242,6 +242,33 @@ class StoredIvf:
         rows = self.vectors().filter(F.col("part").isin(wanted))
         return scan(probing, rows, k, "cosine", False, tolerance, parts=len(self.centroids()), limit=limit)
 
+    def tune(self, k: int = 10, target: float = 0.9, sample: int = 64) -> int:
+        """Fewest nearest parts that hold ``target`` of the true neighbours of ``sample`` stored rows; kept for ``search_near``.
+
+        The rows with the least hashes are searched exactly; where their neighbours lie says how far probing has to go.
+        """
+        rows = self.vectors()
+        asked = rows.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("query_id"), "embedding")
+        asked = written(asked)
+        found = take_top(scan(asked, rows, k, tolerance=None), k).select("query_id", "doc_id")
+        held = found.join(rows.select("doc_id", "part"), "doc_id").collect()  # sample x k rows
+        centroids = self.centroids()
+        table = asked.toArrow()
+        near = unit_rows(to_matrix(table.column("embedding"))) @ centroids.T
+        place = np.argsort(np.argsort(-near, axis=1, kind="stable"), axis=1, kind="stable")
+        row = {q: i for i, q in enumerate(table.column("query_id").to_pylist())}
+        needed = np.sort([place[row[r["query_id"]], r["part"]] + 1 for r in held])
+        probes = int(needed[max(0, math.ceil(target * len(needed)) - 1)]) if len(needed) else 1
+        self.spark.createDataFrame([(probes, target)], "probes int, target double").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/tuned")
+        return probes
+
+    def search_near(self, queries: DataFrame, k: int = 10, tolerance: float | None = 0.5, limit: int | None = None) -> DataFrame:
+        """Approximate ``(query_id, rank, doc_id, score, distance)`` from as many parts as ``tune`` found necessary."""
+        probes = self.spark.read.parquet(f"{self.path}/tuned").first()["probes"]
+        probing = written(self._probing(queries.select("query_id", "embedding"), None, probes))
+        hits = take_top(self._found(probing, k, tolerance, limit), k)
+        return hits.select("query_id", "rank", "doc_id", "score", (1.0 - F.col("score")).alias("distance"))
+
     def search(self, queries: DataFrame, k: int = 10, first: int = PROBES, tolerance: float | None = 0.5, limit: int | None = None) -> DataFrame:
         """Exact ``(query_id, rank, doc_id, score, distance, parts_read)``; ``parts_read`` says what the stop saved."""
         probes = written(self._probing(queries.select("query_id", "embedding"), None, first))

@@ -255,3 +255,28 @@ def test_vault_rebuild_keeps_ids_and_times(spark, folder):
     pick = ["doc_id", "document", "metadata", "created_at"]
     assert new.rows().select(*pick).exceptAll(vault.rows().select(*pick)).count() == 0
     assert all(len(r["embedding"]) == 16 and r["entropy"] > 0 for r in new.rows().collect())
+
+
+def clustered(spark, n, seed=1):
+    """Rows near fifty directions, as embeddings of topics are."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((50, 24))[rng.integers(0, 50, n)] + 0.15 * rng.standard_normal((n, 24))
+    rows = [(int(i), [float(v) for v in r]) for i, r in enumerate(x)]
+    return x, spark.createDataFrame(rows, "doc_id bigint, embedding array<double>")
+
+
+@pytest.mark.parametrize("n", [600, 2400])
+def test_stored_ivf_is_exact_and_skips_parts(spark, folder, n):
+    x, docs = clustered(spark, n)
+    index = ivf.StoredIvf.create(docs.filter("doc_id % 4 > 0"), folder, parts=40, iterations=4)
+    index.append(docs.filter("doc_id % 4 = 0"))
+    q = x[::37]
+    queries = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(q)], "query_id int, embedding array<double>")
+    got = index.search(queries, 5, first=2, tolerance=None)
+    assert ranked(got) == brute(x, q, 5)
+    assert got.agg(F.avg("parts_read")).first()[0] < 20
+    many = index.search(queries, 5, first=2, tolerance=None, limit=4000)
+    assert ranked(many) == brute(x, q, 5)
+    probes = index.tune(5, 0.95)
+    near, exact = ranked(index.search_near(queries, 5, tolerance=None)), brute(x, q, 5)
+    assert probes < 20 and sum(len(set(near[i]) & set(exact[i])) for i in range(len(q))) >= 0.9 * 5 * len(q)
