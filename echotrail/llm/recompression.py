@@ -270,6 +270,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     context = spark.sparkContext
+    # Each step's table is written out, so its shuffle files need not wait for the driver's garbage collector.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     rows = docs.select(name(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     named = rows.filter(F.col("doc_id").isNotNull())
     total, size = named.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
