@@ -8,6 +8,7 @@ machine and is folded along each key.
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass, field
 from itertools import accumulate
 
@@ -284,6 +285,92 @@ def guard_views(values: np.ndarray, guard: Guard, s: DriftSettings) -> tuple[np.
     return drifting, reason, baseline
 
 
+# Keys with fewer rows than this are walked in plain numbers; vectors pay from here on.
+GUARD_WALK = 256
+
+
+def _walk(residuals: list[float], seen: list[bool], guard: Guard, s: DriftSettings, active: list, reasons: list, baselines: list) -> None:
+    """Appends the guard's view after each row: ``guard_views`` for few rows, with the same sums in the same order."""
+    values = [max(0.0, v) for v, ok in zip(residuals, seen) if ok]
+    held = guard.tail + values
+    sums = [0.0, *accumulate(held)]
+    n = len(guard.tail)
+    window, half, baseline = s.window, 2 * s.min_samples, guard.baseline
+    # The Page-Hinkley sum starts anew from ``climb`` at every stretch.
+    count, total, excess, low = guard.climb
+    steps, part, gone = 0, 0.0, 0.0
+    at = 0
+    shown = math.nan if baseline is None else baseline
+    for ok in seen:
+        if ok:
+            x = values[at]
+            at += 1
+            end = n + at
+            size = min(end, window)
+            begin, middle = end - size, end - size + size // 2
+            level = (sums[end] - sums[begin]) / size
+            steps, part = steps + 1, part + x
+            gone += x - (total + part) / (count + steps) - s.ph_delta
+            now = excess + gone
+            low = min(low, now)
+            ends = False
+            if baseline is None:
+                guard.reason, shown = "insufficient_samples", math.nan
+                if size >= s.min_samples:
+                    guard.reason, baseline, ends = "baseline_established", level, True
+                    shown = baseline
+            elif guard.drifting:
+                fine = level <= baseline * (1.0 + s.relative / 2)
+                guard.good = guard.good + 1 if fine else 0
+                guard.reason, shown = "recovering" if fine else "residual_drift", baseline
+                if guard.good >= s.recovery:
+                    guard.reason, guard.drifting, baseline = "recovered", False, level
+                    shown = baseline
+                    count = total = excess = low = part = gone = now = 0.0
+                    steps = 0
+            else:
+                above = (level - baseline) / max(abs(baseline), 1e-8)
+                rise = 0.0
+                if size >= half:
+                    older = (sums[middle] - sums[begin]) / max(size // 2, 1)
+                    rise = ((sums[end] - sums[middle]) / max(size - size // 2, 1) - older) / max(abs(older), 1e-8)
+                if above >= s.relative or rise >= s.relative or now - low >= s.ph_threshold:
+                    guard.reason, guard.drifting, guard.good, ends = "residual_drift", True, 0, True
+                else:
+                    guard.reason, baseline = "stable", 0.95 * baseline + 0.05 * level
+                shown = baseline
+            if ends:
+                count, total, excess = count + steps, total + part, now
+                steps, part, gone = 0, 0.0, 0.0
+        active.append(guard.drifting)
+        reasons.append(guard.reason)
+        baselines.append(shown)
+    guard.baseline = baseline
+    guard.climb = [float(count + steps), total + part, excess + gone, low]
+    guard.tail = held[-window:]
+
+
+def drift_keys(rows: pd.DataFrame, starts: list[int], before: list[str | None], s: DriftSettings) -> tuple[pd.DataFrame, list[str]]:
+    """``drift_rows`` for many keys at once: the rows of key ``i`` begin at ``starts[i]``, its guard was ``before[i]``."""
+    seen = ((rows["route"] == "cloud") & rows["is_aligned"].fillna(False).astype(bool)).tolist()
+    residuals = rows["residual"].astype(float).tolist()
+    active: list[bool] = []
+    reasons: list[str] = []
+    baselines: list[float] = []
+    after = []
+    for start, end, text in zip(starts, [*starts[1:], len(rows)], before):
+        guard = Guard.load(text)
+        if end - start < GUARD_WALK and not any(v != v for v in residuals[start:end]):
+            _walk(residuals[start:end], seen[start:end], guard, s, active, reasons, baselines)
+        else:
+            shown = drift_rows(rows.iloc[start:end], guard, s)
+            active += shown["drift_active"].tolist()
+            reasons += shown["drift_reason"].tolist()
+            baselines += shown["drift_baseline"].tolist()
+        after.append(guard.dump())
+    return rows.assign(drift_active=active, drift_reason=reasons, drift_baseline=baselines), after
+
+
 def drift_rows(rows: pd.DataFrame, guard: Guard, s: DriftSettings) -> pd.DataFrame:
     """Adds the guard's view after each of the ordered ``rows``; only aligned rows of the cloud route are observed."""
     first = (guard.drifting, guard.reason, np.nan if guard.baseline is None else guard.baseline)
@@ -310,4 +397,7 @@ def residual_drift_guard(df: DataFrame, key: str, order: list[str], settings: Dr
         out = drift_rows(rows, guard, settings)
         return out, guard.dump()
 
-    return fold_ordered(df, [key], order, step, drift_schema(df), CHUNK_ROWS if slice_rows is None else slice_rows)
+    def many(rows: pd.DataFrame, starts: list[int], before: list[str | None]):
+        return drift_keys(rows, starts, before, settings)
+
+    return fold_ordered(df, [key], order, step, drift_schema(df), CHUNK_ROWS if slice_rows is None else slice_rows, many)
