@@ -303,12 +303,11 @@ class Vault:
             if wrong:
                 raise ValueError("the batch has vectors of another model or dimension than its collection")
         stored = self._read("documents", self.SCHEMA)
-        parts = {k: cut_lineage(v) for k, v in ingest_documents(batch, stored, self.tombstones()).items()}
-        counts = {k: v.count() for k, v in parts.items()}
+        counts, fresh = self._sort_out(batch, stored)
         if not counts["accepted"]:
             return counts
         last = stored.agg(F.max("row_id")).first()[0] or 0
-        accepted = ordered_positions(parts["accepted"].drop("row_id"), [], ["pos", *KEY], "_nth")
+        accepted = ordered_positions(fresh.drop("row_id"), [], ["pos", *KEY], "_nth")
         accepted = accepted.withColumn("row_id", F.col("_nth") + last).drop("pos", "_nth")
         defaults = {"entropy": F.lit(None).cast("double"), "metadata": F.lit("{}"), "created_at": F.current_timestamp(), "last_accessed": F.current_timestamp()}
         for name, value in defaults.items():
@@ -316,9 +315,35 @@ class Vault:
                 accepted = accepted.withColumn(name, value)
         typed = accepted.select(*[F.col(f.name).cast(f.dataType) for f in self.SCHEMA])
         typed.write.mode("append").partitionBy("collection").parquet(f"{self.path}/documents")
-        self._each_index(parts["accepted"], TermIndex.append)
+        self._each_index(fresh, TermIndex.append)
         return counts
 
+    def _sort_out(self, batch: DataFrame, stored: DataFrame) -> tuple[dict[str, int], DataFrame]:
+        """What ``ingest_documents`` says of a batch: how many rows of each kind, and the accepted ones.
+
+        Ids of the batch choose the stored and the forgotten keys that matter, so what was stored before is read by its
+        keys alone and not shuffled. Every row is made once.
+        """
+        from echotrail.session import cut_lineage
+
+        rows = cut_lineage(batch.withColumns({
+            "doc_id": F.coalesce("doc_id", default_id(F.col("document"))), "_good": vx.is_finite_vector(F.col("embedding"))}))
+        asked = small_side(rows.select(*KEY).distinct(), 64)
+
+        def held(keys: DataFrame, mark: str) -> DataFrame:
+            return cut_lineage(keys.select(*KEY).join(asked, KEY, "left_semi").distinct().withColumn(mark, F.lit(True)))
+
+        gone, known = held(self.tombstones(), "_gone"), held(stored, "_known")
+        marked = rows.join(small_side(gone, 64), KEY, "left").join(small_side(known, 64), KEY, "left")
+        marked = marked.withColumns({"_gone": F.coalesce("_gone", F.lit(False)), "_known": F.coalesce("_known", F.lit(False))})
+        is_new = F.coalesce("_good", F.lit(False)) & ~F.col("_gone") & ~F.col("_known")
+        accepted = cut_lineage(first_per_key(marked.filter(is_new), KEY).drop("_good", "_gone", "_known"))
+        totals = marked.agg(
+            F.count_if(F.col("_gone")).alias("forgotten"), F.count_if(~F.col("_gone") & ~F.col("_good")).alias("invalid"),
+            F.count_if(~F.col("_gone") & F.col("_good")).alias("good")).first()
+        n = accepted.count()
+        return {"accepted": n, "known": totals["good"] - n, "forgotten": totals["forgotten"], "invalid": totals["invalid"]}, accepted
+
     def forget(self, ids: DataFrame, collection: str | None = None) -> int:
         """Remember ids as deleted, inside one collection or in those that ``ids(collection, doc_id)`` names."""
         from echotrail.session import cut_lineage

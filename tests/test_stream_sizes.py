@@ -67,3 +67,31 @@ def test_report_searches_once(spark):
     got = ev.hit_report(cases, rows.mapInArrow(search, rows.schema)).first()
     assert got["answerable_queries"] == 4 and abs(got["mrr_at_10"] - 1 / 3) < 1e-9
     assert calls.value == 40
+
+
+def test_ingest_counts_follow_the_contract(spark, folder):
+    from echotrail.sources.vault import Vault, ingest_documents
+
+    vault = Vault(spark, folder)
+    rows = spark.range(60).select(F.col("id").alias("pos"), F.lit("main").alias("collection"), F.concat(F.lit("d"), F.col("id") % 40).alias("doc_id"),
+                                  F.lit("text").alias("document"), F.array(F.when(F.col("id") % 9 == 4, float("nan")).otherwise(1.0).cast("float")).alias("embedding"))
+    vault.ingest(rows.filter("pos < 10"))
+    vault.forget(spark.createDataFrame([("d1",), ("d2",)], "doc_id string"), "main")
+    want = {k: v.count() for k, v in ingest_documents(rows, vault._read("documents", Vault.SCHEMA), vault.tombstones()).items()}
+    assert vault.ingest(rows) == want and min(want.values()) > 0
+    assert vault.ingest(rows)["accepted"] == 0
+
+
+def test_capture_reads_only_stored_events_that_come_again(spark, folder, monkeypatch):
+    from echotrail.functions import vectors as vx
+    from echotrail.sources.vault import Vault
+
+    vault, seen = Vault(spark, folder), []
+    plain = jobs.add_events
+    monkeypatch.setattr(jobs, "add_events", lambda batch, existing: seen.append(existing.count()) or plain(batch, existing))
+    sink = jobs.capture_sink(vault, lambda t: vx.hash_embedding(t, 8))
+    for batch_id, (low, high) in enumerate([(0, 50), (50, 90), (85, 100)]):
+        sink(spark.range(low, high).select(
+            F.col("id").alias("pos"), F.concat(F.lit("clip_"), F.col("id")).alias("id"), F.lit("clipboard").alias("type"), F.lit("s").alias("source"),
+            F.lit(None).cast("string").alias("project"), F.lit("text").alias("text"), F.lit("{}").alias("metadata"), F.lit(None).cast("timestamp").alias("timestamp")), batch_id)
+    assert seen == [0, 0, 5] and vault.rows("main").count() == 100
