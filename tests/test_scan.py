@@ -91,3 +91,22 @@ def test_cells_share_the_work_and_are_bounded(rows):
         assert max(rows / q, rows / c) * 8 * 64 <= 1.01 * nn.CELL_BYTES and rows / q * 128 * keep <= 1.01 * nn.STATE_BYTES
         # What is shuffled: every side once per block of the other, and the best pairs of every cell.
         assert rows * (q + c) * 320 + rows * c * keep * 32 < 60e9
+
+
+@pytest.mark.parametrize("tile", [2_000_000, 700])
+def test_nearest_row_of_every_query(monkeypatch, tile):
+    """A search of one neighbour scores few pairs exactly, copies and zero vectors included."""
+    monkeypatch.setattr(kn, "TILE", tile)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((3000, 64))
+    x[500:700] = x[3]
+    q = np.concatenate([x[[3, 600, 50]], rng.standard_normal((200, 64)), np.zeros((1, 64))])
+    ids, pairs = rng.permutation(3000), []
+    block = kn.QueryBlock(np.arange(len(q)), q, "cosine", False, 1, None)
+    exact = block.metric.exact
+    block.metric.exact = lambda near, rows, queries, at: pairs.append(len(at)) or exact(near, rows, queries, at)
+    query, score, found, _ = block.scan([(ids[s], x[s], None, None, None) for s in (slice(0, 7), slice(7, 1500), slice(1500, 3000))], False).settle()
+    every = kn.cosine_scores(q, x).T
+    best = [np.lexsort((ids, -row))[0] for row in every]
+    assert found.tolist() == ids[best].tolist() and np.allclose(score, every[query, best], atol=2e-9)
+    assert sum(pairs) < 10 * len(q) + 2 * 3000
