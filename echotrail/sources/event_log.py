@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echotrail.operators.events import as_instant, before_cursor, event_summary, filter_scope, timeline_page
-from echotrail.session import cut_lineage, small_side
+from echotrail.session import cut_lineage, discard, small_side, written
 
 ROWS_PER_FILE = 1_000_000
 # A file lists the sources and projects in it if they are no more than this.
@@ -62,7 +62,16 @@ class EventLog:
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
 
     def append(self, events: DataFrame, rows_per_file: int = ROWS_PER_FILE, replaces: list[int] = ()) -> int:
-        """Write ``events`` as one more segment and return its number. One writer at a time."""
+        """Write ``events`` as one more segment and return its number. One writer at a time.
+
+        Range partitioning reads its input twice, so the events are worked out once and kept aside.
+        """
+        aside = written(events)
+        segment = self._store(aside, rows_per_file, replaces)
+        discard(aside)
+        return segment
+
+    def _store(self, events: DataFrame, rows_per_file: int, replaces: list[int]) -> int:
         segment = max(self._numbers(), default=0) + 1
         folder = f"{self.path}/events/{segment}"
         ordered = events.repartitionByRange("timestamp", "id").sortWithinPartitions("timestamp", "id")
@@ -215,4 +224,4 @@ class EventLog:
         """
         old = self.segments()
         every = [r["file"] for r in self._tables("files", FILES).select("file").toLocalIterator()]
-        return self.append(self._read(every), rows_per_file, replaces=old)
+        return self._store(self._read(every), rows_per_file, old)
