@@ -99,6 +99,9 @@ def pii_patterns(c: dict[str, str] = JVM) -> dict[str, str]:
     }
 
 
+# A text with none of these strings holds no hit of the label's pattern above.
+PII_NEEDS = {"EMAIL": ["@"], "NAME": ["Mr.", "Ms.", "Mrs.", "Dr.", "Prof."]}
+
 # Stop words of the overlap ranking.
 STOP_WORDS = (
     "a an and are as at be by can did do does for from how i in is it my of on or our should "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,15 +38,21 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 def scrub_pii(docs: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
     """Replace personal data label by label, counting the hits that each stage sees.
 
-    ``extra`` adds or replaces labels with caller patterns, applied after the built-in order.
+    ``extra`` adds or replaces labels with caller patterns, applied after the built-in order. Most texts have no hit of
+    most labels; they are searched once by a stage and not rewritten.
     """
     patterns = dict(tx.pii_patterns())
     for label, pattern in (extra or {}).items():
         patterns[label.upper()] = pattern
     out = docs.withColumn("scrubbed", F.col("text"))
     for label, pattern in patterns.items():
-        out = out.withColumn(f"n_{label.lower()}", F.regexp_count("scrubbed", F.lit(pattern)))
-        out = out.withColumn("scrubbed", F.regexp_replace("scrubbed", pattern, f"[REDACTED_{label}]"))
+        count = F.regexp_count("scrubbed", F.lit(pattern))
+        if label in tx.PII_NEEDS and label.lower() not in {e.lower() for e in extra or {}}:
+            some = reduce(Column.__or__, [F.col("scrubbed").contains(needed) for needed in tx.PII_NEEDS[label]])
+            count = F.when(~some, 0).otherwise(count)
+        name = f"n_{label.lower()}"
+        out = out.withColumn(name, count)
+        out = out.withColumn("scrubbed", F.when(F.col(name) > 0, F.regexp_replace("scrubbed", pattern, f"[REDACTED_{label}]")).otherwise(F.col("scrubbed")))
     return out
 
 
