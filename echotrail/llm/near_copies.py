@@ -17,8 +17,8 @@ import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -244,26 +244,28 @@ def remaining_links(members: DataFrame, labels: DataFrame, reps: DataFrame, stor
     apart = left.filter(straggler).select(*columns, F.lit(True).alias("straggler"), F.pmod(spread, "s_blocks").alias("sb"), every("m_blocks").alias("mb"))
     whole = left.select(*columns, F.lit(False).alias("straggler"), F.pmod(spread, "m_blocks").alias("mb"), every("s_blocks").alias("sb"))
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        some, others = rows[rows["straggler"]], rows[~rows["straggler"]]
-        if len(some) and len(others):
-            band = int(rows["band"].iloc[0])
-            matrix = np.frombuffer(b"".join(others["sig"]), np.uint16).reshape(-1, VALUES)
-            nodes, labels_ = others["node"].to_numpy(), others["label"].to_numpy()
-            sets_ = [np.frombuffer(x, np.uint64) for x in others["items"]]
-            for node, label, sig, items in zip(some["node"], some["label"], some["sig"], some["items"]):
-                row, mine, joined = np.frombuffer(sig, np.uint16), np.frombuffer(items, np.uint64), set()
+    def compare(rows: pa.Table) -> pa.Table:
+        left, right = [], []
+        mine = rows.column("straggler")
+        some, others = rows.filter(mine), rows.filter(pc.invert(mine))
+        if some.num_rows and others.num_rows:
+            band = some.column("band")[0].as_py()
+            matrix = _matrix(others.column("sig"))
+            nodes, labels_ = others.column("node").to_numpy(), others.column("label").to_numpy()
+            sets_ = others.column("items")
+            for node, label, sig, items in zip(*(some.column(c).to_pylist() for c in ("node", "label", "sig", "items"))):
+                row, set_, joined = np.frombuffer(sig, np.uint16), np.frombuffer(items, np.uint64), set()
                 other = np.flatnonzero(labels_ != label)
                 other = other[surviving(matrix[other], np.broadcast_to(row, (len(other), VALUES)), percent)]
                 same = (matrix[other] == row).reshape(-1, BANDS, ROWS).all(axis=2)
-                for o, bands in zip(other, same):
-                    if labels_[o] not in joined and bands.argmax() == band and is_link(mine, sets_[o], percent):
+                for o, bands in zip(other.tolist(), same):
+                    if labels_[o] not in joined and bands.argmax() == band and is_link(set_, np.frombuffer(sets_[o].as_py(), np.uint64), percent):
                         joined.add(labels_[o])
-                        found.append((node, nodes[o]))
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+                        left.append(node)
+                        right.append(nodes[o])
+        return pa.table({"u": pa.array(left, pa.int64()), "v": pa.array(right, pa.int64())})
 
-    return written(apart.unionByName(whole).groupBy("key", "sb", "mb").applyInPandas(compare, "u long, v long"))
+    return written(apart.unionByName(whole).groupBy("key", "sb", "mb").applyInArrow(compare, "u long, v long"))
 
 
 def near_components(stored: DataFrame, size: int, percent: int) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,8 +31,9 @@ END_ID = 2
 SEED = 7
 # Rows whose prefix sums one task makes.
 CHUNK = 1024
-CACHE_WORDS = 600_000
-CACHE_LETTERS = 900_000
+# A worker keeps its caches between tasks, beside whatever runs next on its executor.
+CACHE_WORDS = 300_000
+CACHE_LETTERS = 400_000
 # Sequence of other characters than letters, digits and white space; one such run is one piece. The
 # apostrophe is left to the tokenizer, which ties it to what follows.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -83,14 +85,17 @@ class WordTokens:
         """Ids of a word, two bytes each."""
         core = word.strip(PUNCTUATION)
         # Beyond Latin-1, lower case and composition need the tokenizer's own rules, as do its special tokens.
-        if not core.isalpha() or max(core) > "\u00ff" or "<|" in word:
+        plain = core.isascii()
+        if not core.isalpha() or (not plain and max(core) > "\u00ff") or "<|" in word:
             return self._whole(word)
         low = core.lower()
         ids = self.letters.get(low)
         if ids is None:
             if len(self.letters) >= CACHE_LETTERS:
                 self.letters.clear()
-            ids = self.letters[low] = np.asarray([t.id for t in self.tokenizer.model.tokenize(low.encode().decode("latin-1").translate(_BYTE_LEVEL))], np.uint16).tobytes()
+            # ASCII letters are shown as themselves.
+            shown = low if plain else low.encode().decode("latin-1").translate(_BYTE_LEVEL)
+            ids = self.letters[low] = array("H", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         if len(core) == len(word):
             return ids
         at = word.index(core)
