@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from echotrail.operators.kernels import to_matrix
+from echotrail.operators.kernels import lowest_copies, to_ids, to_matrix
 from echotrail.operators.knn import candidate_count, knn, rerank_knn
 from echotrail.session import cut_lineage
 
@@ -29,6 +29,19 @@ def with_code(df: DataFrame, encode, kind: T.DataType) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def lowest_of_code(df: DataFrame, most: int) -> DataFrame:
+    """Rows ``(doc_id, code, ...)`` without those that share a code with ``most`` lower ids of their batch.
+
+    They score as these do and come after them, so no search for ``most`` rows by code alone can find them.
+    """
+    def run(batches):
+        for batch in batches:
+            few = lowest_copies(to_ids(batch.column("doc_id")), to_matrix(batch.column("code")), most) if batch.num_rows else None
+            yield batch if few is None else batch.take(pa.array(few))
+
+    return df.mapInArrow(run, df.schema)
+
+
 @lru_cache(maxsize=4)
 def fly_projection(dim: int, bits: int = FLY_BITS, seed: int = FLY_SEED, links: int = FLY_LINKS):
     """Target bit and weight of each input coordinate's few links, drawn coordinate by coordinate."""
@@ -97,6 +110,10 @@ GOLAY_PARITY = """
 """
 BLOCKS, WIDTH = 32, 24
 LATTICE_SCALE = np.sqrt(8.0)
+# The words differ in 6 places or more, so points lie at least sqrt(24) apart, and one whose squared distance is below 6 is the
+# nearest; some room for rounding.
+SURE = 5.5
+ROWS_AT_ONCE = 1024
 
 
 @lru_cache(maxsize=1)
@@ -123,8 +140,17 @@ def nearest_lattice(y: np.ndarray, step: int = 16) -> np.ndarray:
     largest error moves one step of 4 towards its value, which adds ``16 - 8 * |error|`` to the cost.
 
     A word's cost, sum and largest error come from tables over six coordinates each, so a row costs a
-    few operations per word instead of one per word and coordinate.
+    few operations per word instead of one per word and coordinate. A row that lies within half the least distance
+    of the nearest multiples of 4 needs no words.
     """
+    out = 4.0 * np.rint(np.asarray(y, dtype=np.float64) / 4.0)
+    far = np.flatnonzero((np.mod(out.sum(axis=1), 8.0) != 0.0) | ~(((y - out) ** 2).sum(axis=1) < SURE))
+    if len(far):
+        out[far] = _nearest_by_words(y[far], step)
+    return out
+
+
+def _nearest_by_words(y: np.ndarray, step: int) -> np.ndarray:
     words = golay_words().astype(bool)
     six, parity = _word_tables()
     out = np.empty_like(y, dtype=np.float64)
@@ -173,6 +199,8 @@ def lattice_codes(x: np.ndarray, noise_scale: float = 0.1, seed: int = 42) -> np
     n, dim = x.shape
     if dim % BLOCKS:
         raise ValueError("dimension must be divisible by 32")
+    if n > ROWS_AT_ONCE:
+        return np.concatenate([lattice_codes(x[i:i + ROWS_AT_ONCE], noise_scale, seed) for i in range(0, n, ROWS_AT_ONCE)])
     per = dim // BLOCKS
     blocks = x.reshape(n, BLOCKS, per)
     pad = (WIDTH - per % WIDTH) % WIDTH
@@ -207,13 +235,14 @@ def lattice_coarse_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, toler
     from echotrail.session import small_side
 
     # The code tables are written once; each would otherwise be decoded at every read.
-    coded_queries, coded_corpus = cut_lineage(lattice_index(queries)), cut_lineage(lattice_index(corpus))
+    coded_queries, coded_corpus = cut_lineage(lattice_index(queries)), cut_lineage(lowest_of_code(lattice_index(corpus), 3 * k))
     coarse = scan(coded_queries, coded_corpus, 3 * k, "l2", True, tolerance=None, **options)
     chosen = take_top(coarse, 3 * k, "score", "coarse_rank")
     if tolerance is not None:
         left = queries.select("query_id", vector_entropy(F.col("embedding")).alias("_q"))
         right = corpus.select("doc_id", vector_entropy(F.col("embedding")).alias("_d"))
-        chosen = right.join(small_side(chosen, 64), "doc_id").join(small_side(left, 32), "query_id").filter(
+        # Few rows may be chosen by every query, so the entropies travel where they can, not the pairs.
+        chosen = chosen.join(small_side(right, 32), "doc_id").join(small_side(left, 32), "query_id").filter(
             F.round(F.abs(F.col("_q") - F.col("_d")), 9) <= tolerance)
     return take_top(chosen, k, "exact").select(
         "query_id", "rank", "doc_id", F.col("exact").alias("score"), (1.0 - F.col("exact")).alias("distance"))

@@ -101,6 +101,42 @@ def test_lattice_decoder_is_nearest():
         assert abs(point.sum()) % 4 == 0
 
 
+def test_lattice_rows_near_a_point_need_no_words(monkeypatch):
+    """Before, every row was decoded by all 4096 words, and rows of one code were all scored for every query."""
+    rng = np.random.default_rng(4)
+    words = codes.golay_words().astype(int)
+    points = np.concatenate([4 * rng.integers(-3, 4, (40, 24)), 2 * words[rng.integers(0, 4096, 40)] + 8 * rng.integers(-1, 2, (40, 24))])
+    points[:40, 0] += np.where(points[:40].sum(axis=1) % 8, 4, 0)
+    y = points + rng.standard_normal(points.shape) * 0.4
+    slow = codes._nearest_by_words(y, 16)
+    asked = []
+    by_words = codes._nearest_by_words
+    monkeypatch.setattr(codes, "_nearest_by_words", lambda y, step: (asked.append(len(y)), by_words(y, step))[1])
+    assert (codes.nearest_lattice(y) == slow).all() and sum(asked) < 60
+    assert words[1:].sum(axis=1).min() == 6
+
+
+@pytest.mark.parametrize("limit", [None, 3000])
+def test_rows_of_one_lattice_code(data, spark, monkeypatch, limit):
+    """Small vectors all get the code zero: the lowest ids are the candidates, and few pairs are scored for them."""
+    from echotrail.operators import kernels as kn
+
+    x, q, _, _ = data
+    x, q = x / np.linalg.norm(x, axis=1, keepdims=True), q / np.linalg.norm(q, axis=1, keepdims=True)
+    assert len(np.unique(codes.lattice_codes(x), axis=0)) == 1
+    left, right = table(spark, q, "query_id"), table(spark, x, "doc_id")
+    got = ranked(codes.lattice_coarse_knn(left, right, 3, tolerance=None, limit=limit))
+    assert got == brute(x[:9], q, 3)
+    coded = codes.lowest_of_code(codes.lattice_index(right), 9)
+    assert coded.count() <= 3 * 9 and {r["doc_id"] for r in coded.collect()} >= set(range(9))
+    taken = []
+    add = kn.TopK.add
+    monkeypatch.setattr(kn.TopK, "add", lambda self, q, *a: (taken.append(len(q)), add(self, q, *a)))
+    block = kn.QueryBlock(np.arange(30), q, "l2", True, 9, None, codes=np.zeros((30, 24)))
+    block.scan([(np.arange(240), x, None, None, np.zeros((240, 24)))], False)
+    assert sum(taken) == 30 * 9
+
+
 @pytest.mark.parametrize("limit", [None, 3000])
 def test_ivf_probing_everything_is_exact(data, limit):
     x, q, docs, queries = data
