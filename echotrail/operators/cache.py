@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echotrail.functions import vectors as vx
-from echotrail.operators.knn import knn
-from echotrail.session import small_side
+from echotrail.operators.kernels import to_ids, to_matrix
+from echotrail.operators.knn import knn, stream_shape, streamed
+from echotrail.session import BROADCAST_BYTES, small_side, written
+
+PAIRS_AT_ONCE = 65_536
 
 
 def cache_lookup(queries: DataFrame, cache: DataFrame, threshold: float = 0.95, tolerance: float = 0.5, **options) -> DataFrame:
@@ -29,7 +36,8 @@ def hopfield_readout(queries: DataFrame, cache: DataFrame, beta: float = 8.0, to
 
     At most ``top_k`` neighbours per query travel on, so the windows and the weighted sum are small.
     """
-    near = knn(queries, cache.select("doc_id", "embedding"), top_k, tolerance=tolerance, **options).select("query_id", "doc_id", "score")
+    # Kept aside: the size checks below would search again.
+    near = written(knn(queries, cache.select("doc_id", "embedding"), top_k, tolerance=tolerance, **options).select("query_id", "doc_id", "score"))
     mine = Window.partitionBy("query_id")
     raw = F.exp(beta * (F.col("score") - F.max("score").over(mine)))
     weighted = near.withColumn("_raw", raw).withColumn("weight", F.col("_raw") / F.sum("_raw").over(mine)).drop("_raw")
@@ -45,8 +53,49 @@ def hopfield_readout(queries: DataFrame, cache: DataFrame, beta: float = 8.0, to
         .otherwise("accepted"))
     judged = all_queries.withColumn("reason", reason)
     accepted = weighted.join(small_side(judged.filter("reason = 'accepted'").select("query_id"), 16), "query_id", "left_semi")
-    values = cache.select("doc_id", F.col("value")).join(small_side(accepted, 64), "doc_id")
-    parts = values.select("query_id", "weight", F.posexplode(vx.doubles(F.col("value"))).alias("i", "x"))
-    sums = parts.groupBy("query_id", "i").agg(F.sum(F.col("weight") * F.col("x")).alias("s"))
-    readout = sums.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("readout"))
+    readout = weighted_values(accepted.select("query_id", "doc_id", "weight"), cache.select("doc_id", "value"), options.get("limit"))
     return judged.join(readout, "query_id", "left")
+
+
+def weighted_values(weighted: DataFrame, cache: DataFrame, limit: int | None = None) -> DataFrame:
+    """``query_id, readout``: the sum of ``weight * value`` over the rows of ``weighted(query_id, doc_id, weight)``.
+
+    Blocks of queries with their weights meet the values as they stream past, so that no value travels once per pair.
+    """
+    lists = written(weighted.groupBy("query_id").agg(F.collect_list(F.struct("doc_id", "weight")).alias("pairs")).select(
+        "query_id", F.col("pairs.doc_id").alias("docs"), F.col("pairs.weight").alias("weights")))
+    values = cache.filter("value IS NOT NULL").select("doc_id", vx.doubles(F.col("value")).alias("value"))
+    size = values.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("value")).alias("d")).first()
+    asked = lists.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("docs")).alias("k")).first()
+    out = T.StructType([T.StructField("query_id", lists.schema["query_id"].dataType), T.StructField("readout", T.ArrayType(T.DoubleType()))])
+    shape = stream_shape(asked["n"], size["n"], 8 * (size["d"] or 1), asked["k"] or 1, BROADCAST_BYTES if limit is None else limit, cache.sparkSession.sparkContext.defaultParallelism)
+
+    def sums(table, batches):
+        docs = table.column("docs").combine_chunks()
+        owner, wanted = pc.list_parent_indices(docs).to_numpy(zero_copy_only=False), to_ids(docs.flatten())
+        weight = table.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(wanted, kind="stable")
+        owner, wanted, weight = owner[order], wanted[order], weight[order]
+        total, seen = None, np.zeros(table.num_rows, bool)
+        for batch in batches:
+            ids, value = to_ids(batch.column("doc_id")), to_matrix(batch.column("value"))
+            total = np.zeros((table.num_rows, value.shape[1])) if total is None else total
+            first, last = np.searchsorted(wanted, ids, side="left"), np.searchsorted(wanted, ids, side="right")
+            row = np.repeat(np.arange(len(ids)), last - first)
+            pair = np.arange(len(row)) + np.repeat(last - np.cumsum(last - first), last - first)
+            for at in range(0, len(row), PAIRS_AT_ONCE):
+                p, r = pair[at:at + PAIRS_AT_ONCE], row[at:at + PAIRS_AT_ONCE]
+                by = np.argsort(owner[p], kind="stable")
+                p, r = p[by], r[by]
+                start = np.flatnonzero(np.diff(owner[p], prepend=-1))
+                total[owner[p[start]]] += np.add.reduceat(value[r] * weight[p][:, None], start, axis=0)
+                seen[owner[p[start]]] = True
+        for at in range(0, table.num_rows, 4096):
+            some = np.flatnonzero(seen[at:at + 4096]) + at
+            if len(some):
+                held = total[some]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * held.shape[1], pa.int32()), pa.array(held.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([table.column("query_id").combine_chunks().take(pa.array(some)), lists], names=["query_id", "readout"])
+
+    # One stream past each block: a sum is whole in its task.
+    return streamed(lists, values, max(1, min(asked["n"], shape[0] * shape[1])), 1, sums, out)

@@ -110,3 +110,14 @@ def test_nearest_row_of_every_query(monkeypatch, tile):
     best = [np.lexsort((ids, -row))[0] for row in every]
     assert found.tolist() == ids[best].tolist() and np.allclose(score, every[query, best], atol=2e-9)
     assert sum(pairs) < 10 * len(q) + 2 * 3000
+
+
+@pytest.mark.parametrize("rows", [20_000, 102_560, 615_360])
+def test_streams_hold_one_block_and_hand_on_few_pairs(rows):
+    for keep, size in ((1, 512), (10, 512), (64, 512), (200, 568)):
+        q, s = nn.stream_shape(rows, rows, size, keep, tasks=8)
+        assert 8 <= q * s <= 16 + 2 * max(rows * size / nn.CELL_BYTES, rows * 128 * keep / nn.STATE_BYTES)
+        assert rows / q * size <= 1.01 * nn.CELL_BYTES and rows / q * 128 * keep <= 1.01 * nn.STATE_BYTES
+        # Before, 615,360 queries for 200 rows each left 33 blocks of rows with 4 billion pairs.
+        assert rows * (q * size + s * (size + 32 * keep)) < 27e9
+    assert nn.stream_shape(20_000, 10_000_000, 512, 10)[0] <= 2  # few queries: the rows travel once or twice
