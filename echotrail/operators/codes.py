@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 
 from echotrail.operators.kernels import lowest_copies, to_ids, to_matrix
 from echotrail.operators.knn import candidate_count, knn, rerank_knn
-from echotrail.session import cut_lineage
+from echotrail.session import cut_lineage, discard, written
 
 FLY_BITS, FLY_SEED, FLY_LINKS, FLY_ACTIVE = 10_000, 42, 6, 0.05
+ROWS_AT_ONCE = 1024
 
 
 def with_code(df: DataFrame, encode, kind: T.DataType) -> DataFrame:
@@ -82,12 +83,57 @@ def flyhash_index(df: DataFrame) -> DataFrame:
     return with_code(df, encode, T.BinaryType())
 
 
+def _code_rows(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+
+
+def without_common_bits(*tables: DataFrame) -> list[DataFrame]:
+    """The tables with codes cut to the bits that are not the same in all of them; no distance changes, and most bits of a
+    sparse code are of no use."""
+    def both(batches):
+        one, every = None, None
+        for batch in batches:
+            if batch.num_rows:
+                codes = _code_rows(batch.column("code"))
+                least, most = np.bitwise_and.reduce(codes, axis=0), np.bitwise_or.reduce(codes, axis=0)
+                one, every = (most, least) if one is None else (one | most, every & least)
+        if one is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([one.tobytes()]), pa.array([every.tobytes()])], names=["one", "every"])
+
+    found = [r for t in tables for r in t.select("code").mapInArrow(both, "one binary, every binary").collect()]  # a row per task
+    if not found:
+        return list(tables)
+    one, every = (np.array([np.frombuffer(r[name], np.uint8) for r in found]) for name in ("one", "every"))
+    differ = np.bitwise_or.reduce(one, axis=0) & ~np.bitwise_and.reduce(every, axis=0)
+    octets = np.flatnonzero(differ)
+    octets = octets if len(octets) else np.zeros(1, np.int64)
+    bits = np.flatnonzero(np.unpackbits(differ[octets]))
+
+    def cut(batches):
+        for batch in batches:
+            if batch.num_rows:
+                codes = _code_rows(batch.column("code"))[:, octets]
+                short = [np.packbits(np.unpackbits(codes[i:i + ROWS_AT_ONCE], axis=1)[:, bits], axis=1) for i in range(0, len(codes), ROWS_AT_ONCE)]
+                at = batch.schema.get_field_index("code")
+                yield batch.set_column(at, batch.schema.field(at), pa.array([row.tobytes() for part in short for row in part], batch.schema.field(at).type))
+
+    return [t.mapInArrow(cut, t.schema) for t in tables]
+
+
+def _coded_pair(queries: DataFrame, corpus: DataFrame) -> list[DataFrame]:
+    coded = written(flyhash_index(queries)), written(flyhash_index(corpus))
+    short = [written(t) for t in without_common_bits(*coded)]
+    for table in coded:
+        discard(table)
+    return short
+
+
 def hamming_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, **options) -> DataFrame:
-    return knn(cut_lineage(flyhash_index(queries)), cut_lineage(flyhash_index(corpus)), k, metric="hamming", **options)
+    return knn(*_coded_pair(queries, corpus), k, metric="hamming", **options)
 
 
 def flyhash_rerank_knn(queries: DataFrame, corpus: DataFrame, k: int = 10, candidates: int | None = None, **options) -> DataFrame:
-    coded_queries, coded_corpus = cut_lineage(flyhash_index(queries)), cut_lineage(flyhash_index(corpus))
+    coded_queries, coded_corpus = _coded_pair(queries, corpus)
     return rerank_knn(coded_queries, coded_corpus, k, "hamming", candidates or candidate_count(k), **options)
 
 
@@ -113,7 +159,6 @@ LATTICE_SCALE = np.sqrt(8.0)
 # The words differ in 6 places or more, so points lie at least sqrt(24) apart, and one whose squared distance is below 6 is the
 # nearest; some room for rounding.
 SURE = 5.5
-ROWS_AT_ONCE = 1024
 
 
 @lru_cache(maxsize=1)

@@ -64,3 +64,23 @@ def test_readout_streams_values_past_blocks(spark, monkeypatch):
             else:
                 assert r["readout"] is None
         assert any(r["reason"] == "accepted" for r in got.values()) and any(r["reason"] != "accepted" for r in got.values())
+
+
+def test_codes_travel_without_common_bits(spark):
+    """Before, every copy of a row carried all 10,000 bits of its code, and every cell handed on all candidates."""
+    from echotrail.operators import codes
+
+    rows = cut_lineage(vectors(spark, 200))
+    asked = rows.withColumnRenamed("doc_id", "query_id").limit(90)
+    full = codes.flyhash_index(rows).orderBy("doc_id").collect()
+    short = [t.collect() for t in codes.without_common_bits(codes.flyhash_index(asked), codes.flyhash_index(rows))]
+    assert {len(r["code"]) for part in short for r in part} == {len(short[0][0]["code"])} and len(short[0][0]["code"]) < 60
+    bits = [np.array([np.frombuffer(r["code"], np.uint8) for r in t]) for t in (full, sorted(short[1], key=lambda r: r["doc_id"]))]
+    far = [np.bitwise_count(b[:, None] ^ b[None]).sum(axis=2, dtype=int) for b in bits]
+    assert (far[0] == far[1]).all()
+    same = spark.createDataFrame([(1, [1.0] * 32), (2, [2.0] * 32)], "doc_id bigint, embedding array<double>")
+    assert [len(r["code"]) for r in codes.without_common_bits(codes.flyhash_index(same))[0].collect()] == [0, 0]
+    found = [codes.flyhash_rerank_knn(asked, rows, 4, 60, tolerance=None, limit=limit).orderBy("query_id", "rank").collect() for limit in (None, 30_000)]
+    assert found[0] == found[1] and len(found[0]) == 360
+    pair = codes.hamming_knn(same.withColumnRenamed("doc_id", "query_id"), same, 2, tolerance=None).collect()
+    assert {r["distance"] for r in pair} == {0.0} and len(pair) == 4
