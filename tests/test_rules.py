@@ -281,6 +281,25 @@ def test_consolidation_replaces_only_groups(spark):
     assert seen[0] == seen[1]
 
 
+def test_consolidation_deletes_what_its_rounds_wrote(spark, monkeypatch):
+    """Before, every round's rows, centres and shuffle files stayed, and texts were written twice."""
+    from echotrail import session
+    from echotrail.operators import consolidate as co
+
+    texts = []
+    keep = co.written
+    monkeypatch.setattr(co, "written", lambda df: texts.append("text" in df.columns) or keep(df))
+    rng = np.random.default_rng(1)
+    rows = [(i, f"text {i}", [float(v) for v in rng.normal(0, 1, 6)]) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, embedding array<double>")
+    before = set(session._TABLES)
+    summaries, replaced = co.consolidate_clusters(docs, limit=1500)
+    left = [t for t in session._TABLES if t not in before]
+    assert len(left) == 2 and len(texts) > 6 and not any(texts)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    assert summaries.agg(F.sum("n")).first()[0] == replaced.count() > 0
+
+
 def test_share_view_keeps_types(spark):
     from echotrail.operators import governance as gov
 
