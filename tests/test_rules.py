@@ -281,6 +281,26 @@ def test_consolidation_replaces_only_groups(spark):
     assert seen[0] == seen[1]
 
 
+def test_distances_of_all_pairs_are_taken_once(spark, monkeypatch):
+    """Before, every row was shuffled to a cell of every block: 300 copies of 615,360 rows, in each of four passes."""
+    monkeypatch.setattr(es, "TILE_ROWS", 10)
+    x = np.random.default_rng(2).standard_normal((150, 4))
+    y = x * np.array([1.0, 1.1, 0.9, 1.3])
+    rows = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))], "doc_id bigint, a array<double>, b array<double>")
+    i, j = np.triu_indices(150, 1)
+    a, b = np.linalg.norm(x[i] - x[j], axis=1), np.linalg.norm(y[i] - y[j], axis=1)
+    copies, by_block = [], es.by_block
+    monkeypatch.setattr(es, "by_block", lambda held, met, *rest: copies.append(met.count()) or by_block(held, met, *rest))
+    for size, blocks in ((1000, 1), (30, 5), (25, 6)):
+        copies.clear()
+        got = es.pairwise_distance_stats(rows, block_rows=size)
+        assert got["pairs"] == len(a) and abs(got["relative_error"] - np.sqrt(((a - b) ** 2).sum() / (a * a).sum())) < 1e-12
+        gap = np.abs(b * (a @ b / (b @ b)) - a) / a
+        assert abs(got["mean"] - gap.mean()) < 1e-12 and abs(got["p95"] - np.quantile(gap, 0.95)) < 5e-4
+        assert len(copies) == 2 and copies[0] <= 150 * (blocks + 1) / 2
+        assert es.pairwise_distance_stats(rows, block_rows=size, gaps=False) == {n: got[n] for n in ("relative_error", "pairs")} and len(copies) == 3
+
+
 def test_consolidation_deletes_what_its_rounds_wrote(spark, monkeypatch):
     """Before, every round's rows, centres and shuffle files stayed, and texts were written twice."""
     from echotrail import session
